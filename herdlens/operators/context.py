@@ -54,10 +54,28 @@ def _windowed(daily: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def _named(df: DataFrame, keep: list, own: Column, cfg: Config) -> DataFrame:
+def with_counts(targets: DataFrame, daily: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Frame counts (``_recent`` ...) of each target's village up to its date.
+
+    Days of the history (``daily``) and asked-for days share one set of
+    windows; asked-for days carry no reports of their own, so no range join is
+    needed.
+    """
+    asked = (
+        targets.where(F.col("village").isNotNull() & F.col("date").isNotNull())
+        .select("village", "date")
+        .distinct()
+        .withColumns({"n": F.lit(0).cast("bigint"), "n_high": F.lit(0).cast("bigint")})
+    )
+    both = daily.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)))
+    windows = _windowed(both, cfg).where("_asked").drop("n", "n_high", "_asked")
+    return targets.join(windows, ["village", "date"], "left")
+
+
+def named_context(counted: DataFrame, keep: list, own: Column, cfg: Config = DEFAULT) -> DataFrame:
     """Turn frame counts into the context columns; ``own`` is the row's own share."""
     zero = F.lit(0).cast("bigint")
-    counted = df.select(
+    named = counted.select(
         *keep,
         F.greatest(F.coalesce(F.col("_recent") - own, zero), zero).alias("recent_reports"),
         F.coalesce("_previous", zero).alias("recent_reports_prev"),
@@ -65,7 +83,7 @@ def _named(df: DataFrame, keep: list, own: Column, cfg: Config) -> DataFrame:
         (F.coalesce(F.col("_rapid") - own, zero) >= cfg.rapid_min_reports).alias("rapid_spread"),
     )
     recent, previous = F.col("recent_reports"), F.col("recent_reports_prev")
-    return counted.withColumn("_velocity", ratio(recent, previous, recent)).select(
+    return named.withColumn("_velocity", ratio(recent, previous, recent)).select(
         *keep,
         "recent_reports",
         "recent_reports_prev",
@@ -75,42 +93,21 @@ def _named(df: DataFrame, keep: list, own: Column, cfg: Config) -> DataFrame:
     )
 
 
-def _kept(df: DataFrame) -> list:
+def other_columns(df: DataFrame) -> list:
     return [c for c in df.columns if c not in CONTEXT_COLUMNS]
 
 
 def with_context(reports: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Context of every report of a table, the report itself left out."""
-    keep = _kept(reports)
     windows = _windowed(daily_counts(reports), cfg).drop("n", "n_high")
-    joined = reports.join(windows, ["village", "date"], "left")
-    return _named(joined, keep, F.lit(1), cfg)
-
-
-def with_counts(targets: DataFrame, reports: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Frame counts (``_recent`` ...) of each target's village up to its date.
-
-    Report days and asked-for days share one set of windows; asked-for days
-    carry no reports of their own, so no range join is needed.
-    """
-    asked = (
-        targets.where(F.col("village").isNotNull() & F.col("date").isNotNull())
-        .select("village", "date")
-        .distinct()
-        .withColumns({"n": F.lit(0).cast("bigint"), "n_high": F.lit(0).cast("bigint")})
-    )
-    both = (
-        daily_counts(reports)
-        .withColumn("_asked", F.lit(False))
-        .unionByName(asked.withColumn("_asked", F.lit(True)))
-    )
-    windows = _windowed(both, cfg).where("_asked").drop("n", "n_high", "_asked")
-    return targets.join(windows, ["village", "date"], "left")
+    joined = reports.drop(*CONTEXT_COLUMNS).join(windows, ["village", "date"], "left")
+    return named_context(joined, other_columns(reports), F.lit(1), cfg)
 
 
 def with_history_context(incoming: DataFrame, history: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Context of incoming reports against a history that does not hold them."""
-    return _named(with_counts(incoming, history, cfg), _kept(incoming), F.lit(0), cfg)
+    counted = with_counts(incoming.drop(*CONTEXT_COLUMNS), daily_counts(history), cfg)
+    return named_context(counted, other_columns(incoming), F.lit(0), cfg)
 
 
 def village_context(reports: DataFrame, targets: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -122,8 +119,8 @@ def village_context(reports: DataFrame, targets: DataFrame, cfg: Config = DEFAUL
     if "exclude_report_id" not in targets.columns:
         return with_history_context(targets, reports, cfg)
 
-    keep = _kept(targets)
-    plain = with_counts(targets, reports, cfg)
+    keep = other_columns(targets)
+    plain = with_counts(targets, daily_counts(reports), cfg)
     left_out = reports.select(
         F.col("report_id").alias("exclude_report_id"),
         F.col("village").alias("_x_village"),
@@ -145,4 +142,4 @@ def village_context(reports: DataFrame, targets: DataFrame, cfg: Config = DEFAUL
             "_history": less("_history", age > 0, F.col("_x_high")),
         }
     )
-    return _named(joined, keep, F.lit(0), cfg)
+    return named_context(joined, keep, F.lit(0), cfg)
