@@ -120,7 +120,7 @@ class Config:
     em_iterations: int = 100
     em_tolerance: float = 1e-4
     em_regularisation: float = 1e-3
-    kmeans_restarts: int = 3
+    kmeans_restarts: int = 2
 
     # Classifier.
     seed: int = 42

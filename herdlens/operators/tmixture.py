@@ -4,7 +4,7 @@ Each EM iteration is one aggregation of sufficient statistics over the points.
 Equal points are combined first and carry a weight, so iterations read the
 distinct severity profiles, not the reports. Only k x d x d numbers reach the
 driver. Parameters enter the plan as the columns of a one-row table, so every
-iteration runs the same generated code.
+iteration runs the same query and the same generated code.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from herdlens.config import DEFAULT, Config
 from herdlens.functions.numeric import lit_double
 
+PARAMETERS = "@parameters"
 TINY = 1e-300  # keeps logarithms and divisions of empty components finite
 
 
@@ -61,40 +61,57 @@ class Parameters:
         return {name: float(value) for name, value in out.items()}
 
 
-def _with_responsibilities(df: DataFrame, columns: list, k: int, dof: float, number) -> DataFrame:
-    """Add ``_r<k>`` (responsibility), ``_u<k>`` (robustness weight) and ``_ll``.
+def _staged(source: str, keep: list, names: list, k: int, dof: float, number) -> str:
+    """Query that adds responsibilities to the rows of ``source``.
 
-    ``number`` gives the column that holds a named parameter. Staged, so that
-    no expression is written out twice.
+    ``_r<k>`` is the responsibility of component k, ``_u<k>`` its robustness
+    weight (small far from its centre) and ``_ll`` the row's log-likelihood.
+    ``number`` writes out a named parameter. One level per stage, so that no
+    expression is written twice.
     """
-    d = len(columns)
-    total = lit_double(dof + d)
+    d = len(names)
+    comps = range(k)
 
-    def distance(c: int) -> Column:
-        gaps = [F.col(x) - number(f"m{c}_{i}") for i, x in enumerate(columns)]
-        return reduce(
-            add,
-            [gaps[i] * gaps[j] * number(f"p{c}_{i}_{j}") for i in range(d) for j in range(i, d)],
-        )
+    def distance(c: int) -> str:
+        gaps = [f"({x} - {number(f'm{c}_{i}')})" for i, x in enumerate(names)]
+        terms = [
+            f"{gaps[i]} * {gaps[j]} * {number(f'p{c}_{i}_{j}')}" for i in range(d) for j in range(i, d)
+        ]
+        return " + ".join(terms)
 
-    df = df.withColumns({f"_d{c}": distance(c) for c in range(k)})
-    df = df.withColumns(
-        {
-            f"_l{c}": number(f"c{c}") - total / lit_double(2) * F.log1p(F.col(f"_d{c}") / lit_double(dof))
-            for c in range(k)
-        }
-    )
-    logs = [F.col(f"_l{c}") for c in range(k)]
-    df = df.withColumn("_top", F.greatest(*logs) if k > 1 else logs[0])
-    df = df.withColumn(
-        "_ll", F.col("_top") + F.log(reduce(add, [F.exp(x - F.col("_top")) for x in logs]))
-    )
-    return df.withColumns(
-        {f"_r{c}": F.exp(F.col(f"_l{c}") - F.col("_ll")) for c in range(k)}
-        | {f"_u{c}": total / (lit_double(dof) + F.col(f"_d{c}")) for c in range(k)}
+    def level(inner: str, *columns: str) -> str:
+        return f"SELECT *, {', '.join(columns)} FROM ({inner})"
+
+    kept = ", ".join(keep)
+    consts = ", ".join(f"{number(f'c{c}')} AS _c{c}" for c in comps)
+    query = f"SELECT {kept}, {consts}, {', '.join(f'{distance(c)} AS _d{c}' for c in comps)} FROM {source}"
+    half = (dof + d) / 2
+    query = level(query, *[f"_c{c} - {half}D * log1p(_d{c} / {dof}D) AS _l{c}" for c in comps])
+    logs = [f"_l{c}" for c in comps]
+    query = level(query, f"{f'greatest({", ".join(logs)})' if k > 1 else logs[0]} AS _top")
+    query = level(query, f"_top + ln({' + '.join(f'exp({x} - _top)' for x in logs)}) AS _ll")
+    return level(
+        query,
+        *[f"exp(_l{c} - _ll) AS _r{c}" for c in comps],
+        *[f"{dof + d}D / ({dof}D + _d{c}) AS _u{c}" for c in comps],
     )
 
 
+def _moments(names: list, k: int, dof: float) -> str:
+    """Query for the sufficient statistics of one E-step; one row."""
+    d = len(names)
+    rows = _staged(f"{{points}} CROSS JOIN {PARAMETERS}", [*names, "_n"], names, k, dof, lambda name: name)
+    shares = ", ".join(f"_n * _r{c} AS _s{c}, _n * _r{c} * _u{c} AS _w{c}" for c in range(k))
+    sums = ["sum(_n * _ll) AS ll"]
+    for c in range(k):
+        sums += [f"sum(_s{c}) AS s{c}", f"sum(_w{c}) AS w{c}"]
+        sums += [f"sum(_w{c} * {x}) AS w{c}_{i}" for i, x in enumerate(names)]
+        sums += [
+            f"sum(_w{c} * {names[i]} * {names[j]}) AS w{c}_{i}_{j}" for i in range(d) for j in range(i, d)
+        ]
+    return f"SELECT {', '.join(sums)} FROM (SELECT *, {shares} FROM ({rows}))"
+
+
 @dataclass(frozen=True)
 class TMixtureModel:
     columns: tuple
@@ -108,11 +125,10 @@ class TMixtureModel:
         """Add the most responsible component (lowest on ties) and its responsibility."""
         k = self.assigning.k
         values = self.assigning.numbers(self.dof)
-        inputs = {f"_x{i}": F.col(c).cast("double") for i, c in enumerate(self.columns)}
-        names = list(inputs)
-        scored = _with_responsibilities(
-            df.withColumns(inputs), names, k, self.dof, lambda name: lit_double(values[name])
-        )
+        names = [f"_x{i}" for i in range(len(self.columns))]
+        rows = df.withColumns({x: F.col(c).cast("double") for x, c in zip(names, self.columns)})
+        query = _staged("{rows}", rows.columns, names, k, self.dof, lambda name: f"({values[name]!r}D)")
+        scored = df.sparkSession.sql(query, rows=rows)
         shares = [F.col(f"_r{c}") for c in range(k)]
         top = F.greatest(*shares) if k > 1 else shares[0]
         pick = F
@@ -205,12 +221,13 @@ def fit_t_mixture(
         if not total:
             raise ValueError("a mixture needs at least one row")
         now = _start(points, names, k, seed, reg, total, cfg.kmeans_restarts)
+        query = _moments(names, k, dof)
         previous = -math.inf
         used = 0
         assigning = now
         for used in range(1, n_iter + 1):
             assigning = now
-            now, likelihood = _iterate(points, names, now, dof, reg, total)
+            now, likelihood = _iterate(points, query, now, dof, reg, total)
             if abs(likelihood - previous) < tol * max(abs(previous), 1.0):
                 break
             previous = likelihood
@@ -219,27 +236,13 @@ def fit_t_mixture(
     return TMixtureModel(tuple(columns), dof, now, assigning, previous, used)
 
 
-def _iterate(points: DataFrame, names: list, now: Parameters, dof: float, reg: float, total: float):
+def _iterate(points: DataFrame, query: str, now: Parameters, dof: float, reg: float, total: float):
     """One EM step: the next parameters and the log-likelihood of the current ones."""
     k, d = now.k, now.d
     values = now.numbers(dof)
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in values])
-    parameters = points.sparkSession.createDataFrame([tuple(values.values())], schema)
-    scored = _with_responsibilities(
-        points.crossJoin(F.broadcast(parameters)), names, k, dof, F.col  # one row
-    )
-    scored = scored.withColumns({f"_s{c}": F.col("_n") * F.col(f"_r{c}") for c in range(k)})
-    scored = scored.withColumns({f"_w{c}": F.col(f"_s{c}") * F.col(f"_u{c}") for c in range(k)})
-    sums = [F.sum(F.col("_n") * F.col("_ll")).alias("ll")]
-    for c in range(k):
-        w = F.col(f"_w{c}")
-        sums += [F.sum(f"_s{c}").alias(f"s{c}"), F.sum(w).alias(f"w{c}")]
-        sums += [F.sum(w * F.col(x)).alias(f"w{c}_{i}") for i, x in enumerate(names)]
-        sums += [
-            F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"w{c}_{i}_{j}")
-            for i in range(d) for j in range(i, d)
-        ]
-    row = scored.agg(*sums).first()
+    numbers = ", ".join(f"{v!r}D" for v in values.values())
+    parameters = f"(VALUES ({numbers})) AS parameters({', '.join(values)})"  # one row
+    row = points.sparkSession.sql(query.replace(PARAMETERS, parameters), points=points).collect()[0]
 
     means = np.zeros((k, d))
     covariances = np.zeros((k, d, d))
