@@ -47,9 +47,20 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reports(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, label: bool = True) -> DataFrame:
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event files as a stream."""
+    return spark.readStream.schema(event_table(spark, sf_dir).schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def reports(
+    spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, label: bool = True, events: DataFrame | None = None
+) -> DataFrame:
     e, k, u = F.col("event_id"), F.col("_k"), F.col("user_id")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumns(
+    events = (event_table(spark, sf_dir) if events is None else events).withColumns(
         {
             "_k": F.get_json_object("props", "$.k").cast("int"),
             "_nation": u % NATIONS,
@@ -79,7 +90,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     step = (u % NATIONS).cast("double")
     line = F.floor(u / NATIONS).cast("double")
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
+    users = event_table(spark, sf_dir).select("user_id").distinct()
     return (
         users.withColumn("_nation", u % NATIONS)
         .join(F.broadcast(_places(spark, sf_dir)), "_nation")
