@@ -187,10 +187,10 @@ def asked(targets: str, history: str, key: str = "report_id", extra: str = "TRUE
 matched AS (
   SELECT t.{key}, count(*) FILTER (WHERE a BETWEEN 0 AND 6) AS recent_reports,
     count(*) FILTER (WHERE a BETWEEN 7 AND 13) AS recent_reports_prev,
-    count(*) FILTER (WHERE a > 0 AND risk_level = 'HIGH') AS historical_incidence,
+    count(*) FILTER (WHERE a > 0 AND level = 'HIGH') AS historical_incidence,
     count(*) FILTER (WHERE a BETWEEN 0 AND 2) >= 3 AS rapid_spread
   FROM {targets} t LEFT JOIN (
-    SELECT t2.{key} AS id, date_diff('day', h.date, t2.date) AS a, h.risk_level FROM {targets} t2
+    SELECT t2.{key} AS id, date_diff('day', h.date, t2.date) AS a, h.risk_level AS level FROM {targets} t2
     JOIN {history} h ON h.village = t2.village AND ({extra})) ON id = t.{key}
   GROUP BY 1),
 asked AS (SELECT * EXCLUDE (v), {rounded('v', 3)} AS spread_velocity FROM

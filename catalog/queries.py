@@ -163,7 +163,7 @@ def snk_append(spark, sf):
 def proj_mortality(spark, sf):
     rate = F.col("rate")
     return reports(spark, sf).select("report_id", features.mortality().alias("rate")).select(
-        "report_id", "rate", round_scaled(rate, 3).alias("rate_loaded"), round_exact(rate, 4).alias("rate_appended")
+        "report_id", "rate", round_scaled(rate, 3).alias("rate_loaded"), round_exact("rate", 4).alias("rate_appended")
     )
 
 

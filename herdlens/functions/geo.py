@@ -22,21 +22,13 @@ from herdlens.functions.numeric import lit_double
 _MARGIN = 1e-7  # keeps rounding errors on the safe side of every bound
 
 
-def _square(value: Column) -> Column:
-    return value * value
-
-
-def haversine(lat_gap: Column, lon_gap: Column, cos_a: Column, cos_b: Column) -> Column:
-    half = lit_double(2.0)
-    return _square(F.sin(F.radians(lat_gap) / half)) + cos_a * cos_b * _square(
-        F.sin(F.radians(lon_gap) / half)
+def haversine(lat_gap: str, lon_gap: str, cos_a: str, cos_b: str) -> str:
+    return (
+        f"(pow(sin(radians({lat_gap}) / 2D), 2D)"
+        f" + ({cos_a}) * ({cos_b}) * pow(sin(radians({lon_gap}) / 2D), 2D))"
     )
 
 
-def cos_degrees(value: Column) -> Column:
-    return F.cos(F.radians(value))
-
-
 @dataclass(frozen=True)
 class Bounds:
     """Names of a table's bounding-rectangle columns."""
@@ -60,14 +52,11 @@ class Bounds:
         return [self.lat_low, self.lat_high, self.lon_low, self.lon_high]
 
 
-def _cos_range(b: Bounds) -> tuple[Column, Column]:
+def _cos_range(b: Bounds) -> tuple[str, str]:
     """Least and greatest cosine of latitude within the bounds."""
-    low, high = F.col(b.lat_low), F.col(b.lat_high)
-    least = F.least(cos_degrees(low), cos_degrees(high))
-    most = F.when((low <= 0) & (high >= 0), lit_double(1.0)).otherwise(
-        F.greatest(cos_degrees(low), cos_degrees(high))
-    )
-    return least, most
+    low, high = f"cos(radians({b.lat_low}))", f"cos(radians({b.lat_high}))"
+    most = f"CASE WHEN {b.lat_low} <= 0 AND {b.lat_high} >= 0 THEN 1D ELSE greatest({low}, {high}) END"
+    return f"least({low}, {high})", most
 
 
 def nearest_and_farthest(a: Bounds, b: Bounds) -> tuple[Column, Column]:
@@ -75,25 +64,20 @@ def nearest_and_farthest(a: Bounds, b: Bounds) -> tuple[Column, Column]:
 
     For two single points both equal the haversine between them.
     """
-    zero = lit_double(0.0)
-    turn = lit_double(360.0)
-    middle_gap = (
-        F.col(a.lon_low) + F.col(a.lon_high) - F.col(b.lon_low) - F.col(b.lon_high)
-    ) / lit_double(2.0)
-    shift = turn * F.rint(middle_gap / turn)  # b as seen from a across +-180 degrees
-    b_low, b_high = F.col(b.lon_low) + shift, F.col(b.lon_high) + shift
-
-    lat_near = F.greatest(zero, F.col(b.lat_low) - F.col(a.lat_high), F.col(a.lat_low) - F.col(b.lat_high))
-    lat_far = F.greatest(F.col(b.lat_high) - F.col(a.lat_low), F.col(a.lat_high) - F.col(b.lat_low))
-    lon_near = F.greatest(zero, b_low - F.col(a.lon_high), F.col(a.lon_low) - b_high)
-    lon_far = F.least(
-        lit_double(180.0), F.greatest(b_high - F.col(a.lon_low), F.col(a.lon_high) - b_low)
-    )
+    # b as seen from a across +-180 degrees
+    gap = f"({a.lon_low} + {a.lon_high} - {b.lon_low} - {b.lon_high}) / 2D"
+    shift = f"360D * rint({gap} / 360D)"
+    b_low, b_high = f"({b.lon_low} + {shift})", f"({b.lon_high} + {shift})"
+
+    lat_near = f"greatest(0D, {b.lat_low} - {a.lat_high}, {a.lat_low} - {b.lat_high})"
+    lat_far = f"greatest({b.lat_high} - {a.lat_low}, {a.lat_high} - {b.lat_low})"
+    lon_near = f"greatest(0D, {b_low} - {a.lon_high}, {a.lon_low} - {b_high})"
+    lon_far = f"least(180D, greatest({b_high} - {a.lon_low}, {a.lon_high} - {b_low}))"
     a_least, a_most = _cos_range(a)
     b_least, b_most = _cos_range(b)
     return (
-        haversine(lat_near, lon_near, a_least, b_least),
-        haversine(lat_far, lon_far, a_most, b_most),
+        F.expr(haversine(lat_near, lon_near, a_least, b_least)),
+        F.expr(haversine(lat_far, lon_far, a_most, b_most)),
     )
 
 
@@ -139,7 +123,7 @@ class Grid:
             F.least(F.abs(low), F.abs(high))
         )
         side = lit_double(math.sin(self.half_angle) / math.sqrt(2.0))
-        sine = F.least(lit_double(1.0), side / F.greatest(cos_degrees(nearest_equator), lit_double(1e-12)))
+        sine = F.least(lit_double(1.0), side / F.greatest(F.cos(F.radians(nearest_equator)), lit_double(1e-12)))
         width = F.degrees(lit_double(2.0) * F.asin(sine)) * lit_double(1.0 - _MARGIN)
         return F.ceil(lit_double(360.0) / width).cast("bigint")
 
@@ -147,7 +131,7 @@ class Grid:
         """Degrees of longitude within which neighbours of two bands lie."""
         edges = [F.abs(e) for band in (band_a, band_b) for e in self._edges(band)]
         farthest = F.least(lit_double(90.0), F.greatest(*edges))
-        sine = lit_double(math.sin(self.half_angle)) / F.greatest(cos_degrees(farthest), lit_double(1e-12))
+        sine = lit_double(math.sin(self.half_angle)) / F.greatest(F.cos(F.radians(farthest)), lit_double(1e-12))
         arc = F.degrees(lit_double(2.0) * F.asin(F.least(lit_double(1.0), sine))) * lit_double(1.0 + _MARGIN)
         return F.when(sine >= lit_double(1.0), lit_double(180.0)).otherwise(arc)
 

@@ -30,27 +30,24 @@ def normalized(value: Column, cap: float) -> Column:
     return clip(value.cast("double") / lit_double(cap) * lit_double(100.0), 0.0, 100.0)
 
 
-def round_exact(value: Column, digits: int) -> Column:
-    """Round the stored binary value to ``digits`` (0-8) places, ties to even.
+def _rounded_sql(x: str, digits: int) -> str:
+    scale = f"{float(10**digits)!r}D"
+    scaled = f"({x} * {scale})"
+    high = f"({x} * {_SPLITTER!r}D - ({x} * {_SPLITTER!r}D - {x}))"
+    error = f"(({high} * {scale} - {scaled}) + ({x} - {high}) * {scale})"
+    floor = f"CAST(floor({scaled}) AS DOUBLE)"
+    tie = f"CASE WHEN {error} > 0 THEN {floor} + 1D WHEN {error} < 0 THEN {floor} ELSE {floor} + pmod({floor}, 2D) END"
+    return f"CASE WHEN {scaled} - {floor} = 0.5D THEN {tie} ELSE rint({scaled}) END / {scale}"
+
+
+def round_exact(name: str, digits: int) -> Column:
+    """Round the stored binary value of a column to ``digits`` (0-8) places, ties to even.
 
     ``bround`` looks at the decimal text of a double, so 0.00625 counts as a
     tie although the stored value lies above it. Here the scaled value decides,
     and only where it looks like a tie the exact error of the product does.
-    Pass a plain column: the expression names ``value`` several times.
     """
-    scale = lit_double(10**digits)
-    scaled = value * scale
-    floor = F.floor(scaled).cast("double")
-    spread = value * lit_double(_SPLITTER)
-    high = spread - (spread - value)
-    low = value - high
-    error = (high * scale - scaled) + low * scale
-    tie = (
-        F.when(error > 0, floor + lit_double(1))
-        .when(error < 0, floor)
-        .otherwise(floor + F.pmod(floor, lit_double(2)))
-    )
-    return F.when(scaled - floor == lit_double(0.5), tie).otherwise(F.rint(scaled)) / scale
+    return F.expr(_rounded_sql(name, digits))
 
 
 def round_scaled(value: Column, digits: int) -> Column:
@@ -59,12 +56,12 @@ def round_scaled(value: Column, digits: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def fixed_text(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", round_exact(value, digits))
+def fixed_text(name: str, digits: int) -> Column:
+    return F.expr(f"format_string('%.{digits}f', {_rounded_sql(name, digits)})")
 
 
-def percent_text(value: Column, digits: int = 0) -> Column:
-    return F.format_string(f"%.{digits}f%%", round_exact(value * lit_double(100), digits))
+def percent_text(name: str, digits: int = 0) -> Column:
+    return F.expr(f"format_string('%.{digits}f%%', {_rounded_sql(f'({name} * 100D)', digits)})")
 
 
 def literal_map(mapping: dict) -> Column:

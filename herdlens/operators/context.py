@@ -90,7 +90,7 @@ def named_context(counted: DataFrame, keep: list, own: Column, cfg: Config = DEF
         "recent_reports",
         "recent_reports_prev",
         "historical_incidence",
-        round_exact(F.col("_velocity"), 3).alias("spread_velocity"),
+        round_exact("_velocity", 3).alias("spread_velocity"),
         "rapid_spread",
     )
 

@@ -163,11 +163,11 @@ def hotspot_markers(risk: DataFrame, regions: DataFrame) -> DataFrame:
         (lit_double(6) + F.least(lit_double(14), score / lit_double(6))).alias("radius"),
         F.concat("village", F.lit(" - "), category).alias("tooltip"),
         F.concat("block", F.lit(", "), "district").alias("place_text"),
-        F.concat(fixed_text(F.col("risk_score"), 0), F.lit("/100")).alias("score_text"),
+        F.concat(fixed_text("risk_score", 0), F.lit("/100")).alias("score_text"),
         "report_count_7d", "affected_animals", "deaths",
-        percent_text(F.col("mortality_rate"), 1).alias("mortality_text"),
+        percent_text("mortality_rate", 1).alias("mortality_text"),
         "high_concern_count",
-        F.concat(fixed_text(F.col("report_growth_rate"), 2), F.lit("x")).alias("growth_text"),
+        F.concat(fixed_text("report_growth_rate", 2), F.lit("x")).alias("growth_text"),
     )
 
 

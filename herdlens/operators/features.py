@@ -23,8 +23,9 @@ def with_mortality(df: DataFrame, digits: int | None = None, rounding: str = "ex
     df = df.withColumn("mortality_rate", mortality())
     if digits is None:
         return df
-    rounded = round_exact if rounding == "exact" else round_scaled
-    return df.withColumn("mortality_rate", rounded(F.col("mortality_rate"), digits))
+    exact = rounding == "exact"
+    rounded = round_exact("mortality_rate", digits) if exact else round_scaled(F.col("mortality_rate"), digits)
+    return df.withColumn("mortality_rate", rounded)
 
 
 def symptom_flag(name: str) -> Column:

@@ -13,6 +13,7 @@ from herdlens import texts
 from herdlens.config import DEFAULT, SEVERITY_COLUMNS, Config
 from herdlens.functions.numeric import literal_map, ratio, round_exact, round_scaled
 from herdlens.operators.features import engineer_features
+from herdlens.operators.skew import spread_join
 from herdlens.operators.stdbscan import st_dbscan
 from herdlens.operators.tmixture import TMixtureModel, fit_t_mixture
 from herdlens.session import materialize
@@ -125,15 +126,22 @@ def grade_severity(
     mixture = fit_t_mixture(to_z(distinct), z, k, dof, weight="n", cfg=cfg)
     rank = severity_rank(mixture.fitted.means)
     names = severity_names(k)
-    assigned = mixture.assign(to_z(profiled), "severity_group_raw", "_confidence")
-    graded = assigned.withColumn(
-        "severity_group_rank", literal_map(rank)[F.col("severity_group_raw")]
-    ).select(
-        *reports.columns,
-        "severity_group_raw",
-        "severity_group_rank",
-        round_scaled(F.col("_confidence"), 3).alias("severity_confidence"),
-        literal_map(names)[F.col("severity_group_rank")].alias("severity_group"),
+    # Grades are worked out once per profile and looked up by the reports.
+    assigned = mixture.assign(to_z(distinct), "severity_group_raw", "_confidence")
+    grades = materialize(
+        assigned.withColumn("severity_group_rank", literal_map(rank)[F.col("severity_group_raw")]).select(
+            *profile,
+            F.col("n").alias("_rows"),
+            "severity_group_raw",
+            "severity_group_rank",
+            round_scaled(F.col("_confidence"), 3).alias("severity_confidence"),
+            literal_map(names)[F.col("severity_group_rank")].alias("severity_group"),
+        ),
+        "grades",
+    )
+    total = distinct.agg(F.sum("n")).first()[0]
+    graded = spread_join(profiled, grades, profile, "_rows", total, list(reports.columns)).select(
+        *reports.columns, "severity_group_raw", "severity_group_rank", "severity_confidence", "severity_group"
     )
     centres = mixture.fitted.means * spreads + means
     rows = sorted(
@@ -186,6 +194,7 @@ def cluster_summary(clustered: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             F.sum("severity_confidence").alias("confidence"),
         )
     )
+    parts = materialize(parts, "cluster-parts")
     main = parts.groupBy("st_cluster").agg(
         F.sum("n").alias("n_reports"),
         F.countDistinct("village").alias("n_villages"),
@@ -228,10 +237,10 @@ def cluster_summary(clustered: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "st_cluster", "n_reports", "n_villages", "n_districts",
         F.concat("_names", F.when(F.col("n_villages") > 3, "...").otherwise("")).alias("villages"),
         "dominant_village", "date_start", "date_end", "duration_days", "total_affected", "total_deaths",
-        round_exact(F.col("_rate"), 3).alias("mean_mortality_rate"),
+        round_exact("_rate", 3).alias("mean_mortality_rate"),
         "high_concern_reports",
         "dominant_severity_group",
-        round_exact(F.col("_confidence"), 3).alias("avg_severity_confidence"),
+        round_exact("_confidence", 3).alias("avg_severity_confidence"),
         F.when(epidemic, texts.SCALE_EPIDEMIC).otherwise(texts.SCALE_LOCAL).alias("scale"),
         (F.col("total_deaths") >= cfg.outbreak_deaths).alias("flagged_as_outbreak"),
     ).orderBy(F.desc("flagged_as_outbreak"), F.desc("total_deaths"), F.desc("n_reports"), F.asc("st_cluster"))
@@ -292,6 +301,6 @@ def validate_outbreaks(summary: DataFrame, known: DataFrame) -> DataFrame:
     rates = counts.withColumn("_precision", ratio(tp, tp + fp)).withColumn("_recall", ratio(tp, tp + fn))
     return rates.select(
         *counts.columns,
-        round_exact(F.col("_precision"), 3).alias("precision"),
-        round_exact(F.col("_recall"), 3).alias("recall"),
+        round_exact("_precision", 3).alias("precision"),
+        round_exact("_recall", 3).alias("recall"),
     )

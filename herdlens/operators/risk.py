@@ -42,12 +42,12 @@ def with_risk_score(rollup: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     components = rollup.withColumns({f"_{name}": part for name, part in parts.items()})
     weighted = reduce(add, [lit_double(weights[name]) * F.col(f"_{name}") for name in parts])
     totalled = components.withColumn("_total", clip(weighted, 0.0, 100.0))
-    scored = totalled.withColumn("risk_score", round_exact(F.col("_total"), 1))
+    scored = totalled.withColumn("risk_score", round_exact("_total", 1))
     return scored.select(
         *rollup.columns,
         "risk_score",
         risk_category(F.col("risk_score")).alias("risk_category"),
-        *[round_exact(F.col(f"_{name}"), 1).alias(f"sub_score_{name}") for name in parts],
+        *[round_exact(f"_{name}", 1).alias(f"sub_score_{name}") for name in parts],
     )
 
 
@@ -79,12 +79,12 @@ def with_region_reasons(risk: DataFrame) -> DataFrame:
         return F.when(F.col(f"sub_score_{name}") >= lit_double(REASON_FLOORS[name]), text)
 
     reasons = kept(
-        when_high("mortality", F.format_string(texts.REGION_MORTALITY, percent_text(F.col("mortality_rate")))),
-        when_high("growth", F.format_string(texts.REGION_GROWTH, fixed_text(F.col("report_growth_rate"), 2))),
+        when_high("mortality", F.format_string(texts.REGION_MORTALITY, percent_text("mortality_rate"))),
+        when_high("growth", F.format_string(texts.REGION_GROWTH, fixed_text("report_growth_rate", 2))),
         when_high("volume", F.format_string(texts.REGION_VOLUME, F.col("report_count_7d"))),
         when_high(
             "high_concern",
-            F.format_string(texts.REGION_HIGH_CONCERN, percent_text(F.col("high_concern_ratio"))),
+            F.format_string(texts.REGION_HIGH_CONCERN, percent_text("high_concern_ratio")),
         ),
         when_high("historical", F.format_string(texts.REGION_HISTORY, F.col("historical_incidence"))),
     )

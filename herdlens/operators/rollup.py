@@ -71,10 +71,10 @@ def rollup_from_measures(measures: DataFrame, region_col: str) -> DataFrame:
         F.col("c_long").alias("report_count_30d"),
         F.col("affected").alias("affected_animals"),
         "deaths",
-        round_exact(F.col("_mortality"), 4).alias("mortality_rate"),
+        round_exact("_mortality", 4).alias("mortality_rate"),
         F.col("high").alias("high_concern_count"),
-        round_exact(F.col("_share"), 4).alias("high_concern_ratio"),
-        round_exact(F.col("_growth"), 4).alias("report_growth_rate"),
+        round_exact("_share", 4).alias("high_concern_ratio"),
+        round_exact("_growth", 4).alias("report_growth_rate"),
         F.col("high_before").alias("historical_incidence"),
     )
 

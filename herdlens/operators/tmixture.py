@@ -61,11 +61,13 @@ class Parameters:
         return {name: float(value) for name, value in out.items()}
 
 
-def _staged(source: str, keep: list, names: list, k: int, dof: float, number) -> str:
-    """Query that adds responsibilities to the rows of ``source``.
+def _level(inner: str, *columns: str) -> str:
+    return f"SELECT *, {', '.join(columns)} FROM ({inner})"
+
+
+def _log_densities(source: str, keep: list, names: list, k: int, dof: float, number) -> str:
+    """Query that adds each component's weighted log-density ``_l<k>`` and the greatest, ``_top``.
 
-    ``_r<k>`` is the responsibility of component k, ``_u<k>`` its robustness
-    weight (small far from its centre) and ``_ll`` the row's log-likelihood.
     ``number`` writes out a named parameter. One level per stage, so that no
     expression is written twice.
     """
@@ -79,28 +81,30 @@ def _staged(source: str, keep: list, names: list, k: int, dof: float, number) ->
         ]
         return " + ".join(terms)
 
-    def level(inner: str, *columns: str) -> str:
-        return f"SELECT *, {', '.join(columns)} FROM ({inner})"
-
     kept = ", ".join(keep)
     consts = ", ".join(f"{number(f'c{c}')} AS _c{c}" for c in comps)
     query = f"SELECT {kept}, {consts}, {', '.join(f'{distance(c)} AS _d{c}' for c in comps)} FROM {source}"
     half = (dof + d) / 2
-    query = level(query, *[f"_c{c} - {half}D * log1p(_d{c} / {dof}D) AS _l{c}" for c in comps])
+    query = _level(query, *[f"_c{c} - {half}D * log1p(_d{c} / {dof}D) AS _l{c}" for c in comps])
     logs = [f"_l{c}" for c in comps]
-    query = level(query, f"{f'greatest({", ".join(logs)})' if k > 1 else logs[0]} AS _top")
-    query = level(query, f"_top + ln({' + '.join(f'exp({x} - _top)' for x in logs)}) AS _ll")
-    return level(
-        query,
-        *[f"exp(_l{c} - _ll) AS _r{c}" for c in comps],
-        *[f"{dof + d}D / ({dof}D + _d{c}) AS _u{c}" for c in comps],
-    )
+    return _level(query, f"{f'greatest({", ".join(logs)})' if k > 1 else logs[0]} AS _top")
+
+
+def _over_top(k: int) -> str:
+    return " + ".join(f"exp(_l{c} - _top)" for c in range(k))
 
 
 def _moments(names: list, k: int, dof: float) -> str:
     """Query for the sufficient statistics of one E-step; one row."""
     d = len(names)
-    rows = _staged(f"{{points}} CROSS JOIN {PARAMETERS}", [*names, "_n"], names, k, dof, lambda name: name)
+    rows = _log_densities(f"{{points}} CROSS JOIN {PARAMETERS}", [*names, "_n"], names, k, dof, lambda name: name)
+    rows = _level(rows, f"_top + ln({_over_top(k)}) AS _ll")
+    # Responsibility of each component, and its robustness weight: small far from the centre.
+    rows = _level(
+        rows,
+        *[f"exp(_l{c} - _ll) AS _r{c}" for c in range(k)],
+        *[f"{dof + d}D / ({dof}D + _d{c}) AS _u{c}" for c in range(k)],
+    )
     shares = ", ".join(f"_n * _r{c} AS _s{c}, _n * _r{c} * _u{c} AS _w{c}" for c in range(k))
     sums = ["sum(_n * _ll) AS ll"]
     for c in range(k):
@@ -127,16 +131,14 @@ class TMixtureModel:
         values = self.assigning.numbers(self.dof)
         names = [f"_x{i}" for i in range(len(self.columns))]
         rows = df.withColumns({x: F.col(c).cast("double") for x, c in zip(names, self.columns)})
-        query = _staged("{rows}", rows.columns, names, k, self.dof, lambda name: f"({values[name]!r}D)")
+        query = _log_densities("{rows}", rows.columns, names, k, self.dof, lambda name: f"({values[name]!r}D)")
         scored = df.sparkSession.sql(query, rows=rows)
-        shares = [F.col(f"_r{c}") for c in range(k)]
-        top = F.greatest(*shares) if k > 1 else shares[0]
         pick = F
         for c in range(k):
-            pick = pick.when(shares[c] == F.col("_best"), F.lit(c))
-        return scored.withColumn("_best", top).select(
-            *df.columns, pick.alias(label), F.col("_best").alias(confidence)
-        )
+            pick = pick.when(F.col(f"_l{c}") == F.col("_top"), F.lit(c))
+        # The greatest responsibility, exp(_top - log-likelihood), in one step.
+        share = F.expr(f"1.0D / ({_over_top(k)})")
+        return scored.select(*df.columns, pick.alias(label), share.alias(confidence))
 
 
 def _start(points: DataFrame, columns: list, k: int, seed: int, reg: float, total: float, restarts: int) -> Parameters:

@@ -75,7 +75,7 @@ def union_reports(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def _rounded_mortality(df: DataFrame) -> DataFrame:
     rated = df.withColumn("_rate", mortality())
-    return rated.withColumn("mortality_rate", round_exact(F.col("_rate"), 4)).drop("_rate")
+    return rated.withColumn("mortality_rate", round_exact("_rate", 4)).drop("_rate")
 
 
 def last_id(history: DataFrame) -> int:
