@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from herdlens.config import DEFAULT, Config
@@ -240,23 +240,30 @@ def near_weight(points: DataFrame, cells: DataFrame, near: DataFrame, hood: Neig
 
 
 def mark_core(
-    cells: DataFrame, near: DataFrame, hood: Neighbourhood, min_samples: int, most_places: int, n_cells: int
-) -> DataFrame:
-    """Cells with ``core``: at least ``min_samples`` rows around, own row included."""
+    cells: DataFrame, near: DataFrame, hood: Neighbourhood, min_samples: int, n_cells: int
+) -> tuple[DataFrame, int]:
+    """Cells with ``core``: at least ``min_samples`` rows around, own row included.
+
+    Also returns the most places that any box has on a day.
+    """
     by_day = Window.partitionBy("box").orderBy("day").rangeBetween(-hood.days, hood.days)
     own = (
         cells.groupBy("box", "day").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_rows"))
-        .select("box", "day", "_rows", F.sum("_w").over(by_day).alias("own_weight"))
+        .select("box", "day", "_rows", F.col("_rows").alias("_places"), F.sum("_w").over(by_day).alias("own_weight"))
     )
+    seen = Observation()
     counted = materialize(
-        spread_join(cells, own, ["box", "day"], "_rows", n_cells, ["first"]), "counted"
+        spread_join(cells, own, ["box", "day"], "_rows", n_cells, ["first"])
+        .observe(seen, F.max("_places").alias("most")).drop("_places"),
+        "counted",
     )
+    most_places = seen.get["most"] or 0
     # Sparse cells only: fewer than min_samples rows share their box and days.
     sparse = counted.where(F.col("own_weight") < min_samples)
     others = near.where("box != near_box")
     around = near_weight(sparse, counted, others, hood, most_places)
     enough = F.col("own_weight") + F.coalesce("near_weight", F.lit(0)) >= min_samples
-    return counted.join(around, "first", "left").withColumn("core", enough).drop("near_weight")
+    return counted.join(around, "first", "left").withColumn("core", enough).drop("near_weight"), most_places
 
 
 def core_runs(core: DataFrame, days: int) -> DataFrame:
@@ -336,15 +343,18 @@ def st_dbscan(
     min_samples = cfg.min_samples if min_samples is None else min_samples
     hood = Neighbourhood.of(eps_km, eps_days)
 
-    cells = materialize(cells_of(points, lat, lon, day, order, hood.grid), "cells")
-    size = (
-        cells.groupBy("box", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-        .agg(F.max("n").alias("most"), F.sum("n").alias("cells"), F.sum("w").alias("rows")).first()
+    seen = Observation()
+    cells = materialize(
+        cells_of(points, lat, lon, day, order, hood.grid).observe(
+            seen, F.count(F.lit(1)).alias("cells"), F.sum("weight").alias("rows")
+        ),
+        "cells",
     )
-    most_places, n_cells, rows = size.most or 0, size.cells or 0, size.rows or 0
+    n_cells, rows = seen.get["cells"], seen.get["rows"] or 0
     near = materialize(adjacent_boxes(cells, hood.grid), "near")
 
-    marked = materialize(mark_core(cells, near, hood, min_samples, most_places, n_cells), "marked")
+    marked, most_places = mark_core(cells, near, hood, min_samples, n_cells)
+    marked = materialize(marked, "marked")
     core = marked.where("core")
     runs = materialize(core_runs(core, hood.days), "runs")
     edges = linked_runs(core, runs, near, hood, most_places)
@@ -354,9 +364,7 @@ def st_dbscan(
         "component", F.coalesce("component", "run")
     )
     clusters = numbered(labelled.select("component").distinct(), ["component"], "st_cluster", start=0)
-    runs_out = materialize(
-        labelled.join(clusters, "component").select(*NODE_COLUMNS, "st_cluster"), "clusters"
-    )
+    runs_out = labelled.join(clusters, "component").select(*NODE_COLUMNS, "st_cluster")
 
     core_labels = spread_join(
         core.select("lat", "lon", "day", "box", "weight", "first"),
