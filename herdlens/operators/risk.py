@@ -16,6 +16,7 @@ from herdlens.functions.numeric import (
 from herdlens.operators.rollup import (
     coarser, region_measures, region_rollup, rollup_from_measures,
 )
+from herdlens.session import materialize
 
 LEVELS = ("village", "block", "district")
 
@@ -64,8 +65,8 @@ def by_score(scored: DataFrame, level: str) -> DataFrame:
 
 
 def all_levels(reports: DataFrame, as_of=None, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
-    """All three levels from one reading of the reports."""
-    finest = region_measures(reports, ["district", "block", "village"], as_of, cfg)
+    """All three levels from one reading of the reports: written sums of the finest level."""
+    finest = materialize(region_measures(reports, ["district", "block", "village"], as_of, cfg), "measures")
     return {
         level: with_risk_score(rollup_from_measures(coarser(finest, level), level), cfg)
         for level in LEVELS

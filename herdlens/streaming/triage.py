@@ -5,8 +5,9 @@ and appended to the folder's tables:
 
 * ``accepted`` - stored reports with their triage result,
 * ``rejected`` - invalid reports with their messages,
-* ``daily`` - report counts per village and day, the only history that scoring
-  a batch has to read.
+* ``daily`` - each batch's report counts per village and day, combined into
+  ``base`` every ``COMPACT_EVERY`` batches. These counts are the only history
+  that scoring a batch reads.
 
 Within a batch, reports count as arriving in date order, ties by the arrival
 column. Context of past days depends on the final risk of earlier reports, so a
@@ -32,6 +33,8 @@ from herdlens.operators.validation import split_valid
 from herdlens.plans.triage import RESULT_COLUMNS, Scorer, judge, prepare
 from herdlens.sources.tables import last_id
 
+COMPACT_EVERY = 100
+
 _DAILY = "village string, date date, n bigint, n_high bigint"
 
 
@@ -45,7 +48,7 @@ class TriageStream:
 
     def start_from(self, history: DataFrame) -> None:
         """Write the history's daily counts and last id; later batches build on them."""
-        self._write(daily_counts(history), "daily", -1, 0)
+        daily_counts(history).write.mode("overwrite").parquet(self._base(0))
         self._write(self.spark.range(1).select(F.lit(last_id(history)).alias("last_id")), "ids", -1, 0)
 
     def run(self, incoming: DataFrame, **trigger) -> StreamingQuery:
@@ -60,16 +63,20 @@ class TriageStream:
         valid, rejected = split_valid(batch, self.cfg)
         self._write(rejected, "rejected", batch_id, 0)
         columns = [f.name for f in schema.INCOMING.fields]
-        first_free = self._before("ids", "last_id bigint", batch_id, 0).agg(F.max("last_id")).first()[0] + 1
+        last = self.spark.read.schema("last_id bigint").parquet(self._path("ids", batch_id - 1, 0))
+        first_free = last.first().last_id + 1
         rows = numbered(
             prepare(valid.select(*columns, self.arrival), self.cfg), ["date", self.arrival], "report_id", first_free
         ).withColumn("_one", F.lit(1).cast("bigint"))
         same_day = earlier_rows(rows, ["village", "date"], "report_id", {"_same": "_one"}).drop("_one")
 
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            self._compact(batch_id)
+        self._write(self.spark.createDataFrame([], _DAILY), "daily", batch_id, -1)  # the folder always exists
         days = [r.date for r in rows.select("date").distinct().orderBy("date").collect()]
         for step, day in enumerate(days):
             today = same_day.where(F.col("date") == F.lit(day))
-            counted = with_counts(today, self._before("daily", _DAILY, batch_id, step), self.cfg)
+            counted = with_counts(today, self._daily_before(batch_id, step), self.cfg)
             # Reports of the same village and day that arrived earlier in this batch.
             counted = counted.withColumns({c: F.coalesce(c, F.lit(0)) + F.col("_same") for c in ("_recent", "_rapid")})
             known = named_context(counted, today.columns, F.lit(0), self.cfg)
@@ -88,12 +95,28 @@ class TriageStream:
     def rejected(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/rejected").drop("batch_id", "step")
 
+    def _path(self, table: str, batch_id: int, step: int) -> str:
+        return f"{self.folder}/{table}/batch_id={batch_id}/step={step}"
+
     def _write(self, df: DataFrame, table: str, batch_id: int, step: int) -> str:
-        path = f"{self.folder}/{table}/batch_id={batch_id}/step={step}"
+        path = self._path(table, batch_id, step)
         df.write.mode("overwrite").parquet(path)
         return path
 
-    def _before(self, table: str, kind: str, batch_id: int, step: int) -> DataFrame:
-        rows = self.spark.read.schema(f"{kind}, batch_id bigint, step int").parquet(f"{self.folder}/{table}")
-        earlier = (F.col("batch_id") < batch_id) | ((F.col("batch_id") == batch_id) & (F.col("step") < step))
-        return rows.where(earlier).drop("batch_id", "step")
+    def _base(self, upto: int) -> str:
+        return f"{self.folder}/base/upto={upto}"
+
+    def _read_daily(self, start: int, batch_id: int, step: int) -> DataFrame:
+        """Counts of the base at ``start`` and of everything from there up to a batch's step."""
+        paths = [self._base(start), *[f"{self.folder}/daily/batch_id={b}" for b in range(start, batch_id)]]
+        paths += [self._path("daily", batch_id, s) for s in range(-1, step)]
+        return self.spark.read.schema(_DAILY).option("recursiveFileLookup", True).parquet(*paths)
+
+    def _daily_before(self, batch_id: int, step: int) -> DataFrame:
+        return self._read_daily(batch_id // COMPACT_EVERY * COMPACT_EVERY, batch_id, step)
+
+    def _compact(self, batch_id: int) -> None:
+        """Combine the counts of all earlier batches; a repeated batch writes the same."""
+        earlier = self._read_daily(batch_id - COMPACT_EVERY, batch_id, -1)
+        combined = earlier.groupBy("village", "date").agg(F.sum("n").alias("n"), F.sum("n_high").alias("n_high"))
+        combined.write.mode("overwrite").parquet(self._base(batch_id))

@@ -7,7 +7,7 @@ from catalog.queries import label_scorer
 from herdlens import schema
 from herdlens.plans.triage import prepare
 from herdlens.session import new_path
-from herdlens.streaming import trends
+from herdlens.streaming import trends, triage
 from herdlens.streaming.triage import TriageStream
 from tests.test_context import naive
 
@@ -54,7 +54,8 @@ def _rows(stream):
     ]
 
 
-def test_batches_do_not_change_the_result(spark, make_reports, history):
+def test_batches_do_not_change_the_result(spark, make_reports, history, monkeypatch):
+    monkeypatch.setattr(triage, "COMPACT_EVERY", 2)
     arrivals = _arrivals(make_reports)
     one = _run(spark, history, arrivals, [[0, 1, 2]])
     three = _run(spark, history, arrivals, [[0], [1], [2]])
