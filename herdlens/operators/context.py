@@ -67,7 +67,7 @@ def with_counts(targets: DataFrame, daily: DataFrame, cfg: Config = DEFAULT) ->
         .distinct()
         .withColumns({"n": F.lit(0).cast("bigint"), "n_high": F.lit(0).cast("bigint")})
     )
-    # Spark moves this filter below the counting of the history.
+    # Only villages asked for; few enough to broadcast, they filter before the counting.
     known = daily.join(asked.select("village").distinct(), "village", "left_semi").select(*asked.columns)
     both = known.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)))
     windows = _windowed(both, cfg).where("_asked").drop("n", "n_high", "_asked")

@@ -107,15 +107,24 @@ def _profiles(reports: DataFrame, cfg: Config) -> DataFrame:
 
 
 def grade_severity(
-    reports: DataFrame, n_groups: int | None = None, dof: float | None = None, cfg: Config = DEFAULT
+    reports: DataFrame,
+    n_groups: int | None = None,
+    dof: float | None = None,
+    cfg: Config = DEFAULT,
+    fit_on: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, TMixtureModel]:
-    """Reports with severity columns, the groups' centres, and the mixture."""
+    """Reports with severity columns, the groups' centres, and the mixture.
+
+    ``fit_on`` holds the same reports where those are cheaper to read.
+    """
     k = cfg.severity_groups if n_groups is None else n_groups
     profile = [f"_p_{c}" for c in SEVERITY_COLUMNS]
     profiled = _profiles(reports, cfg)
     # Distinct profiles with their counts: what all the fitting reads.
     distinct = materialize(
-        profiled.groupBy(*profile).agg(F.count(F.lit(1)).alias("n")), "profiles"
+        (profiled if fit_on is None else _profiles(fit_on, cfg))
+        .groupBy(*profile).agg(F.count(F.lit(1)).alias("n")),
+        "profiles",
     )
     means, spreads = standard_scale(distinct, profile, "n")
     z = [f"_z{i}" for i in range(len(profile))]
@@ -257,8 +266,11 @@ def clustered_reports(
     reports: DataFrame, regions: DataFrame, eps_km=None, eps_days=None, min_samples=None, cfg: Config = DEFAULT
 ) -> DataFrame:
     """Located reports with ``day_offset`` and ``st_cluster``."""
-    located = with_day_offset(with_coordinates(reports, regions))
-    return st_dbscan(located, eps_km, eps_days, min_samples, cfg=cfg)
+    return st_dbscan(located_reports(reports, regions), eps_km, eps_days, min_samples, cfg=cfg)
+
+
+def located_reports(reports: DataFrame, regions: DataFrame) -> DataFrame:
+    return with_day_offset(with_coordinates(reports, regions))
 
 
 def detect_outbreaks(
@@ -272,8 +284,9 @@ def detect_outbreaks(
     cfg: Config = DEFAULT,
 ) -> Outbreaks:
     """Clusters in space and time, each graded by the severity of its reports."""
-    clustered = clustered_reports(reports, regions, eps_km, eps_days, min_samples, cfg)
-    graded, groups, mixture = grade_severity(clustered, n_severity_groups, dof, cfg)
+    located = located_reports(reports, regions)
+    clustered = st_dbscan(located, eps_km, eps_days, min_samples, cfg=cfg)
+    graded, groups, mixture = grade_severity(clustered, n_severity_groups, dof, cfg, fit_on=located)
     return Outbreaks(graded, cluster_summary(graded, cfg), groups, cluster_totals(graded), mixture)
 
 
