@@ -288,7 +288,7 @@ clustered AS (SELECT located.*, coalesce(st_cluster, -1) AS st_cluster FROM loca
 
 SUMMARY = f"""
 graded AS (SELECT *, CASE risk_level WHEN 'LOW' THEN 'Mild' WHEN 'MEDIUM' THEN 'Moderate' ELSE 'Severe' END AS grade,
-  1e0 - mortality_rate / 2e0 AS sure FROM clustered WHERE st_cluster >= 0),
+  round_even((1e0 - mortality_rate / 2e0) * 1000e0, 0) / 1000e0 AS sure FROM clustered WHERE st_cluster >= 0),
 grades AS (SELECT st_cluster, grade, count(*) AS n FROM graded GROUP BY ALL),
 villages AS (SELECT st_cluster, village, count(*) AS n FROM graded GROUP BY ALL),
 listed AS (SELECT st_cluster, string_agg(village, ', ' ORDER BY village) AS names FROM
@@ -297,7 +297,7 @@ main AS (
   SELECT st_cluster, count(*) AS n_reports, count(DISTINCT village) AS n_villages, count(DISTINCT district) AS n_districts,
     min(date) AS date_start, max(date) AS date_end, CAST(date_diff('day', min(date), max(date)) + 1 AS INTEGER) AS duration_days,
     CAST(sum(number_affected) AS BIGINT) AS total_affected, CAST(sum(number_deaths) AS BIGINT) AS total_deaths,
-    CAST(sum(number_deaths) AS DOUBLE) / greatest(1, sum(number_affected)) AS m, avg(sure) AS c,
+    CAST(sum(number_deaths) AS DOUBLE) / greatest(1, sum(number_affected)) AS m, CAST(sum(CAST(sure AS DECIMAL(18, 9))) AS DOUBLE) / count(*) AS c,
     count(*) FILTER (WHERE risk_level = 'HIGH') AS high_concern_reports FROM graded GROUP BY 1),
 summary AS (
   SELECT st_cluster, n_reports, n_villages, n_districts, names || CASE WHEN n_villages > 3 THEN '...' ELSE '' END AS villages,

@@ -348,7 +348,7 @@ def known_villages(spark, sf):
 def summary(spark, sf):
     severity = literal_map({"LOW": "Mild", "MEDIUM": "Moderate", "HIGH": "Severe"})[F.col("risk_level")]
     graded = clustered(spark, sf).withColumn("severity_group", severity).withColumn(
-        "severity_confidence", F.lit(1.0) - F.col("mortality_rate") / F.lit(2.0)
+        "severity_confidence", round_scaled(F.lit(1.0) - F.col("mortality_rate") / F.lit(2.0), 3)
     )
     return outbreak.cluster_summary(graded)
 

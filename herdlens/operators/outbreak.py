@@ -200,7 +200,8 @@ def cluster_summary(clustered: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             F.sum("number_affected").alias("affected"),
             F.sum("number_deaths").alias("deaths"),
             F.sum("_high").alias("high"),
-            F.sum("severity_confidence").alias("confidence"),
+            # Decimal sums do not depend on the order of the rows.
+            F.sum(F.col("severity_confidence").cast("decimal(18,9)")).alias("confidence"),
         )
     )
     parts = materialize(parts, "cluster-parts")
@@ -213,7 +214,7 @@ def cluster_summary(clustered: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.coalesce(F.sum("affected"), F.lit(0)).alias("total_affected"),
         F.coalesce(F.sum("deaths"), F.lit(0)).alias("total_deaths"),
         (F.coalesce(F.sum("high"), F.lit(0)) if labelled else F.lit(None).cast("bigint")).alias("high_concern_reports"),
-        (F.sum("confidence") / F.sum("n")).alias("_confidence"),
+        (F.sum("confidence").cast("double") / F.sum("n")).alias("_confidence"),
     )
 
     def most_frequent(column: str, alias: str) -> DataFrame:
