@@ -6,14 +6,31 @@ import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from herdlens.llm.common import table
+from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.token_files import read_token_files, write_token_files
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as piece ids and decoded again: digests of both."""
+    model = public_tokenizers.path(PIECE_TOKENIZER)
+    ids = encode_texts(table(spark, sf_dir, "documents"), model, ["doc_id"]).select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        "ids",
+    )
+    decoded = decode_ids(ids, model, ["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
 def _crc32(ids) -> tuple:
     return (zlib.crc32(ids.astype("<u4").tobytes()),)
 
@@ -25,7 +42,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {"op10_token_files": op10_token_files}
+    return {
+        "op2_pieces": op2_pieces,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def llm_oracles() -> dict:

@@ -23,6 +23,7 @@ readers see whole files only.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -78,8 +79,7 @@ class WordEncoder:
         known = self.words
         fresh = [w for w in set().union(*cut.values()) if w not in known]
         here = dict(zip(fresh, self._library(fresh), strict=True))
-        if len(known) < KEPT:
-            known.update(here)
+        known.update(itertools.islice(here.items(), max(0, KEPT - len(known))))
         found = dict(zip(whole, self._library(whole), strict=True))
         for chunk, words in cut.items():
             found[chunk] = b"".join([known[w] if w in known else here[w] for w in words])
@@ -91,9 +91,7 @@ class WordEncoder:
         known = self.chunks
         fresh = [c for c in set().union(*split) if c not in known]
         here = self._new_chunks(fresh)
-        if len(known) + len(here) <= KEPT:
-            known.update(here)
-            return [b"".join(map(known.__getitem__, s)) for s in split]
+        known.update(itertools.islice(here.items(), max(0, KEPT - len(known))))
         return [b"".join([known[c] if c in known else here[c] for c in s]) for s in split]
 
 
