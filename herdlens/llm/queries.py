@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from herdlens.llm import oracles
 from herdlens.llm.common import table
+from herdlens.llm.decontaminate import contamination
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.token_files import read_token_files, write_token_files
 
@@ -31,6 +33,19 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items whose passages they hold."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def _crc32(ids) -> tuple:
     return (zlib.crc32(ids.astype("<u4").tobytes()),)
 
@@ -44,9 +59,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def llm_queries() -> dict:
     return {
         "op2_pieces": op2_pieces,
+        "op4_decontamination": op4_decontamination,
         "op10_token_files": op10_token_files,
     }
 
 
 def llm_oracles() -> dict:
-    return {}
+    return dict(oracles.ALL)
