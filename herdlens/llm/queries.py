@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from herdlens.llm import oracles
 from herdlens.llm.common import table
 from herdlens.llm.decontaminate import contamination
+from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.token_files import read_token_files, write_token_files
 
@@ -46,6 +47,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents, of their edited texts, and how alike they are."""
+    pairs = edited_likeness(table(spark, sf_dir, "documents"))
+    own, edited, following = (F.col(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    return pairs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(own).alias("fingerprint"),
+        as_text(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"),
+        likeness(own, following).alias("near_next"),
+        F.col("next_id").alias("next_doc_id"),
+        F.col("next_chars").alias("next_n_chars"),
+    )
+
+
 def _crc32(ids) -> tuple:
     return (zlib.crc32(ids.astype("<u4").tobytes()),)
 
@@ -60,6 +78,7 @@ def llm_queries() -> dict:
     return {
         "op2_pieces": op2_pieces,
         "op4_decontamination": op4_decontamination,
+        "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
     }
 

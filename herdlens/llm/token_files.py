@@ -224,7 +224,7 @@ def write_token_files(
             yield batch
 
     names = "part int, n_docs bigint, n_tokens bigint, width int, base_docs bigint, base_tokens bigint"
-    spread = manifest.repartition(F.col("part"))
+    spread = manifest.repartition(max(1, sizes.count()), "part")
     spread.mapInArrow(place_offsets, names).write.parquet(f"{folder}/manifest")
     return folder
 
@@ -260,7 +260,9 @@ def read_token_files(spark, folder: str, derive=None, schema: str = "ids array<b
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = [to_arrow_type(f.dataType) for f in fields]
-    manifest = spark.read.parquet(f"{folder}/manifest").repartition(F.col("part"))
+    parts = spark.read.parquet(f"{folder}/manifest")
+    manifest = parts.repartition(max(1, parts.count()), "part")  # a given number is not put together again
     read = manifest.mapInArrow(open_parts, f"part int, place bigint, start bigint, n_tokens bigint, {schema}")
     index = spark.read.parquet(f"{folder}/index").select("part", "place", "doc_id")
-    return read.join(index, ["part", "place"]).select("doc_id", "start", "n_tokens", *fields.names)
+    # The manifest's size says nothing about that of the ids: never broadcast them.
+    return read.join(index.hint("merge"), ["part", "place"]).select("doc_id", "start", "n_tokens", *fields.names)
