@@ -141,8 +141,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Next is the distinct document (id and text) that follows in descending order
     of ids (nulls last, equal ids by a digest of the text), after the last the
-    first. Returns ``(doc_id, n_chars, edited, fingerprint, edited_fingerprint,
-    next_id, next_chars, next_fingerprint)``. Texts are shuffled once, halves of the following texts
+    first. Returns ``(doc_id, n_chars, edited, vector, edited_vector, next_id,
+    next_chars, next_vector)``. Texts are shuffled once, halves of the following texts
     once; the order is found on digests alone.
     """
     text = text_of(text_col)
@@ -161,20 +161,20 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     targets = placed.select("key", "at").join(before, "at").select("key", "to", "half")
 
     # Both joins need the same columns, so that their common shuffle is made once.
-    texts = fingerprints(rows)
+    texts = fingerprints(rows, name="vector")
     sent = texts.join(targets, "key").select(
         "to",
         F.struct(
             F.col("text").substr(F.lit(1), F.col("half")).alias("head"), F.col("doc_id").alias("id"),
-            F.col("n_chars").alias("n"), "fingerprint",
+            F.col("n_chars").alias("n"), "vector",
         ).alias("next"),
     )
     following = sent.groupBy(F.col("to").alias("key")).agg(F.first("next").alias("next"))
     kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), kept), F.col("next.head"))
     return texts.join(following, "key").select(
-        "doc_id", "n_chars", edited.alias("edited"), "fingerprint",
-        vector(paragraphs(edited)).alias("edited_fingerprint"),
+        "doc_id", "n_chars", edited.alias("edited"), "vector",
+        vector(paragraphs(edited)).alias("edited_vector"),
         F.col("next.id").alias("next_id"), F.col("next.n").alias("next_chars"),
-        F.col("next.fingerprint").alias("next_fingerprint"),
+        F.col("next.vector").alias("next_vector"),
     )

@@ -50,7 +50,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and how alike they are."""
     pairs = edited_likeness(table(spark, sf_dir, "documents"))
-    own, edited, following = (F.col(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    own, edited, following = (F.col(c) for c in ("vector", "edited_vector", "next_vector"))
     return pairs.select(
         "doc_id",
         "n_chars",
