@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdlens.llm import oracles
+from herdlens.llm.chat import chat_paths, linear_replies, masked_text, read_turns
 from herdlens.llm.common import table
 from herdlens.llm.decontaminate import contamination
 from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.token_files import read_token_files, write_token_files
+from herdlens.session import materialize
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
@@ -47,6 +49,26 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted as chats, and what reading them back gives."""
+    said = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("bigint"), "id", role, F.lit(said))
+    replies = materialize(linear_replies(rows.union(more)), "chat-replies")
+    chats = chat_paths(replies).join(replies.select(F.col("node").alias("root"), "conv_id"), "root")
+    read = chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and how alike they are."""
     pairs = edited_likeness(table(spark, sf_dir, "documents"))
@@ -78,6 +100,7 @@ def llm_queries() -> dict:
     return {
         "op2_pieces": op2_pieces,
         "op4_decontamination": op4_decontamination,
+        "op7_chat": op7_chat,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
     }
