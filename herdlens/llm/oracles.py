@@ -46,4 +46,26 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 FROM told
 """
 
-ALL = {"op7_chat": OP7, "op4_decontamination": OP4}
+OP6 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines,
+    md5(concat_ws(chr(10), coalesce(CAST(doc_id AS VARCHAR), 'null'), text)) AS digest FROM documents
+), windows AS (
+  SELECT r, doc_id, digest, i, array_to_string(lines[i + 1 : i + 3], chr(10)) AS win
+  FROM (SELECT r, doc_id, digest, lines, unnest(range(0, len(lines) - 2)) AS i FROM docs WHERE len(lines) >= 3)
+), ranked AS (
+  SELECT r, i, rank() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, digest, i) AS place FROM windows
+), gone AS (
+  SELECT r, p, count(*) AS c FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM ranked WHERE place > 1) GROUP BY r, p
+), each AS (
+  SELECT r, unnest(range(0, len(lines))) AS p, unnest(lines) AS line FROM docs
+), kept AS (
+  SELECT e.r, count(g.c) AS n_deleted, string_agg(e.line, chr(10) ORDER BY e.p) FILTER (g.c IS NULL) AS rest
+  FROM each e LEFT JOIN gone g ON e.r = g.r AND e.p = g.p GROUP BY e.r
+)
+SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted,
+  CASE WHEN text IS NOT NULL THEN coalesce(rest, '') END AS text
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+ALL = {"op6_line_dedup": OP6, "op7_chat": OP7, "op4_decontamination": OP4}

@@ -13,6 +13,7 @@ from herdlens.llm.chat import chat_paths, linear_replies, masked_text, read_turn
 from herdlens.llm.common import table
 from herdlens.llm.decontaminate import contamination
 from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
+from herdlens.llm.line_dedup import line_report
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.token_files import read_token_files, write_token_files
 from herdlens.session import materialize
@@ -49,6 +50,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat earlier runs of lines."""
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations formatted as chats, and what reading them back gives."""
     said = r"\### Assistant: </turn> ok"
@@ -100,6 +106,7 @@ def llm_queries() -> dict:
     return {
         "op2_pieces": op2_pieces,
         "op4_decontamination": op4_decontamination,
+        "op6_line_dedup": op6_line_dedup,
         "op7_chat": op7_chat,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
