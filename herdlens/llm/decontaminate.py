@@ -73,13 +73,11 @@ def _word_lists(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _windows(lists: DataFrame, size: int) -> DataFrame:
-    """``(text, item, begin, window)``: ``text`` tells apart items with one id."""
+    """``(unit, item, begin, window)``: ``unit`` tells apart items with one id."""
     last = F.greatest(F.size("words") - size, F.lit(0))
-    return lists.select(
-        "item",
-        F.md5(F.array_join("words", " ")).alias("text"),
-        F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("begin"), F.slice("words", i + 1, size).alias("window")))).alias("w"),
-    ).select("item", "text", "w.*")
+    window = lambda i: F.struct(i.alias("begin"), F.slice("words", i + 1, size).alias("window"))
+    cut = F.explode(F.transform(F.sequence(F.lit(0), last), window))
+    return lists.select(F.monotonically_increasing_id().alias("unit"), "item", cut.alias("w")).select("unit", "item", "w.*")
 
 
 def _bit_map(words: DataFrame) -> bytes:
@@ -129,11 +127,11 @@ def anchored_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
     each = windows.select("*", F.posexplode("window").alias("place", "word")).join(counts, "word")
     rare = F.sort_array(F.collect_list(F.struct("n", "place", "word")))  # at most a window's words
     return (
-        each.groupBy("item", "text", "begin")
+        each.groupBy("unit", "item", "begin")
         .agg(rare.alias("rare"), F.first("window").alias("window"))
         .where("rare[0].n > 0")
         .select(
-            "item", "text", "begin", "window",
+            "unit", "item", "begin", "window",
             F.col("rare")[0]["word"].alias("first_word"),
             (F.col("begin") + F.col("rare")[0]["place"]).alias("first_at"),
             F.get("rare", F.lit(1))["word"].alias("second_word"),
@@ -196,41 +194,37 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     matches (``exact`` false): the window's two rarest words, each by at most
     ``slop`` words away from where the other one would have it.
     """
-    places = windows.select("first_word", "item", "text", "first_at").union(
-        windows.where("second_word IS NOT NULL").select("second_word", "item", "text", "second_at")
-    ).toDF("word", "item", "text", "place").distinct()
-    postings = index.select("doc", F.explode("postings").alias("p")).select("doc", "p.*")
-    moved = postings.join(places, "word").withColumn("origin", F.col("at") - F.col("place"))
-    width = slop + 1
-    moved = moved.withColumn("cell", F.floor(F.col("origin") / width))
-    second = moved.select("doc", "text", "item", F.col("place").alias("second_at"), F.col("origin").alias("other"), "cell")
-    if slop:
-        second = second.withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)))
-    # A word's posting meets the windows that it is the rarest word of, then the
-    # postings of their second word which agree on where the item begins.
-    by_first = windows.select("item", "text", "begin", "window", F.col("first_at").alias("place"), "second_at")
-    first = moved.select("doc", "text", "item", "place", "origin", "cell", "from", "around")
-    seen = second.select("doc", "text", "item", "cell", "second_at", "other").distinct()
-    alone = first.join(by_first.where("second_at IS NULL"), ["item", "text", "place"])
-    keys = ["doc", "text", "item", "cell"]
+    places = windows.select("first_word", "unit", "first_at").union(
+        windows.where("second_word IS NOT NULL").select("second_word", "unit", "second_at")
+    ).toDF("word", "unit", "place").distinct()
+    # Lists of bare positions are intersected; the words around them come last.
+    postings = index.select("doc", F.explode("postings").alias("p")).select("doc", "p.word", "p.at")
+    moved = postings.join(places, "word").select("doc", "unit", "place", (F.col("at") - F.col("place")).alias("origin"))
+    wanted = windows.select("unit", "item", "begin", "window", F.col("first_at").alias("place"), "second_at")
+    several, alone = wanted.where("second_at IS NOT NULL"), wanted.where("second_at IS NULL")
+    columns = ["doc", "unit", "item", "begin", "window", "origin", "place", "other"]
     if slop == 0:
-        # Most postings of a rare word stand alone: drop them before the windows come in.
-        several = seen.groupBy(*keys).agg(F.collect_set("second_at").alias("places")).where("size(places) > 1")
-        pairs = (
-            first.join(several, keys)
-            .join(by_first.where("second_at IS NOT NULL"), ["item", "text", "place"])
-            .where("array_contains(places, second_at)")
-            .withColumn("other", F.col("origin"))
-        )
+        lists = moved.groupBy("doc", "unit", "origin").agg(F.collect_set("place").alias("places")).where("size(places) > 1")
+        first = lists.select("*", F.explode("places").alias("place"))
+        pairs = first.join(several, ["unit", "place"]).where("array_contains(places, second_at)")
+        pairs = pairs.withColumn("other", F.col("origin"))
     else:
-        pairs = first.join(by_first.where("second_at IS NOT NULL"), ["item", "text", "place"]).join(seen, [*keys, "second_at"])
-        pairs = pairs.where(F.abs(F.col("origin") - F.col("other")) <= slop)
-    columns = ["doc", "item", "window", "origin", "begin", "from", "around", "other"]
-    found = pairs.select(*columns).union(alone.withColumn("other", F.col("origin")).select(*columns))
+        width = slop + 1
+        cell = F.floor(F.col("origin") / width)
+        first = moved.withColumn("cell", cell).join(several, ["unit", "place"])
+        second = moved.select("doc", "unit", F.col("place").alias("second_at"), F.col("origin").alias("other")).distinct()
+        near = F.floor(F.col("other") / width)
+        second = second.withColumn("cell", F.explode(F.array(near - 1, near, near + 1)))
+        pairs = first.join(second, ["doc", "unit", "second_at", "cell"]).where(F.abs(F.col("origin") - F.col("other")) <= slop)
+    single = moved.join(alone, ["unit", "place"]).withColumn("other", F.col("origin"))
+    found = pairs.select(*columns).union(single.select(*columns)).withColumn("posted", F.col("origin") + F.col("place"))
+    around = index.select("doc", F.explode("postings").alias("p")).select(
+        "doc", F.col("p.at").alias("posted"), F.col("p.from").alias("from"), "p.around"
+    )
     at = (F.col("origin") + F.col("begin")).cast("int")
     inside = (at >= F.col("from")) & (F.col("other") == F.col("origin"))
     shown = F.when(inside, F.slice("around", F.greatest(at - F.col("from"), F.lit(0)) + 1, F.size("window")))
-    result = found.select(
+    result = found.join(around, ["doc", "posted"]).select(
         "doc", "item", at.alias("at"), F.size("window").alias("size"),
         F.coalesce(shown == F.col("window"), F.lit(False)).alias("exact"),
     )
