@@ -14,6 +14,7 @@ from herdlens.llm.common import table
 from herdlens.llm.decontaminate import contamination
 from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
 from herdlens.llm.line_dedup import line_report
+from herdlens.llm.near_dedup import class_of_each
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.token_files import read_token_files, write_token_files
 from herdlens.session import materialize
@@ -22,6 +23,11 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class of near duplicates."""
+    return class_of_each(table(spark, sf_dir, "documents"))
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as piece ids and decoded again: digests of both."""
     model = public_tokenizers.path(PIECE_TOKENIZER)
@@ -104,6 +110,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def llm_queries() -> dict:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_pieces": op2_pieces,
         "op4_decontamination": op4_decontamination,
         "op6_line_dedup": op6_line_dedup,
