@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, as rows may be very long texts."""
+    """Ready for Python tasks: Arrow batches bounded by bytes, as rows may be very
+    long texts, and the folder of this package on the path of local workers. (On a
+    cluster the package is installed or shipped with ``--py-files``.)
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    given = int(now) if now and now.lstrip("-").isdigit() else -1
-    if given <= 0 or given > BATCH_BYTES:
+    now = (spark.conf.get(name, None) or "").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths and not root.endswith((".zip", ".egg")):
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

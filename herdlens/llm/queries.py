@@ -16,6 +16,7 @@ from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
 from herdlens.llm.line_dedup import line_report
 from herdlens.llm.near_dedup import class_of_each
 from herdlens.llm.pieces import decode_ids, encode_texts
+from herdlens.llm.substring_dedup import repeated_runs
 from herdlens.llm.token_files import read_token_files, write_token_files
 from herdlens.session import materialize
 
@@ -43,6 +44,19 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that repeat passages of earlier text: the byte ranges and where they come from."""
+    found = repeated_runs(table(spark, sf_dir, "documents"))
+    sizes = F.transform("runs", lambda r: r["end"] - r["start"])
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n_bytes"),
+        F.array_sort(F.array_distinct("runs.source_id")).alias("source_ids"),
+        "runs",
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the benchmark items whose passages they hold."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -112,6 +126,7 @@ def llm_queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_pieces": op2_pieces,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_chat": op7_chat,
