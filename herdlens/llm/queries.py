@@ -18,6 +18,7 @@ from herdlens.llm.near_dedup import class_of_each
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.substring_dedup import repeated_runs
 from herdlens.llm.token_files import read_token_files, write_token_files
+from herdlens.llm.toxicity import THRESHOLD, fit, held_out, with_score
 from herdlens.session import materialize
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -95,6 +96,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a score for toxicity, learned without the held-out labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(~held_out()))
+    scored = with_score(docs.select("doc_id", "text"), model, "text")
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of documents, of their edited texts, and how alike they are."""
     pairs = edited_likeness(table(spark, sf_dir, "documents"))
@@ -130,6 +141,7 @@ def llm_queries() -> dict:
         "op4_decontamination": op4_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op7_chat": op7_chat,
+        "op8_toxicity": op8_toxicity,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
     }
