@@ -11,7 +11,10 @@
    Other tokens have a single path and stay as they are.
 3. Features of a text are its restored words and their first three, four and five
    letters. Those that labelled documents have far more often if toxic are
-   counted and chosen by Spark, and a logistic regression weighs them.
+   counted and chosen by Spark, and a logistic regression weighs them. As toxic
+   texts mostly have several of them, it makes little of one alone; so a score is
+   never below the lower confidence bound of the toxic share among labelled texts
+   with any one of the features.
 
 Labels are learned from at most ``FIT_ROWS`` labelled documents (those of the
 least hash), at most ``FEATURES`` features are weighed: with the language model
@@ -46,6 +49,7 @@ SYMBOLS = 64
 UNIT = 256
 KEPT = 300_000  # tokens whose features a worker remembers
 THRESHOLD = 0.3
+SURE = 0.9  # least share of toxic texts from which one feature decides alone
 
 # Which letters a sign may stand for.
 LOOKALIKES = {
@@ -249,10 +253,23 @@ def _fitted(rows: list, n: int) -> tuple[np.ndarray, float]:
 
 
 class ToxicityModel:
-    """What scoring needs: language model, feature numbers, weights, bias."""
+    """What scoring needs: language model, feature numbers, weights, bias, least shares."""
 
-    def __init__(self, costs: np.ndarray, chosen: dict, weights: np.ndarray, bias: float):
-        self.costs, self.chosen, self.weights, self.bias = costs, chosen, weights, bias
+    def __init__(self, costs: np.ndarray, chosen: dict, weights: np.ndarray, bias: float, sure: list):
+        self.costs, self.chosen, self.bias, self.sure = costs, chosen, bias, sure
+        self.weights = weights.tolist()
+
+    def score(self, features: set) -> float:
+        z = self.bias + sum(self.weights[f] for f in features)
+        fitted = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        return max([fitted, *(self.sure[f] for f in features if self.sure[f] >= SURE)])
+
+
+def _least_share(toxic: int, n: int, z: float = 2.0) -> float:
+    """Wilson's lower bound of a share."""
+    share = toxic / n
+    middle = share + z * z / (2 * n)
+    return (middle - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -287,10 +304,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # The row of the empty feature counts the documents; features come by how much they tell.
     strong = counts.where("all OR (toxic >= 3 AND toxic > clean)")
     told_by = F.col("toxic") * F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
-    chosen = [
-        r.feature for r in strong.where("NOT all").orderBy(F.desc(told_by), "feature").limit(FEATURES).collect()
-    ]
-    numbers = {f: i for i, f in enumerate(chosen)}
+    chosen = strong.where("NOT all").orderBy(F.desc(told_by), "feature").limit(FEATURES).collect()
+    numbers = {r.feature: i for i, r in enumerate(chosen)}
+    sure = [_least_share(r.toxic, r.toxic + r.clean) for r in chosen]
     given = spark.sparkContext.broadcast(numbers)
 
     def shown(batches):
@@ -305,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most FIT_ROWS rows of feature numbers (repeated ids aside), in a fixed order.
     rows = [(r.label, r.features) for r in labelled.mapInArrow(shown, "label int, features array<int>").collect()]
     weights, bias = _fitted(sorted(rows), len(chosen))
-    return ToxicityModel(costs, numbers, weights, bias)
+    return ToxicityModel(costs, numbers, weights, bias, sure)
 
 
 def with_score(df: DataFrame, model: ToxicityModel, text_col: str, name: str = "score") -> DataFrame:
@@ -316,10 +332,9 @@ def with_score(df: DataFrame, model: ToxicityModel, text_col: str, name: str = "
 
     def score(batches):
         m = shared.value
-        reader, weights = Reader(m.costs, m.chosen), m.weights.tolist()
+        reader = Reader(m.costs, m.chosen)
         for batch in batches:
-            sums = [m.bias + sum(weights[f] for f in reader.read(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -500, 500)))
+            scores = [m.score(reader.read(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=names)
 
     names = [*df.columns, name]
