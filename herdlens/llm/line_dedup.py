@@ -107,10 +107,11 @@ def _kept(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     placed = _placed(docs, id_col, text_col)
     repeats = repeated_windows(_lines(placed), size)
     starts = materialize(repeats.groupBy("digest").agg(F.collect_set("at").alias("starts")), "line-repeats")
-    lines = F.split("text", "\n")
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + size - 1))))
-    joined = placed.join(starts, "digest", "left").select(
-        "row", "text", lines.alias("lines"), F.when(F.col("starts").isNotNull(), covered).alias("covered")
+    # The same join for every size: the texts are shuffled once, inside their rows.
+    joined = placed.select("row", "digest").join(starts.hint("merge"), "digest", "left")
+    joined = joined.withColumn("text", F.col(f"row.`{text_col}`").cast("string")).select(
+        "row", "text", F.split("text", "\n").alias("lines"), F.when(F.col("starts").isNotNull(), covered).alias("covered")
     )
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered")
     rest = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
