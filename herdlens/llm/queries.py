@@ -19,10 +19,18 @@ from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.substring_dedup import repeated_runs
 from herdlens.llm.token_files import read_token_files, write_token_files
 from herdlens.llm.toxicity import THRESHOLD, fit, held_out, with_score
+from herdlens.llm.url_filters import judged
 from herdlens.session import materialize
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +79,11 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages judged by rules and, beyond them, by the templates of their host."""
+    return judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier runs of lines."""
     return line_report(table(spark, sf_dir, "documents"))
@@ -139,6 +152,7 @@ def llm_queries() -> dict:
         "op2_pieces": op2_pieces,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_decontamination": op4_decontamination,
+        "op5_url_filters": op5_url_filters,
         "op6_line_dedup": op6_line_dedup,
         "op7_chat": op7_chat,
         "op8_toxicity": op8_toxicity,
