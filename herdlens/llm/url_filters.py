@@ -7,11 +7,13 @@ from which templates are judged:
 1. Paths become shapes: numbers, long hexadecimal strings and dates in a segment
    are written as their kind. Pages are counted by host and shape; everything
    below works on these counts.
-2. Level by level a segment's branches are generalised: a branch with less than
-   ``SHARE`` of its parent's pages is variable and becomes the wildcard ``*``, and
-   so does one whose share of blocked pages is statistically that of all its
-   siblings (a two-sided test at ``SIGMAS`` standard errors, or too few labels).
-   Segments below ``DEPTH`` become one ``**``.
+2. Level by level a segment's branches are generalised. By a two-sided test at
+   ``SIGMAS`` standard errors a branch's share of blocked labels is like that of
+   all its siblings (or has too few labels to tell), above it, or below it;
+   branches on the same side are merged into one wildcard (``*``, ``*+``, ``*-``)
+   unless they differ from that side's share in turn. A branch with less than
+   ``SHARE`` of its parent's pages is variable and always merged. Segments below
+   ``DEPTH`` become one ``**``.
 3. A template's purity is its share of blocked labels, smoothed towards that of
    the template above it, that towards the one above, up to the host and to all
    hosts, with ``PRIOR`` imagined labels each time. Above ``LIMIT`` it is blocked.
@@ -70,6 +72,20 @@ def shape(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), kind)
 
 
+def _beside(branches: DataFrame, keys: list) -> DataFrame:
+    """Branches with the sums of all that agree in ``keys``."""
+    sums = [F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")]
+    return branches.join(materialize(branches.groupBy(*keys).agg(*sums), "url-sums"), keys)
+
+
+def _apart() -> Column:
+    """1 or -1 if a branch's share of blocked labels is above or below that of all, beyond chance; else 0."""
+    share = F.col("all_blocked") / F.greatest(F.col("all_labelled"), F.lit(1))
+    error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
+    gap = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1)) - share
+    return F.when(gap > SIGMAS * error, 1).when(gap < -SIGMAS * error, -1).otherwise(0)
+
+
 def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``shapes`` (host, shape, n, labelled, blocked) with the ``template`` of each."""
     rows = shapes.withColumn("template", F.lit(""))
@@ -78,17 +94,15 @@ def templates(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
         branches = rows.where("branch IS NOT NULL").groupBy("host", "template", "branch").agg(*sums)
         branches = materialize(branches, "url-branches")
-        parents = branches.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")])
-        share = F.col("all_blocked") / F.greatest(F.col("all_labelled"), F.lit(1))
-        error = F.sqrt(share * (1 - share) / F.greatest(F.col("labelled"), F.lit(1)))
-        own = F.col("blocked") / F.greatest(F.col("labelled"), F.lit(1))
-        rare = F.col("n") < SHARE * F.col("all_n")
-        alike = (F.col("labelled") < LABELS) | (F.abs(own - share) <= SIGMAS * error)
-        literal = ~F.col("branch").contains("<")
-        node = F.when(literal & (rare | alike), "*").otherwise(F.col("branch"))
-        decided = branches.join(materialize(parents, "url-parents"), ["host", "template"]).select(
-            "host", "template", "branch", node.alias("node")
+        side = F.when(F.col("labelled") < LABELS, "").when(_apart() > 0, "+").when(_apart() < 0, "-").otherwise("")
+        sided = _beside(branches, ["host", "template"]).select(
+            *branches.columns, side.alias("side"), (F.col("n") < SHARE * F.col("all_n")).alias("rare")
         )
+        sided = materialize(sided, "url-sides")
+        other = (F.col("labelled") >= LABELS) & (_apart() != 0)
+        named = F.col("branch").contains("<") | (other & ~F.col("rare"))
+        node = F.when(named, F.col("branch")).otherwise(F.concat(F.lit("*"), "side"))
+        decided = _beside(sided, ["host", "template", "side"]).select("host", "template", "branch", node.alias("node"))
         rows = rows.join(materialize(decided, "url-nodes"), ["host", "template", "branch"], "left").withColumn(
             "template", F.concat("template", F.coalesce(F.concat(F.lit("/"), "node"), F.lit("")))
         ).drop("node", "branch")
