@@ -140,7 +140,7 @@ def anchored_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-POSTINGS = "array<struct<word: string, at: int, from: int, around: array<string>>>"
+POSTINGS = "array<struct<word: string, at: int, from: int, around: string>>"
 
 
 def positional_index(texts: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
@@ -164,7 +164,7 @@ def positional_index(texts: DataFrame, anchors: DataFrame, size: int) -> DataFra
                 for at, w in enumerate(words):
                     if known[w]:
                         start = max(0, at - size + 1)
-                        around = [x.decode() for x in words[start : at + size]]
+                        around = b" ".join(words[start : at + size]).decode()
                         found.append({"word": w.decode(), "at": at, "from": start, "around": around})
                 postings.append(found)
             if len(known) > 300_000:
@@ -180,7 +180,7 @@ def positional_index(texts: DataFrame, anchors: DataFrame, size: int) -> DataFra
             row += n
 
     arrow = pa.list_(
-        pa.struct([("word", pa.string()), ("at", pa.int32()), ("from", pa.int32()), ("around", pa.list_(pa.string()))])
+        pa.struct([("word", pa.string()), ("at", pa.int32()), ("from", pa.int32()), ("around", pa.string())])
     )
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = texts.mapInArrow(index, f"doc bigint, doc_id {kind}, n_words bigint, postings {POSTINGS}")
@@ -223,7 +223,8 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     )
     at = (F.col("origin") + F.col("begin")).cast("int")
     inside = (at >= F.col("from")) & (F.col("other") == F.col("origin"))
-    shown = F.when(inside, F.slice("around", F.greatest(at - F.col("from"), F.lit(0)) + 1, F.size("window")))
+    words = F.split("around", " ")
+    shown = F.when(inside, F.slice(words, F.greatest(at - F.col("from"), F.lit(0)) + 1, F.size("window")))
     result = found.join(around, ["doc", "posted"]).select(
         "doc", "item", at.alias("at"), F.size("window").alias("size"),
         F.coalesce(shown == F.col("window"), F.lit(False)).alias("exact"),
