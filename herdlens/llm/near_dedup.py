@@ -17,8 +17,8 @@ How it stays bounded:
   number, so a mark with n texts costs n - 1 comparisons and not n^2 / 2.
 * Where that leaves texts of one mark unconnected, they are compared across the
   connected parts, so that no link is lost to the choice of a leader. Marks of
-  more than ``SMALL`` texts are first split by their texts' next marks, as often
-  as needed: similar texts have many marks in common, texts that merely share a
+  more than ``SMALL`` texts are first split by their texts' next marks, ever more
+  of them: similar texts have many marks in common, texts that merely share a
   passage few.
 * Alignments keep to a band around the diagonal, wider only while needed, one bit
   for each cell; a pair that can no longer reach the similarity is left early.
@@ -294,26 +294,27 @@ def _pairs_left(grouped: DataFrame, texts: DataFrame, parts: DataFrame, sketches
 
     A mark whose texts are all connected is settled. Of the others, those of at
     most ``SMALL`` texts give the pairs across their parts; larger ones are split
-    by the next mark of their texts, again and again.
+    by the next marks of their texts: one, then two, four and so on.
     """
-    open_rows, found = materialize(_with_part(grouped, parts), "near-open"), None
-    for depth in range(1, sketches + 1):
+    open_rows, found, used = materialize(_with_part(grouped, parts), "near-open"), None, 0
+    while True:
         sizes = open_rows.groupBy("mark").agg(
             F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")
         ).where("low < high").select("mark", "n")
         sizes = materialize(sizes, "near-sizes")
-        last = depth == sketches  # texts with all marks in common are left, if any
+        last = used == sketches - 1  # texts with all marks in common are left, if any
         small = materialize(open_rows.join(sizes if last else sizes.where(F.col("n") <= SMALL), "mark"), "near-small")
         a, b = (small.select("mark", F.col("rid").alias(x), F.col("part").alias(f"{x}_part")) for x in ("u", "v"))
         pairs = a.join(b, "mark").where("u > v AND u_part != v_part").select("u", "v").distinct()
         found = pairs if found is None else found.unionByName(pairs)
-        large = sizes.where(F.col("n") > SMALL)
+        large = sizes.where(F.col("n") > SMALL).select("mark")
         if last or large.isEmpty():
-            break
-        finer = F.xxhash64("mark", F.get("sketch", (F.col("i") + depth) % sketches))
-        split = open_rows.join(large.drop("n"), "mark").join(texts.select("rid", "sketch"), "rid")
-        open_rows = materialize(split.select(finer.alias("mark"), "i", "rid", "part"), "near-open")
-    return materialize(found.distinct(), "near-pairs")
+            return materialize(found.distinct(), "near-pairs")
+        more = min(used + 1, sketches - 1 - used)
+        following = [F.get("sketch", (F.col("i") + used + k) % sketches) for k in range(1, more + 1)]
+        split = open_rows.join(large, "mark").join(texts.select("rid", "sketch"), "rid")
+        open_rows = materialize(split.select(F.xxhash64("mark", *following).alias("mark"), "i", "rid", "part"), "near-open")
+        used += more
 
 
 def _text_store(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:
