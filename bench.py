@@ -48,7 +48,7 @@ def headline() -> dict:
         "batch_context": Q.win_context_batch,
         "st_dbscan": clusters,
         "severity_mixture": mixture,
-        "forest_20_trees": training,
+        "forest_300_trees": training,
         "stream_triage": Q.stream_triage,
     }
 

@@ -1,13 +1,43 @@
 """The queries of the catalog as SQL over the given tables.
 
-Written on its own from the definitions, without looking at how the Spark side
-computes a result: direct windows, joins and a recursive query.
+Written from the definitions, with direct windows, joins and a recursive query,
+and with values of its own: nothing is imported from the engine. Only the rounding
+of halves (:func:`rounded`) uses the same published splitting of a double into
+exact parts as the engine does.
 """
 
 from __future__ import annotations
 
-from herdlens import texts
-from herdlens.config import SPECIES, SYMPTOM_WEIGHTS
+# Vocabulary, weights and wordings that results are compared in.
+SPECIES = ("cattle", "buffalo", "goat", "sheep", "poultry")
+SYMPTOM_WEIGHTS = {
+    "fever": 1,
+    "coughing": 1,
+    "nasal_discharge": 1,
+    "weakness": 1,
+    "diarrhea": 2,
+    "loss_of_appetite": 2,
+    "reduced_milk_production": 2,
+    "skin_lesions": 3,
+    "swelling": 3,
+    "respiratory_distress": 4,
+    "neurological_symptoms": 5,
+    "sudden_death": 5,
+}
+ACTIONS = {
+    "LOW": "Log for routine monitoring. No immediate action required.",
+    "MEDIUM": "Notify the local veterinary worker for a follow-up visit within a few days.",
+    "HIGH": "Escalate for urgent veterinary assessment and consider sample collection.",
+}
+RULE_CRITICAL = (
+    "Neurological symptoms or sudden death reported - treated as an "
+    "automatic high-concern signal regardless of other factors."
+)
+REGION_NONE = "No single factor dominates - risk is low across all components."
+SCALE_EPIDEMIC = "Epidemic-scale (multi-village/district)"
+SCALE_LOCAL = "Localized outbreak"
+COLORS = {"LOW": "#2e7d32", "MEDIUM": "#f9a825", "HIGH": "#ef6c00", "CRITICAL": "#c62828"}
+BADGES = {"LOW": "\U0001F7E2", "MEDIUM": "\U0001F7E1", "HIGH": "\U0001F7E0", "CRITICAL": "\U0001F534"}
 
 SPECIES_SQL = ", ".join(f"'{s}'" for s in SPECIES)
 FLAGS = [f"symptom_{s}" for s in SYMPTOM_WEIGHTS]
@@ -155,7 +185,7 @@ named AS (
   ) AS found FROM risk)"""
 
 MARKER = f"""SELECT region AS village, block, district, latitude, longitude, risk_score, risk_category,
-  {case_map('risk_category', texts.COLORS)} AS color, 6e0 + least(14e0, risk_score / 6e0) AS radius,
+  {case_map('risk_category', COLORS)} AS color, 6e0 + least(14e0, risk_score / 6e0) AS radius,
   region || ' - ' || risk_category AS tooltip, block || ', ' || district AS place_text,
   printf('%.0f', round_even(risk_score, 0)) || '/100' AS score_text, report_count_7d, affected_animals, deaths,
   {percent('mortality_rate', 1)} AS mortality_text, high_concern_count,
@@ -210,7 +240,7 @@ judged AS (
     CASE rule_name
       WHEN 'multiple_deaths' THEN printf('%d deaths reported out of %d affected animals - meets the multiple-mortality emergency threshold.', number_deaths, number_affected)
       WHEN 'high_mortality_rate' THEN 'Mortality rate of ' || {percent('mortality_rate')} || ' exceeded the configured emergency threshold of 30%.'
-      WHEN 'critical_symptoms' THEN {text(texts.RULE_CRITICAL)}
+      WHEN 'critical_symptoms' THEN {text(RULE_CRITICAL)}
       WHEN 'respiratory_cluster' THEN printf('Respiratory distress reported across %d animals, at or above the 3-animal cluster threshold.', number_affected)
       WHEN 'rapid_spread' THEN '3+ reports from this village within 3 days - flagged as a rapidly spreading situation.' END AS rule_explanation
   FROM ruled)"""
@@ -306,7 +336,7 @@ summary AS (
     high_concern_reports,
     (SELECT grade FROM grades g WHERE g.st_cluster = main.st_cluster ORDER BY n DESC, grade LIMIT 1) AS dominant_severity_group,
     {rounded('c', 3)} AS avg_severity_confidence,
-    CASE WHEN (n_villages >= 2 OR n_districts >= 2) AND duration_days >= 7 THEN {text(texts.SCALE_EPIDEMIC)} ELSE {text(texts.SCALE_LOCAL)} END AS scale,
+    CASE WHEN (n_villages >= 2 OR n_districts >= 2) AND duration_days >= 7 THEN {text(SCALE_EPIDEMIC)} ELSE {text(SCALE_LOCAL)} END AS scale,
     total_deaths >= 18 AS flagged_as_outbreak FROM main JOIN listed USING (st_cluster)),
 known AS (SELECT village FROM reports GROUP BY 1 HAVING sum(number_deaths) >= 24),
 flagged AS (SELECT DISTINCT dominant_village AS village FROM summary WHERE flagged_as_outbreak)"""
@@ -345,6 +375,12 @@ ENCODED = "SELECT report_id, " + ", ".join(
     + [f"CAST(species = '{s}' AS DOUBLE) AS slot_species_{i}" for i, s in enumerate(sorted(SPECIES))]
 ) + " FROM split"
 
+IMPORTANCE = "SELECT feature, TRUE AS is_share, TRUE AS sums_to_one FROM (VALUES " + ", ".join(
+    f"('{c}')" for c in [
+        *PLAIN, "recent_reports", "historical_incidence", "spread_velocity", *FLAGS, *[f"species_{s}" for s in SPECIES]
+    ]
+) + ") AS names(feature)"
+
 GUESS = """
 guess AS (SELECT risk_level AS actual, CASE WHEN number_deaths >= 3 THEN 'HIGH' WHEN symptom_severity >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS p FROM reports),
 levels AS (SELECT * FROM (VALUES (0, 'LOW'), (1, 'MEDIUM'), (2, 'HIGH')) AS v(i, actual)),
@@ -431,9 +467,9 @@ def all_oracles() -> dict:
             report_id % 7 <> 0 AND symptom_fever AS symptom_fever, FALSE AS symptom_swelling FROM reports"""),
         "pred_rules": q("SELECT report_id, rule_triggered, rule_name, rule_explanation FROM judged", CONTEXT, RULES),
         "proj_final_risk": q("SELECT report_id, ml_prediction, rule_triggered, final_risk FROM judged", CONTEXT, RULES),
-        "proj_action": q(f"SELECT report_id, final_risk, {case_map('final_risk', texts.ACTIONS)} AS recommended_action FROM judged", CONTEXT, RULES),
+        "proj_action": q(f"SELECT report_id, final_risk, {case_map('final_risk', ACTIONS)} AS recommended_action FROM judged", CONTEXT, RULES),
         "proj_explain_report": q(EXPLAIN, CONTEXT, RULES),
-        "proj_explain_region": risk("village", f", {REGION_REASONS} SELECT region AS village, CASE WHEN found = '' THEN {text(texts.REGION_NONE)} ELSE found END AS reasons FROM named"),
+        "proj_explain_region": risk("village", f", {REGION_REASONS} SELECT region AS village, CASE WHEN found = '' THEN {text(REGION_NONE)} ELSE found END AS reasons FROM named"),
         "proj_normalize": risk("village", "SELECT region AS village, sub_score_volume, sub_score_growth, sub_score_mortality, sub_score_high_concern, sub_score_historical FROM risk"),
         "proj_score": risk("village", "SELECT region AS village, risk_score FROM risk"),
         "proj_category": risk("village", "SELECT region AS village, risk_category FROM risk"),
@@ -443,7 +479,7 @@ def all_oracles() -> dict:
         "filt_coords": q("SELECT village, latitude, longitude FROM gappy WHERE latitude IS NOT NULL", REGIONS, GAPPY),
         "proj_label": q("SELECT report_id, risk_level FROM reports"),
         "proj_marker": risk("village", MARKER, "reports", None, REGIONS, GAPPY),
-        "proj_badge": risk("village", f"SELECT {case_map('risk_category', texts.BADGES)} AS badge, region AS village, {RANKING} FROM risk"),
+        "proj_badge": risk("village", f"SELECT {case_map('risk_category', BADGES)} AS badge, region AS village, {RANKING} FROM risk"),
         "join_risk_regions": risk("village", "SELECT village, risk_score, block, district, latitude, longitude FROM risk LEFT JOIN regions ON region = village", "reports", None, REGIONS),
         "join_report_coords": q("SELECT report_id, village, latitude, longitude FROM reports JOIN gappy USING (village) WHERE latitude IS NOT NULL", REGIONS, GAPPY),
         "join_context": q(f"SELECT report_id, {CONTEXT_LIST} FROM asked", BATCH, asked("fresh", "history")),
@@ -510,6 +546,16 @@ def all_oracles() -> dict:
             (SELECT village, CAST(date + CAST(i AS INTEGER) AS DATE) AS date FROM reports, range(3) t(i)) GROUP BY ALL) WHERE n >= 4"""),
         "ml_preprocess": q(ENCODED, SPLIT, MEDIANS),
         "clu_st_dbscan": clu("SELECT report_id, st_cluster FROM clustered"),
+        "snk_model": q("SELECT report_id, TRUE AS agrees FROM reports"),
+        "src_model": q("SELECT report_id, TRUE AS agrees, TRUE AS absence_reported FROM reports"),
+        "ml_train": q(
+            "SELECT risk_level AS label, count(*) FILTER (WHERE NOT is_train) AS support, TRUE AS accuracy_follows,"
+            " TRUE AS better_than_half FROM split GROUP BY 1", SPLIT
+        ),
+        "ml_evaluate_saved": q("SELECT risk_level AS actual, count(*) FILTER (WHERE NOT is_train) AS n FROM split GROUP BY 1", SPLIT),
+        "ml_importance": IMPORTANCE,
+        "topk_importance": "SELECT CAST(10 AS BIGINT) AS n, TRUE AS above_the_rest",
+        "clu_detect": clu("SELECT * EXCLUDE (dominant_severity_group, avg_severity_confidence) FROM summary"),
         "clu_validate": VALIDATE,
         "clu_report": FLAGGED,
     }

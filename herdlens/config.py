@@ -120,7 +120,8 @@ class Config:
     em_iterations: int = 100
     em_tolerance: float = 1e-4
     em_regularisation: float = 1e-3
-    kmeans_restarts: int = 2
+    kmeans_restarts: int = 10
+    kmeans_iterations: int = 300
 
     # Classifier.
     seed: int = 42

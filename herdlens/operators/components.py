@@ -2,7 +2,7 @@
 
 Follows Kiveris et al., "Connected Components in MapReduce and Beyond" (2014).
 Every step is an aggregation and an equi-join with one row per node on one
-side; a node that gathers many edges is spread over salts.
+side, which adaptive execution splits where a node gathers many edges.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from herdlens.operators.skew import spread_join
+from herdlens.operators.skew import lookup_join
 from herdlens.session import materialize
 
 
@@ -26,23 +26,21 @@ def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     return table, (seen.get["n"], seen.get["mark"])
 
 
-def _relinked(edges: DataFrame, nearest: DataFrame, total: int) -> DataFrame:
+def _relinked(edges: DataFrame, nearest: DataFrame) -> DataFrame:
     """Point the far end of each edge to the least node near its ``u``."""
-    return spread_join(edges, nearest, ["u"], "_rows", total, ["v"], "inner")
+    return lookup_join(edges, nearest, ["u"], "inner")
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    nearest = both.groupBy("u").agg(
-        F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_rows")
-    )
+    nearest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = both.where("v > u")
-    return _relinked(larger, nearest, 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _relinked(larger, nearest).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    nearest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows"))
-    moved = _relinked(edges, nearest, total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    nearest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _relinked(edges, nearest).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -57,7 +55,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current, mark = _written(start, "edges")
     while mark[0]:
         # The first step may shrink the edges, never more than double them.
-        following, after = _written(_small_star(_large_star(current, mark[0]), mark[0]), "edges")
+        following, after = _written(_small_star(_large_star(current)), "edges")
         current, mark, before = following, after, mark
         if mark == before:
             break

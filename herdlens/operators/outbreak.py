@@ -13,7 +13,7 @@ from herdlens import texts
 from herdlens.config import DEFAULT, SEVERITY_COLUMNS, Config
 from herdlens.functions.numeric import literal_map, ratio, round_exact, round_scaled
 from herdlens.operators.features import engineer_features
-from herdlens.operators.skew import spread_join
+from herdlens.operators.skew import lookup_join
 from herdlens.operators.stdbscan import st_dbscan
 from herdlens.operators.tmixture import TMixtureModel, fit_t_mixture
 from herdlens.session import materialize
@@ -112,8 +112,8 @@ def grade_severity(
     dof: float | None = None,
     cfg: Config = DEFAULT,
     fit_on: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, TMixtureModel]:
-    """Reports with severity columns, the groups' centres, and the mixture.
+) -> tuple[DataFrame, DataFrame, TMixtureModel | None]:
+    """Reports with severity columns, the groups' centres, and the mixture (None without reports).
 
     ``fit_on`` holds the same reports where those are cheaper to read.
     """
@@ -126,6 +126,21 @@ def grade_severity(
         .groupBy(*profile).agg(F.count(F.lit(1)).alias("n")),
         "profiles",
     )
+    schema = T.StructType(
+        [T.StructField(c, T.DoubleType()) for c in SEVERITY_COLUMNS]
+        + [
+            T.StructField("raw_component", T.IntegerType()),
+            T.StructField("rank", T.IntegerType()),
+            T.StructField("name", T.StringType()),
+            T.StructField("mixture_weight", T.DoubleType()),
+        ]
+    )
+    if distinct.isEmpty():  # no groups to tell apart, and no mixture
+        nothing = {
+            "severity_group_raw": "int", "severity_group_rank": "int", "severity_confidence": "double", "severity_group": "string"
+        }
+        graded = reports.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in nothing.items()])
+        return graded, reports.sparkSession.createDataFrame([], schema), None
     means, spreads = standard_scale(distinct, profile, "n")
     z = [f"_z{i}" for i in range(len(profile))]
 
@@ -137,19 +152,14 @@ def grade_severity(
     names = severity_names(k)
     # Grades are worked out once per profile and looked up by the reports.
     assigned = mixture.assign(to_z(distinct), "severity_group_raw", "_confidence")
-    grades = materialize(
-        assigned.withColumn("severity_group_rank", literal_map(rank)[F.col("severity_group_raw")]).select(
-            *profile,
-            F.col("n").alias("_rows"),
-            "severity_group_raw",
-            "severity_group_rank",
-            round_scaled(F.col("_confidence"), 3).alias("severity_confidence"),
-            literal_map(names)[F.col("severity_group_rank")].alias("severity_group"),
-        ),
-        "grades",
+    grades = assigned.withColumn("severity_group_rank", literal_map(rank)[F.col("severity_group_raw")]).select(
+        *profile,
+        "severity_group_raw",
+        "severity_group_rank",
+        round_scaled(F.col("_confidence"), 3).alias("severity_confidence"),
+        literal_map(names)[F.col("severity_group_rank")].alias("severity_group"),
     )
-    total = distinct.agg(F.sum("n")).first()[0]
-    graded = spread_join(profiled, grades, profile, "_rows", total, list(reports.columns)).select(
+    graded = lookup_join(profiled, grades, profile).select(
         *reports.columns, "severity_group_raw", "severity_group_rank", "severity_confidence", "severity_group"
     )
     centres = mixture.fitted.means * spreads + means
@@ -160,15 +170,6 @@ def grade_severity(
         ),
         key=lambda r: r[len(profile) + 1],
     )
-    schema = T.StructType(
-        [T.StructField(c, T.DoubleType()) for c in SEVERITY_COLUMNS]
-        + [
-            T.StructField("raw_component", T.IntegerType()),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("name", T.StringType()),
-            T.StructField("mixture_weight", T.DoubleType()),
-        ]
-    )
     return graded, reports.sparkSession.createDataFrame(rows, schema), mixture
 
 
@@ -288,6 +289,7 @@ def detect_outbreaks(
     located = located_reports(reports, regions)
     clustered = st_dbscan(located, eps_km, eps_days, min_samples, cfg=cfg)
     graded, groups, mixture = grade_severity(clustered, n_severity_groups, dof, cfg, fit_on=located)
+    graded = materialize(graded, "graded")  # read by the summary, the totals and the caller
     return Outbreaks(graded, cluster_summary(graded, cfg), groups, cluster_totals(graded), mixture)
 
 

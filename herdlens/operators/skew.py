@@ -7,44 +7,17 @@ from pyspark.sql import functions as F
 
 from herdlens.session import materialize
 
-PARTS = 4096  # a key is hot if it holds more than 1/PARTS of all rows
-PLAIN_ROWS = 1_000_000  # below this a single task can hold any one key
 
+def lookup_join(facts: DataFrame, lookup: DataFrame, keys: list, how: str = "left") -> DataFrame:
+    """Join ``facts`` to a ``lookup`` with one row per key, however many facts a key has.
 
-def spread_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: list,
-    rows: str,
-    total: int,
-    spread_by: list,
-    how: str = "left",
-) -> DataFrame:
-    """Join ``facts`` to a ``lookup`` with one row per key.
-
-    ``lookup[rows]`` tells how many facts carry the key and ``total`` how many
-    facts there are. Fewer than ``PARTS`` keys can hold more than 1/PARTS of
-    ``total``, so the list of hot keys is small enough to broadcast whatever
-    the data; the facts of a hot key are spread over salts by a hash of
-    ``spread_by`` and its one lookup row is repeated per salt.
+    The lookup is written first. Both sides then have a shuffle of their own
+    right below the join, which is what adaptive execution needs to split the
+    facts of a hot key over tasks, each with that key's one row. (Joined
+    straight from its aggregation, the lookup would bring its partitioning
+    along and the join could not be split.)
     """
-    if total <= PLAIN_ROWS:
-        return facts.join(lookup.drop(rows), keys, how)
-    share = max(total // PARTS, 1)
-    hot = (
-        lookup.where(F.col(rows) > share)
-        .select(*keys, F.ceil(F.col(rows) / share).cast("int").alias("_salts"))
-    )
-    salted_facts = facts.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int"), F.lit(0))
-    )
-    salted_lookup = (
-        lookup.drop(rows)
-        .join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
-    return salted_facts.drop("_salts").join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return facts.join(materialize(lookup, "lookup"), keys, how)
 
 
 def numbered(df: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:

@@ -17,19 +17,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from herdlens.config import DEFAULT, Config
 from herdlens.functions.geo import Bounds, Grid, nearest_and_farthest
 from herdlens.functions.numeric import lit_double
 from herdlens.operators.components import connected_components
-from herdlens.operators.skew import numbered, spread_join
+from herdlens.operators.skew import lookup_join, numbered
 from herdlens.session import materialize
 
 DIRECT_PAIRS = 4096  # two nodes with at most this many place pairs are compared directly
 FACTOR = 4  # a finer level cuts each side of a box into this many parts
-FINEST = 12  # 4**12 parts per side: far below a millimetre for any eps of kilometres
+FINEST = 15  # 4**15 parts a side are numbered; places closer than that are compared directly
 
 A, B = Bounds.of("a_"), Bounds.of("b_")
 NODE = Bounds.of("")
@@ -139,10 +139,9 @@ def _judged(pairs: DataFrame, grid: Grid) -> DataFrame:
 class _Finer:
     """Open cases between nodes, settled directly or one level finer at a time."""
 
-    def __init__(self, cells: DataFrame, hood: Neighbourhood, most_places: int):
+    def __init__(self, cells: DataFrame, hood: Neighbourhood):
         self.cells = cells
         self.hood = hood
-        self.most_places = most_places
 
     def _direct(self, open_pairs: DataFrame, level: int) -> DataFrame:
         """Compare the places of few-place nodes one by one."""
@@ -167,12 +166,11 @@ class _Finer:
         open_pairs = pairs.where("NOT sure")
         small = size <= DIRECT_PAIRS
         settled.append(self._direct(expand_a(open_pairs.where(small), 0, True), 0))
-        if self.most_places * self.most_places <= DIRECT_PAIRS:
-            return settled
-
+        # Each level cuts the sides of a box into FACTOR times as many parts, until
+        # the places of a part are so few that all that is open has been compared.
         level = 0
         rest = materialize(open_pairs.where(~small), name)
-        while level < FINEST and not rest.isEmpty():
+        while not rest.isEmpty():
             level += 1
             finer = _as(nodes_of(self.cells, level).withColumnRenamed("part", "_finer")
                         .withColumnRenamed("parent", "part").withColumnRenamed("_finer", "finer"),
@@ -187,17 +185,28 @@ class _Finer:
             judged = materialize(judged, name)
             settled.append(judged.where("sure"))
             open_pairs = judged.where("NOT sure")
-            last = level == FINEST
-            small_now = F.lit(True) if last else small
-            settled.append(self._direct(expand_a(open_pairs.where(small_now), level, True), level))
-            rest = open_pairs.where(~small_now)
-            if not last:
-                rest = materialize(rest, name)
+            few = small | F.lit(level == FINEST)
+            settled.append(self._direct(expand_a(open_pairs.where(few), level, True), level))
+            rest = materialize(open_pairs.where(~few), name)
         return settled
 
 
-def _days_around(df: DataFrame, day: str, days: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.explode(F.sequence(F.col(day) - days, F.col(day) + days)))
+def _spans(days: int) -> int:
+    """Days of a span: neighbours lie in the same span or the one next to it."""
+    return max(1, days)
+
+
+def _span(day: str, days: int) -> Column:
+    return F.floor(F.col(day) / _spans(days)).cast("bigint")
+
+
+def _days_around(left: DataFrame, right: DataFrame, keys: list, days: int) -> DataFrame:
+    """Join on ``keys`` and days at most ``days`` apart: three spans of days are probed, however many days they have."""
+    own = _span("a_day", days)
+    probes = F.array(own) if days == 0 else F.array(own - 1, own, own + 1)
+    probed = left.withColumn("_span", F.explode(probes))
+    joined = probed.join(right.withColumn("_span", _span("b_day", days)), [*keys, "_span"])
+    return joined.where(F.abs(F.col("a_day") - F.col("b_day")) <= days).drop("_span")
 
 
 def _point_pairs(points: DataFrame, nodes: DataFrame, near: DataFrame, hood: Neighbourhood) -> DataFrame:
@@ -207,10 +216,8 @@ def _point_pairs(points: DataFrame, nodes: DataFrame, near: DataFrame, hood: Nei
         F.col("lat").alias("a_lat_low"), F.col("lat").alias("a_lat_high"),
         F.col("lon").alias("a_lon_low"), F.col("lon").alias("a_lon_high"),
     )
-    around = _days_around(
-        left.join(_as_near(near), "a_box"), "a_day", hood.days, "b_day"
-    )
-    return _judged(around.join(_as(nodes, "b_", NODE_COLUMNS), ["b_box", "b_day"]), hood.grid)
+    around = left.join(_as_near(near), "a_box")
+    return _judged(_days_around(around, _as(nodes, "b_", NODE_COLUMNS), ["b_box"], hood.days), hood.grid)
 
 
 def _as_near(near: DataFrame) -> DataFrame:
@@ -228,10 +235,59 @@ def _left_is_point(pairs: DataFrame, level: int, direct: bool) -> DataFrame:
     return pairs
 
 
-def near_weight(points: DataFrame, cells: DataFrame, near: DataFrame, hood: Neighbourhood, most_places: int) -> DataFrame:
+def _left_side(cells: DataFrame):
+    """Replaces left nodes by their places (with ``a_first``) or finer nodes."""
+
+    def expand(open_pairs: DataFrame, level: int, direct: bool) -> DataFrame:
+        if direct:
+            left = cells.select(
+                F.col("box").alias("a_box"), F.col("day").alias("a_day"), part(level).alias("a_part"),
+                F.col("first").alias("a_first"),
+                F.col("lat").alias("a_lat_low"), F.col("lat").alias("a_lat_high"),
+                F.col("lon").alias("a_lon_low"), F.col("lon").alias("a_lon_high"),
+            )
+            kept = [c for c in open_pairs.columns if c not in A.columns()]
+            return open_pairs.select(*kept).join(left, ["a_box", "a_day", "a_part"])
+        finer = _as(nodes_of(cells, level).withColumnRenamed("part", "_finer")
+                    .withColumnRenamed("parent", "part").withColumnRenamed("_finer", "finer"),
+                    "a_", ["box", "day", "part", "places", "finer", *NODE.columns()])
+        kept = [c for c in open_pairs.columns if c not in (*A.columns(), "a_places")]
+        return (
+            open_pairs.select(*kept).join(finer, ["a_box", "a_day", "a_part"])
+            .drop("a_part").withColumnRenamed("a_finer", "a_part")
+        )
+
+    return expand
+
+
+def neighbour_weight(cells: DataFrame, near: DataFrame, hood: Neighbourhood) -> DataFrame:
+    """Weight around every cell, itself included, as (first, near_weight).
+
+    Nodes are compared with nodes and both sides are refined, so cells of nodes
+    that are surely near share one sum and are never paired.
+    """
+    nodes = nodes_of(cells)
+    left = _as(nodes, "a_", ["box", "day", "part", "places", *NODE.columns()]).join(_as_near(near), "a_box")
+    pairs = _judged(_days_around(left, _as(nodes, "b_", NODE_COLUMNS), ["b_box"], hood.days), hood.grid)
+    settled = _Finer(cells, hood).resolve(pairs, "count", _left_side(cells), F.col("a_places") * F.col("b_places"))
+    sums = []
+    for i, table in enumerate(settled):  # by turns nodes surely near and places compared, level by level
+        if i % 2:
+            sums.append(table.groupBy(F.col("a_first").alias("first")).agg(F.sum("b_weight").alias("near_weight")))
+            continue
+        keys = ["a_box", "a_day", "a_part"]
+        by_node = table.groupBy(*keys).agg(F.sum("b_weight").alias("near_weight"))
+        places = cells.select(
+            "first", F.col("box").alias("a_box"), F.col("day").alias("a_day"), part(i // 2).alias("a_part")
+        )
+        sums.append(lookup_join(places, by_node, keys, "inner").select("first", "near_weight"))
+    return _union(sums, ["first", "near_weight"]).groupBy("first").agg(F.sum("near_weight").alias("near_weight"))
+
+
+def near_weight(points: DataFrame, cells: DataFrame, near: DataFrame, hood: Neighbourhood) -> DataFrame:
     """Weight of the cells around each of ``points``, as (first, near_weight)."""
     pairs = _point_pairs(points, nodes_of(cells), near, hood)
-    settled = _Finer(cells, hood, most_places).resolve(pairs, "count", _left_is_point, F.col("b_places"))
+    settled = _Finer(cells, hood).resolve(pairs, "count", _left_is_point, F.col("b_places"))
     return (
         _union(settled, ["a_first", "b_weight"])
         .groupBy(F.col("a_first").alias("first"))
@@ -239,31 +295,19 @@ def near_weight(points: DataFrame, cells: DataFrame, near: DataFrame, hood: Neig
     )
 
 
-def mark_core(
-    cells: DataFrame, near: DataFrame, hood: Neighbourhood, min_samples: int, n_cells: int
-) -> tuple[DataFrame, int]:
-    """Cells with ``core``: at least ``min_samples`` rows around, own row included.
-
-    Also returns the most places that any box has on a day.
-    """
+def mark_core(cells: DataFrame, near: DataFrame, hood: Neighbourhood, min_samples: int) -> DataFrame:
+    """Cells with ``core``: at least ``min_samples`` rows around, own row included."""
     by_day = Window.partitionBy("box").orderBy("day").rangeBetween(-hood.days, hood.days)
-    own = (
-        cells.groupBy("box", "day").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_rows"))
-        .select("box", "day", "_rows", F.col("_rows").alias("_places"), F.sum("_w").over(by_day).alias("own_weight"))
-    )
-    seen = Observation()
-    counted = materialize(
-        spread_join(cells, own, ["box", "day"], "_rows", n_cells, ["first"])
-        .observe(seen, F.max("_places").alias("most")).drop("_places"),
-        "counted",
+    own = cells.groupBy("box", "day").agg(F.sum("weight").alias("_w")).select(
+        "box", "day", F.sum("_w").over(by_day).alias("own_weight")
     )
-    most_places = seen.get["most"] or 0
+    counted = materialize(lookup_join(cells, own, ["box", "day"]), "counted")
     # Sparse cells only: fewer than min_samples rows share their box and days.
     sparse = counted.where(F.col("own_weight") < min_samples)
     others = near.where("box != near_box")
-    around = near_weight(sparse, counted, others, hood, most_places)
+    around = near_weight(sparse, counted, others, hood)
     enough = F.col("own_weight") + F.coalesce("near_weight", F.lit(0)) >= min_samples
-    return counted.join(around, "first", "left").withColumn("core", enough).drop("near_weight"), most_places
+    return counted.join(around, "first", "left").withColumn("core", enough).drop("near_weight")
 
 
 def core_runs(core: DataFrame, days: int) -> DataFrame:
@@ -288,35 +332,15 @@ def core_runs(core: DataFrame, days: int) -> DataFrame:
     ).select(*NODE_COLUMNS, "run")
 
 
-def linked_runs(core: DataFrame, runs: DataFrame, near: DataFrame, hood: Neighbourhood, most_places: int) -> DataFrame:
+def linked_runs(core: DataFrame, runs: DataFrame, near: DataFrame, hood: Neighbourhood) -> DataFrame:
     """Edges (u, v) between runs of different boxes that have a core pair within reach."""
     node = _as(runs, "a_", ["run", "box", "day", "part", "places", *NODE.columns()])
     other = _as(runs, "b_", ["run", *NODE_COLUMNS])
     sides = node.join(_as_near(near.where("box < near_box")), "a_box")
-    pairs = _judged(
-        _days_around(sides, "a_day", hood.days, "b_day").join(other, ["b_box", "b_day"]), hood.grid
-    )
-
-    def expand(open_pairs: DataFrame, level: int, direct: bool) -> DataFrame:
-        if direct:
-            left = core.select(
-                F.col("box").alias("a_box"), F.col("day").alias("a_day"), part(level).alias("a_part"),
-                F.col("lat").alias("a_lat_low"), F.col("lat").alias("a_lat_high"),
-                F.col("lon").alias("a_lon_low"), F.col("lon").alias("a_lon_high"),
-            )
-            kept = [c for c in open_pairs.columns if c not in A.columns()]
-            return open_pairs.select(*kept).join(left, ["a_box", "a_day", "a_part"])
-        finer = _as(nodes_of(core, level).withColumnRenamed("part", "_finer")
-                    .withColumnRenamed("parent", "part").withColumnRenamed("_finer", "finer"),
-                    "a_", ["box", "day", "part", "places", "finer", *NODE.columns()])
-        kept = [c for c in open_pairs.columns if c not in (*A.columns(), "a_places")]
-        return (
-            open_pairs.select(*kept).join(finer, ["a_box", "a_day", "a_part"])
-            .drop("a_part").withColumnRenamed("a_finer", "a_part")
-        )
+    pairs = _judged(_days_around(sides, other, ["b_box"], hood.days), hood.grid)
 
-    settled = _Finer(core, hood, most_places).resolve(
-        pairs, "link", expand, F.col("a_places") * F.col("b_places")
+    settled = _Finer(core, hood).resolve(
+        pairs, "link", _left_side(core), F.col("a_places") * F.col("b_places")
     )
     return _union(settled, ["a_run", "b_run"]).select(
         F.col("a_run").alias("u"), F.col("b_run").alias("v")
@@ -336,28 +360,24 @@ def st_dbscan(
 ) -> DataFrame:
     """Add ``st_cluster``: -1 for noise, else 0, 1, ... in order of first core row.
 
-    ``order`` is a unique whole number per row; rows need coordinates.
+    ``order`` is a unique whole number per row. Rows without a day or coordinates
+    are noise.
     """
     eps_km = cfg.eps_km if eps_km is None else eps_km
     eps_days = cfg.eps_days if eps_days is None else eps_days
     min_samples = cfg.min_samples if min_samples is None else min_samples
     hood = Neighbourhood.of(eps_km, eps_days)
 
-    seen = Observation()
-    cells = materialize(
-        cells_of(points, lat, lon, day, order, hood.grid).observe(
-            seen, F.count(F.lit(1)).alias("cells"), F.sum("weight").alias("rows")
-        ),
-        "cells",
-    )
-    n_cells, rows = seen.get["cells"], seen.get["rows"] or 0
+    # Rows without a day or coordinates have no neighbours: noise.
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(day).isNotNull()
+    placed = placed & ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lon).cast("double"))
+    cells = materialize(cells_of(points.where(placed), lat, lon, day, order, hood.grid), "cells")
     near = materialize(adjacent_boxes(cells, hood.grid), "near")
 
-    marked, most_places = mark_core(cells, near, hood, min_samples, n_cells)
-    marked = materialize(marked, "marked")
+    marked = materialize(mark_core(cells, near, hood, min_samples), "marked")
     core = marked.where("core")
     runs = materialize(core_runs(core, hood.days), "runs")
-    edges = linked_runs(core, runs, near, hood, most_places)
+    edges = linked_runs(core, runs, near, hood)
     joined = connected_components(edges)
 
     labelled = runs.join(joined, runs.run == joined.node, "left").withColumn(
@@ -366,31 +386,29 @@ def st_dbscan(
     clusters = numbered(labelled.select("component").distinct(), ["component"], "st_cluster", start=0)
     runs_out = labelled.join(clusters, "component").select(*NODE_COLUMNS, "st_cluster")
 
-    core_labels = spread_join(
-        core.select("lat", "lon", "day", "box", "weight", "first"),
-        runs_out.select("box", "day", "st_cluster", F.col("places").alias("_rows")),
-        ["box", "day"], "_rows", n_cells, ["first"], "inner",
-    ).select("lat", "lon", "day", "weight", "st_cluster")
+    core_labels = lookup_join(
+        core.select("lat", "lon", "day", "box"), runs_out.select("box", "day", "st_cluster"), ["box", "day"], "inner"
+    ).select("lat", "lon", "day", "st_cluster")
     fringe = marked.where("NOT core")
-    reached = border_clusters(fringe, core, runs_out, near, hood, most_places)
+    reached = border_clusters(fringe, core, runs_out, near, hood)
     fringe_labels = fringe.join(reached, "first", "left").select(
-        "lat", "lon", "day", "weight", F.coalesce("st_cluster", F.lit(-1).cast("bigint")).alias("st_cluster")
+        "lat", "lon", "day", F.coalesce("st_cluster", F.lit(-1).cast("bigint")).alias("st_cluster")
+    )
+    labels = core_labels.unionByName(fringe_labels).select(
+        F.col("lat").alias(lat), F.col("lon").alias(lon), F.col("day").alias("_day"), "st_cluster"
     )
-    labels = materialize(core_labels.unionByName(fringe_labels), "labels").select(
-        F.col("lat").alias(lat), F.col("lon").alias(lon), F.col("day").alias("_day"),
-        F.col("weight").alias("_rows"), "st_cluster",
+    joined = lookup_join(points.withColumn("_day", F.col(day).cast("bigint")), labels, [lat, lon, "_day"])
+    return joined.withColumn("st_cluster", F.coalesce("st_cluster", F.lit(-1).cast("bigint"))).select(
+        *points.columns, "st_cluster"
     )
-    return spread_join(
-        points.withColumn("_day", F.col(day).cast("bigint")), labels, [lat, lon, "_day"], "_rows", rows, [order]
-    ).select(*points.columns, "st_cluster")
 
 
 def border_clusters(
-    fringe: DataFrame, core: DataFrame, runs: DataFrame, near: DataFrame, hood: Neighbourhood, most_places: int
+    fringe: DataFrame, core: DataFrame, runs: DataFrame, near: DataFrame, hood: Neighbourhood
 ) -> DataFrame:
     """Lowest cluster with a core cell in reach of each non-core cell."""
     pairs = _point_pairs(fringe, runs, near, hood)
-    settled = _Finer(core, hood, most_places).resolve(pairs, "border", _left_is_point, F.col("b_places"))
+    settled = _Finer(core, hood).resolve(pairs, "border", _left_is_point, F.col("b_places"))
     found = _union(settled, ["a_first", "b_box", "b_day"]).distinct()
     cluster = runs.select(F.col("box").alias("b_box"), F.col("day").alias("b_day"), "st_cluster")
     return (

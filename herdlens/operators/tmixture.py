@@ -10,6 +10,7 @@ iteration runs the same query and the same generated code.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -141,20 +142,22 @@ class TMixtureModel:
         return scored.select(*df.columns, pick.alias(label), share.alias(confidence))
 
 
-def _start(points: DataFrame, columns: list, k: int, seed: int, reg: float, total: float, restarts: int) -> Parameters:
+def _start(points: DataFrame, columns: list, k: int, seed: int, reg: float, total: float, cfg: Config) -> Parameters:
     """K-means centres with each group's sample covariance and share."""
     d = len(columns)
     if k == 1:
         grouped = points.withColumn("_group", F.lit(0))
     else:
         vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(points)
-        best = None
-        for i in range(restarts):
-            model = KMeans(
-                k=k, seed=seed + i, featuresCol="_v", predictionCol="_group", weightCol="_n", maxIter=20
-            ).fit(vectors)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+
+        def fitted(i: int):
+            settings = {"k": k, "seed": seed + i, "weightCol": "_n", "maxIter": cfg.kmeans_iterations}
+            return KMeans(featuresCol="_v", predictionCol="_group", **settings).fit(vectors)
+
+        # Restarts are jobs of their own and run side by side.
+        with ThreadPoolExecutor(cfg.kmeans_restarts) as pool:
+            models = list(pool.map(fitted, range(cfg.kmeans_restarts)))
+        best = min(models, key=lambda m: m.summary.trainingCost)
         grouped = best.transform(vectors).drop("_v")
 
     n = F.col("_n")
@@ -222,7 +225,7 @@ def fit_t_mixture(
         total = points.agg(F.sum("_n")).first()[0]
         if not total:
             raise ValueError("a mixture needs at least one row")
-        now = _start(points, names, k, seed, reg, total, cfg.kmeans_restarts)
+        now = _start(points, names, k, seed, reg, total, cfg)
         query = _moments(names, k, dof)
         previous = -math.inf
         used = 0

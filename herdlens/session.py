@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,20 +25,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "her
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    the driver's disk is every task's disk, falls back to a folder of its own.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset it lies
+    in the warehouse, which all executors reach as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    folder = spark.conf.get("spark.herdlens.localDir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="herdlens-")
-    spark.conf.set("spark.herdlens.localDir", folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -74,7 +74,8 @@ class TriageStream:
             self._compact(batch_id)
         self._write(self.spark.createDataFrame([], _DAILY), "daily", batch_id, -1)  # the folder always exists
         days = [r.date for r in rows.select("date").distinct().orderBy("date").collect()]
-        for step, day in enumerate(days):
+        # A batch without valid reports writes an empty table of accepted ones.
+        for step, day in enumerate(days or [None]):
             today = same_day.where(F.col("date") == F.lit(day))
             counted = with_counts(today, self._daily_before(batch_id, step), self.cfg)
             # Reports of the same village and day that arrived earlier in this batch.

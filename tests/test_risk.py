@@ -10,27 +10,28 @@ def _score(make_reports, rows, as_of, level="village"):
     return {r[level]: r for r in risk.region_risk(make_reports(rows), level, as_of).collect()}
 
 
-def test_stale_region_scores_zero_and_stays(make_reports):
-    got = _score(make_reports, [{"date": date(2026, 1, 1), "number_affected": 1}], "2026-03-01")
+def test_region_without_recent_reports_scores_zero(make_reports):
+    got = _score(make_reports, [{"date": date(2025, 5, 6), "number_affected": 4}], "2025-08-20")
     assert (got["A"].risk_score, got["A"].risk_category, got["A"].report_count_30d) == (0.0, "LOW", 0)
 
 
-def test_mortality_raises_the_score(make_reports):
+def test_deaths_and_concern_raise_the_score(make_reports):
     rows = [
-        {"village": "A", "number_affected": 10},
-        {"village": "B", "number_affected": 10, "number_deaths": 5, "risk_level": "HIGH"},
+        {"village": "calm", "number_affected": 16},
+        {"village": "grave", "number_affected": 16, "number_deaths": 8, "risk_level": "HIGH"},
     ]
     got = _score(make_reports, rows, "2026-01-05")
-    assert got["B"].risk_score > got["A"].risk_score
-    # 41.25 lies exactly between two tenths and goes to the even one.
-    assert (got["B"].risk_score, got["B"].risk_category) == (41.2, "MEDIUM")
+    assert got["grave"].risk_score > got["calm"].risk_score
+    # Halfway between two tenths: goes to the even one.
+    assert (got["grave"].risk_score, got["grave"].risk_category) == (41.2, "MEDIUM")
 
 
-def test_growth_raises_the_score(make_reports):
-    rows = [{"village": "A", "date": date(2026, 1, d)} for d in (1, 8, 15)]
-    rows += [{"village": "B", "date": date(2026, 1, 14)}] * 6
-    got = _score(make_reports, rows, "2026-01-15")
-    assert got["B"].risk_score > got["A"].risk_score
+def test_sudden_growth_raises_the_score(make_reports):
+    steady = [{"village": "steady", "date": date(2025, 11, d)} for d in (3, 9, 12, 19, 24)]
+    sudden = [{"village": "sudden", "date": date(2025, 11, d)} for d in (21, 22, 22, 23, 24)]
+    got = _score(make_reports, steady + sudden, "2025-11-24")
+    assert got["sudden"].sub_score_growth > got["steady"].sub_score_growth
+    assert got["sudden"].risk_score > got["steady"].risk_score
 
 
 def test_block_and_district_levels(make_reports):
