@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "her
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.sql.warehouse.dir", "/tmp/herdlens-warehouse")  # the one disk of a local session
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

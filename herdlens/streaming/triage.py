@@ -10,8 +10,9 @@ and appended to the folder's tables:
   that scoring a batch reads.
 
 Within a batch, reports count as arriving in date order, ties by the arrival
-column. Context of past days depends on the final risk of earlier reports, so a
-batch is scored one date after the other; same-day reports only enter counts.
+column. Context of past days depends on the final risk of the village's earlier
+reports, so each village is scored one date after the other, all villages side by
+side; same-day reports only enter counts.
 All writes go to folders named by batch and step, and reads look at earlier
 ones only, so a repeated batch replaces itself.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,9 +29,10 @@ from herdlens import schema
 from herdlens.config import DEFAULT, Config
 from herdlens.operators.context import daily_counts, named_context, with_counts
 from herdlens.operators.features import with_mortality
-from herdlens.operators.skew import earlier_rows, numbered
+from herdlens.operators.skew import earlier_rows, lookup_join, numbered
 from herdlens.operators.validation import split_valid
 from herdlens.plans.triage import RESULT_COLUMNS, Scorer, judge, prepare
+from herdlens.session import materialize
 from herdlens.sources.tables import last_id
 
 COMPACT_EVERY = 100
@@ -68,15 +70,20 @@ class TriageStream:
         rows = numbered(
             prepare(valid.select(*columns, self.arrival), self.cfg), ["date", self.arrival], "report_id", first_free
         ).withColumn("_one", F.lit(1).cast("bigint"))
-        same_day = earlier_rows(rows, ["village", "date"], "report_id", {"_same": "_one"}).drop("_one")
+        # A village's dates follow each other; villages do not depend on each other, so
+        # one step takes the next date of every village.
+        dates = rows.select("village", "date").distinct().withColumn(
+            "_step", F.row_number().over(Window.partitionBy("village").orderBy("date")) - 1
+        )
+        counted_before = earlier_rows(rows, ["village", "date"], "report_id", {"_same": "_one"}).drop("_one")
+        same_day = materialize(lookup_join(counted_before, dates, ["village", "date"], "inner"), "arrived")
 
         if batch_id and batch_id % COMPACT_EVERY == 0:
             self._compact(batch_id)
         self._write(self.spark.createDataFrame([], _DAILY), "daily", batch_id, -1)  # the folder always exists
-        days = [r.date for r in rows.select("date").distinct().orderBy("date").collect()]
-        # A batch without valid reports writes an empty table of accepted ones.
-        for step, day in enumerate(days or [None]):
-            today = same_day.where(F.col("date") == F.lit(day))
+        steps = (same_day.agg(F.max("_step")).first()[0] or 0) + 1  # one also for a batch without valid reports
+        for step in range(steps):
+            today = same_day.where(F.col("_step") == step).drop("_step")
             counted = with_counts(today, self._daily_before(batch_id, step), self.cfg)
             # Reports of the same village and day that arrived earlier in this batch.
             counted = counted.withColumns({c: F.coalesce(c, F.lit(0)) + F.col("_same") for c in ("_recent", "_rapid")})

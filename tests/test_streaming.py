@@ -122,3 +122,22 @@ def test_streamed_totals_equal_batch(spark, make_reports):
             if n >= 4:
                 want[village, day] = n
     assert {(r.village, r.date): r.n for r in rows} == want
+
+
+def test_steps_follow_the_busiest_village(spark, make_reports, history):
+    """Sixty dates in a batch, no village with more than three of them: three steps."""
+    rows = [
+        {"village": f"W{i % 20}", "date": START + timedelta(days=i), "number_affected": 5, "number_deaths": i % 3}
+        for i in range(60)
+    ]
+    stream = _run(spark, history, make_reports(rows), [range(60)])
+    found = stream.spark.read.parquet(f"{stream.folder}/accepted").select("step").distinct()
+    assert sorted(r.step for r in found.collect()) == [0, 1, 2]
+    assert [r[0] for r in _rows(stream)] == list(range(104, 164))
+
+
+def test_nothing_but_rejected_reports(spark, make_reports, history):
+    arrivals = make_reports([{"species": "heron", "date": START}, {"village": "", "date": START}])
+    stream = _run(spark, history, arrivals, [[0]])
+    assert stream.accepted().count() == 0 and "final_risk" in stream.accepted().columns
+    assert stream.rejected().count() == 2
