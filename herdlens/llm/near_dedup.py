@@ -15,8 +15,8 @@ How it stays bounded:
 * Copies (equal texts) are one text, represented by a digest.
 * Within a mark each text is compared with one leader, the text of the least
   number, so a mark with n texts costs n - 1 comparisons and not n^2 / 2.
-* Where that leaves texts of one mark unconnected, they are compared across the
-  connected parts, so that no link is lost to the choice of a leader. Marks of
+* Texts of a mark that are not like its leader are compared with the others of the
+  mark, so that no link is lost to the choice of a leader. Marks of
   more than ``SMALL`` texts are first split by their texts' next marks, ever more
   of them: similar texts have many marks in common, texts that merely share a
   passage few.
@@ -268,11 +268,17 @@ def near_classes(
     pairs = materialize(grouped.where("rid != leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct(), "near-pairs")
     store = _text_store(docs, text_col, texts, pairs)  # the texts of all that share a mark
     links = materialize(verified(pairs, store, similarity), "near-links")
-    more = _pairs_left(grouped.drop("leader"), texts, _parts(links), sketches).join(
+    # Within a mark the texts that are like their leader are one part, others one each.
+    alike = links.select(F.col("u").alias("rid"), F.col("v").alias("leader"), F.lit(True).alias("alike"))
+    part = F.when((F.col("rid") == F.col("leader")) | F.col("alike"), F.col("leader")).otherwise(F.col("rid"))
+    parted = grouped.join(alike, ["rid", "leader"], "left").select("mark", "i", "rid", part.alias("part"))
+    more = _pairs_left(parted, texts, sketches).join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"
     )
     links = links.unionByName(materialize(verified(more, store, similarity), "near-links"))
-    classed = materialize(_with_part(texts.drop("sketch"), _parts(links)), "near-classed")
+    parts = connected_components(links).toDF("rid", "part")
+    classed = texts.drop("sketch").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+    classed = materialize(classed, "near-classed")
     ids = classed.groupBy("part").agg(
         F.min("first_id").alias("class"), F.min_by("rid", F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("top")
     )
@@ -280,23 +286,14 @@ def near_classes(
     return members.select("doc_id", "key"), materialize(classes, "near-classes")
 
 
-def _parts(links: DataFrame) -> DataFrame:
-    """``(rid, part)`` of the linked texts."""
-    return materialize(connected_components(links).toDF("rid", "part"), "near-parts")
-
-
-def _with_part(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    return rows.join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
-
-
-def _pairs_left(grouped: DataFrame, texts: DataFrame, parts: DataFrame, sketches: int) -> DataFrame:
+def _pairs_left(parted: DataFrame, texts: DataFrame, sketches: int) -> DataFrame:
     """Distinct ``(u, v)``, u > v: pairs within a mark that the leaders have not connected.
 
-    A mark whose texts are all connected is settled. Of the others, those of at
-    most ``SMALL`` texts give the pairs across their parts; larger ones are split
+    A mark whose texts are all like its leader is settled. Of the others, those of
+    at most ``SMALL`` texts give the pairs across their parts; larger ones are split
     by the next marks of their texts: one, then two, four and so on.
     """
-    open_rows, found, used = materialize(_with_part(grouped, parts), "near-open"), None, 0
+    open_rows, found, used = materialize(parted, "near-open"), None, 0
     while True:
         sizes = open_rows.groupBy("mark").agg(
             F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")
