@@ -237,8 +237,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     a = texts.select(F.col("rid").alias("u"), F.col("text").alias("a"))
     b = texts.select(F.col("rid").alias("v"), F.col("text").alias("b"))
-    # Two equi-joins with one row for each key on the text side.
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(align, "u bigint, v bigint")
+    # Two equi-joins with one row for each key on the text side; texts are never broadcast.
+    return pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "a", "b").mapInArrow(align, "u bigint, v bigint")
 
 
 def near_classes(
@@ -319,7 +319,8 @@ def _text_store(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFra
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
     keys = materialize(texts.join(wanted, "rid").select("key", "rid"), "near-wanted")
     rows = docs.select(text_of(text_col).alias("text")).select(_digest("text").alias("key"), "text")
-    found = rows.join(keys, "key").groupBy("rid").agg(F.first("text").alias("text"))
+    # The same join for every size, so that what is shuffled grows with the input alone.
+    found = rows.join(keys.hint("merge"), "key").groupBy("rid").agg(F.first("text").alias("text"))
     return materialize(found, "near-store")
 
 
