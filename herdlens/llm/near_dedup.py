@@ -16,10 +16,10 @@ How it stays bounded:
 * Within a mark each text is compared with one leader, the text of the least
   number, so a mark with n texts costs n - 1 comparisons and not n^2 / 2.
 * Texts of a mark that are not like its leader are compared with the others of the
-  mark, so that no link is lost to the choice of a leader. Marks of
-  more than ``SMALL`` texts are first split by their texts' next marks, ever more
-  of them: similar texts have many marks in common, texts that merely share a
-  passage few.
+  mark, so that no link is lost to the choice of a leader. In marks of more than
+  ``SMALL`` texts only pairs are compared that have one of the rarest fifth of
+  their words in common, as all that are alike must (the prefix filter of Chaudhuri
+  et al., 2006): texts that merely share a passage differ in those.
 * Alignments keep to a band around the diagonal, wider only while needed, one bit
   for each cell; a pair that can no longer reach the similarity is left early.
 
@@ -38,7 +38,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.llm.common import bounded_batches, packed, text_of
@@ -49,7 +49,8 @@ K = 5
 SIMILARITY = 0.8
 SKETCHES = 40
 PICKED = 2
-SMALL = 64  # texts of a mark that are compared across parts without splitting it
+SMALL = 64  # texts of a mark that are compared across parts whatever words they share
+SLOTS = 1 << 18  # counts of words, by hash, that say which words are rare
 MASK = (1 << 64) - 1
 KEPT = 300_000  # words whose hash a worker remembers
 
@@ -117,10 +118,36 @@ def order_sketch(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picked
     return marks.view(np.int64)
 
 
+def rare_words(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's labelled words: two texts that are alike have one in common.
+
+    An alignment with ``e`` edits matches all but ``e`` words of the longer text.
+    With all words in one order, by their counts, two such texts agree in one of
+    the first ``e + 1`` of each, where ``e`` goes by the text's own length.
+    """
+    if not len(words):
+        return np.empty(0, np.int64)
+    labelled = labelled_kmers(words, 1)
+    order = np.lexsort((labelled, counts[labelled % np.uint64(SLOTS)]))
+    return labelled[order[: int((1 - similarity) * len(words) + 1e-9) + 1]].view(np.int64)
+
+
 def split_words(text: str) -> list:
     return text.lower().split()
 
 
+class _Hashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def of(self, text: str) -> np.ndarray:
+        words = split_words(text)
+        if len(self) > KEPT:
+            self.clear()
+        for w in set(words).difference(self):
+            self[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def edits_within(a: list, b: list, most: int) -> int | None:
     """Edits between two lists if they are at most ``most``, else None.
 
@@ -194,22 +221,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int,
     bounded_batches(docs.sparkSession)
 
     def sketch(batches):
-        known: dict = {}
+        known = _Hashes()
         for batch in batches:
-            marks = []
-            for text in batch.column("text").to_pylist():
-                words = split_words(text)
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh64_intdigest(w)
-                hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                marks.append(order_sketch(hashes, k, sketches, picked))
-                if len(known) > KEPT:
-                    known = {}
-            flat = np.concatenate([np.empty(0, np.int64), *marks])
-            ends = np.arange(0, len(flat) + 1, sketches, dtype="int32")
+            marks = [order_sketch(known.of(text), k, sketches, picked) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "key", "sketch"],
+                [batch.column("doc_id"), batch.column("key"), _lists(marks)], names=["doc_id", "key", "sketch"]
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -218,6 +234,11 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int,
     return keyed.mapInArrow(sketch, f"doc_id {kind}, key binary, sketch array<bigint>")
 
 
+def _lists(arrays: list) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype="int32")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *arrays])))
+
+
 def _digest(text: str):
     return F.unhex(F.md5(F.col(text).cast("binary")))
 
@@ -257,9 +278,7 @@ def near_classes(
         .withColumn("rid", F.monotonically_increasing_id()),
         "near-texts",
     )
-    marks = texts.select("rid", F.posexplode("sketch").alias("i", "h")).select(
-        F.xxhash64("i", "h").alias("mark"), F.col("i").cast("short").alias("i"), "rid"
-    )
+    marks = texts.select("rid", F.posexplode("sketch").alias("i", "h")).select(F.xxhash64("i", "h").alias("mark"), "rid")
     leaders = materialize(
         marks.groupBy("mark").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
         "near-leaders",
@@ -271,8 +290,8 @@ def near_classes(
     # Within a mark the texts that are like their leader are one part, others one each.
     alike = links.select(F.col("u").alias("rid"), F.col("v").alias("leader"), F.lit(True).alias("alike"))
     part = F.when((F.col("rid") == F.col("leader")) | F.col("alike"), F.col("leader")).otherwise(F.col("rid"))
-    parted = grouped.join(alike, ["rid", "leader"], "left").select("mark", "i", "rid", part.alias("part"))
-    more = _pairs_left(parted, texts, sketches).join(
+    parted = grouped.join(alike, ["rid", "leader"], "left").select("mark", "rid", part.alias("part"))
+    more = _pairs_left(parted, store, similarity).join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"
     )
     links = links.unionByName(materialize(verified(more, store, similarity), "near-links"))
@@ -286,32 +305,75 @@ def near_classes(
     return members.select("doc_id", "key"), materialize(classes, "near-classes")
 
 
-def _pairs_left(parted: DataFrame, texts: DataFrame, sketches: int) -> DataFrame:
+def _pairs_left(parted: DataFrame, store: DataFrame, similarity: float) -> DataFrame:
     """Distinct ``(u, v)``, u > v: pairs within a mark that the leaders have not connected.
 
     A mark whose texts are all like its leader is settled. Of the others, those of
-    at most ``SMALL`` texts give the pairs across their parts; larger ones are split
-    by the next marks of their texts: one, then two, four and so on.
+    at most ``SMALL`` texts give all pairs across their parts; larger ones give
+    those that have one of their rare words in common, as all that are alike do.
     """
-    open_rows, found, used = materialize(parted, "near-open"), None, 0
-    while True:
-        sizes = open_rows.groupBy("mark").agg(
-            F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")
-        ).where("low < high").select("mark", "n")
-        sizes = materialize(sizes, "near-sizes")
-        last = used == sketches - 1  # texts with all marks in common are left, if any
-        small = materialize(open_rows.join(sizes if last else sizes.where(F.col("n") <= SMALL), "mark"), "near-small")
-        a, b = (small.select("mark", F.col("rid").alias(x), F.col("part").alias(f"{x}_part")) for x in ("u", "v"))
-        pairs = a.join(b, "mark").where("u > v AND u_part != v_part").select("u", "v").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-        large = sizes.where(F.col("n") > SMALL).select("mark")
-        if last or large.isEmpty():
-            return materialize(found.distinct(), "near-pairs")
-        more = min(used + 1, sketches - 1 - used)
-        following = [F.get("sketch", (F.col("i") + used + k) % sketches) for k in range(1, more + 1)]
-        split = open_rows.join(large, "mark").join(texts.select("rid", "sketch"), "rid")
-        open_rows = materialize(split.select(F.xxhash64("mark", *following).alias("mark"), "i", "rid", "part"), "near-open")
-        used += more
+    parted = materialize(parted, "near-open")
+    open_marks = materialize(_open(parted, "mark"), "near-sizes")
+    small = parted.join(open_marks.where(F.col("n") <= SMALL), "mark")
+    found = _across(materialize(small.select("mark", "rid", "part"), "near-small"), "mark")
+    large = open_marks.where(F.col("n") > SMALL).select("mark")
+    if large.isEmpty():
+        return materialize(found.distinct(), "near-pairs")
+    rows = materialize(parted.join(large, "mark"), "near-large")
+    rare = _rare(store.join(rows.select("rid").distinct().hint("merge"), "rid"), similarity)
+    keyed = rows.join(materialize(rare, "near-rare"), "rid").select(
+        "mark", "rid", "part", "n_words", F.explode("rare").alias("word")
+    )
+    keyed = materialize(keyed.select(F.xxhash64("mark", "word").alias("word"), "rid", "part", "n_words"), "near-words")
+    shared = materialize(_open(keyed, "word").select("word"), "near-shared")
+    keyed = materialize(keyed.join(shared, "word"), "near-words")
+    longer, shorter = F.greatest("u_words", "v_words"), F.least("u_words", "v_words")
+    fitting = longer - shorter <= F.floor((1 - similarity) * longer + 1e-9)
+    return materialize(found.unionByName(_across(keyed, "word", fitting)).distinct(), "near-pairs")
+
+
+def _open(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, n)`` of the keys whose rows are of several parts."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return sizes.where("low < high").select(key, "n")
+
+
+def _across(rows: DataFrame, key: str, fitting: Column | None = None) -> DataFrame:
+    """``(u, v)``, u > v: the pairs of a key across its parts, those that are ``fitting``."""
+    names = {"rid": "", "part": "_part", "n_words": "_words"}
+    a, b = (rows.select(key, *[F.col(c).alias(x + names[c]) for c in rows.columns if c != key]) for x in ("u", "v"))
+    pairs = a.join(b, key).where("u > v AND u_part != v_part")
+    return (pairs if fitting is None else pairs.where(fitting)).select("u", "v").distinct()
+
+
+def _rare(texts: DataFrame, similarity: float) -> DataFrame:
+    """``(rid, n_words, rare)`` of ``(rid, text)``, rare by how often words occur in these texts."""
+
+    def count(batches):
+        known, counts = _Hashes(), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                words = known.of(text)
+                if len(words):
+                    np.add.at(counts, labelled_kmers(words, 1) % np.uint64(SLOTS), 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
+
+    texts = materialize(texts.select("rid", "text"), "near-large-texts")
+    found = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)  # bounded, whatever the input
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches):
+        known = _Hashes()
+        for batch in batches:
+            words = [known.of(text) for text in batch.column("text").to_pylist()]
+            rare = _lists([rare_words(w, shared.value, similarity) for w in words])
+            sizes = pa.array([len(w) for w in words], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), sizes, rare], names=["rid", "n_words", "rare"])
+
+    return texts.mapInArrow(rarest, "rid bigint, n_words int, rare array<bigint>")
 
 
 def _text_store(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:

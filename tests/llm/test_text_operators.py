@@ -256,6 +256,20 @@ def test_large_marks_are_split(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id) for r in got.collect()) == brute_classes(docs)
 
 
+def test_template_of_a_thousand_texts(spark):
+    rng, template, docs, expected = random.Random(3), prose(1, 150), [], Counter()
+    for i in range(0, 1000, 2):  # pairs at 0.81 to 0.92; other texts agree in three quarters
+        own = [f"own{i}x{j}" for j in range(50)]
+        other = list(own)
+        for at in rng.sample(range(50), rng.randint(16, 38)):
+            other[at] = f"new{i}x{at}"
+        for d, words in ((i, own), (i + 1, other)):
+            docs.append((d, " ".join(template + words)))
+            expected[d, i] += 1
+    got = near_dedup.class_of_each(table(spark, docs))
+    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == expected
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.class_of_each(table(spark, [])).collect() == []
     assert near_dedup.one_of_each(table(spark, [])).collect() == []
