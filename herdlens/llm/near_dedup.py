@@ -2,7 +2,8 @@
 
 Words are the runs of a text between white space, in lower case. A text's k-mers
 are its runs of ``K`` words, each labelled with how often it has occurred before,
-so that repeats count. For each of ``SKETCHES`` hash functions the ``PICKED``
+so that repeats count; short texts have k-mers of fewer words (``SHORT``), and those
+near such a bound both kinds. For each of ``SKETCHES`` hash functions the ``PICKED``
 smallest labelled k-mers are taken and kept in the order of the text: two texts
 agree in such a mark about as often as they can be aligned, not only as often as
 they share words (Marçais et al., 2019). Texts with a mark in common are
@@ -24,7 +25,7 @@ How it stays bounded:
   for each cell; a pair that can no longer reach the similarity is left early.
 
 Defined results: null counts as the empty text, all of which are one class; a text
-of fewer than ``K`` words is one k-mer; the class id is the least ``doc_id`` of
+of fewer words than a k-mer is one k-mer; the class id is the least ``doc_id`` of
 the class (null only if all ids in it are null); repeated rows are copies; an
 empty table gives no rows; other columns are ignored, or kept by
 :func:`one_of_each`.
@@ -45,10 +46,11 @@ from herdlens.llm.common import bounded_batches, packed, text_of
 from herdlens.operators.components import connected_components
 from herdlens.session import materialize
 
-K = 5
+K = 3
 SIMILARITY = 0.8
-SKETCHES = 40
+SKETCHES = 64
 PICKED = 2
+SHORT = (12, 40)  # up to so many words texts have marks of one word, of two words
 SMALL = 64  # texts of a mark that are compared across parts whatever words they share
 SLOTS = 1 << 18  # counts of words, by hash, that say which words are rare
 MASK = (1 << 64) - 1
@@ -118,6 +120,23 @@ def order_sketch(words: np.ndarray, k: int = K, sketches: int = SKETCHES, picked
     return marks.view(np.int64)
 
 
+def sizes_of(n: int, k: int = K, similarity: float = SIMILARITY) -> list:
+    """Sizes of the k-mers that a text of ``n`` words gives marks of.
+
+    Two texts that can be alike by their lengths have a size in common: that of the longer one.
+    """
+    tops = [*SHORT[: k - 1], float("inf")]
+    lows = [0, *(similarity * (top + 1) - 1e-9 for top in tops)]
+    sizes = [*range(1, len(tops)), k]
+    return [size for size, low, top in zip(sizes, lows, tops, strict=False) if low <= n <= top]
+
+
+def sketch_of(words: np.ndarray, k: int, sketches: int, picked: int, similarity: float) -> np.ndarray:
+    """The marks of a text, for every size of its k-mers."""
+    marks = [order_sketch(words, size, sketches, picked) for size in sizes_of(len(words), k, similarity)]
+    return np.concatenate(marks)
+
+
 def rare_words(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The rarest of a text's labelled words: two texts that are alike have one in common.
 
@@ -143,7 +162,7 @@ class _Hashes(dict):
         words = split_words(text)
         if len(self) > KEPT:
             self.clear()
-        for w in set(words).difference(self):
+        for w in [w for w in set(words) if w not in self]:  # difference() would walk through all of a subclass of dict
             self[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -216,14 +235,16 @@ def _banded(where: dict, b: list, longer: int, band: int) -> int | None:
     return edits
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, picked: int) -> DataFrame:
+def sketched(
+    docs: DataFrame, id_col: str, text_col: str, k: int, sketches: int, picked: int, similarity: float = SIMILARITY
+) -> DataFrame:
     """``(doc_id, key, sketch)`` of every document; ``key`` is a digest of its text."""
     bounded_batches(docs.sparkSession)
 
     def sketch(batches):
         known = _Hashes()
         for batch in batches:
-            marks = [order_sketch(known.of(text), k, sketches, picked) for text in batch.column("text").to_pylist()]
+            marks = [sketch_of(known.of(text), k, sketches, picked, similarity) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), _lists(marks)], names=["doc_id", "key", "sketch"]
             )
@@ -271,14 +292,14 @@ def near_classes(
     ``class`` is the least document id of all texts in the class, ``best`` marks
     the one text that represents it.
     """
-    members = materialize(sketched(docs, id_col, text_col, k, sketches, picked), "near-sketches")
+    members = materialize(sketched(docs, id_col, text_col, k, sketches, picked, similarity), "near-sketches")
     texts = materialize(
         members.groupBy("key")
         .agg(F.min("doc_id").alias("first_id"), F.first("sketch").alias("sketch"))
         .withColumn("rid", F.monotonically_increasing_id()),
         "near-texts",
     )
-    marks = texts.select("rid", F.posexplode("sketch").alias("i", "h")).select(F.xxhash64("i", "h").alias("mark"), "rid")
+    marks = texts.select(F.explode(F.array_distinct("sketch")).alias("mark"), "rid")
     leaders = materialize(
         marks.groupBy("mark").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
         "near-leaders",

@@ -270,6 +270,26 @@ def test_template_of_a_thousand_texts(spark):
     assert Counter((r.doc_id, r.class_id) for r in got.collect()) == expected
 
 
+@pytest.mark.parametrize("n", [5, 6, 12, 20, 30, 41, 60, 100, 250])
+def test_candidates_near_the_threshold(n):
+    rng, e, met = np.random.default_rng(n), n // 5, Counter()
+    for spread in (False, True):
+        for _ in range(50):
+            a = rng.integers(1, 1 << 62, n).astype(np.uint64)
+            at = np.arange(e) * n // e + n // e // 2 if spread else rng.choice(n, e, replace=False)
+            b = a.copy()
+            b[at] = rng.integers(1, 1 << 62, e)
+            first, second = (set(near_dedup.sketch_of(w, 3, near_dedup.SKETCHES, near_dedup.PICKED, 0.8).tolist()) for w in (a, b))
+            met[spread] += bool(first & second)
+    assert met[False] >= 48 and met[True] >= 45
+
+
+def test_texts_that_fit_have_a_size_of_kmers_in_common():
+    for longer in range(1, 300):
+        for shorter in range(longer - longer // 5, longer + 1):
+            assert set(near_dedup.sizes_of(longer)) & set(near_dedup.sizes_of(shorter))
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.class_of_each(table(spark, [])).collect() == []
     assert near_dedup.one_of_each(table(spark, [])).collect() == []
