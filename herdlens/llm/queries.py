@@ -20,6 +20,7 @@ from herdlens.llm.substring_dedup import repeated_runs
 from herdlens.llm.token_files import read_token_files, write_token_files
 from herdlens.llm.toxicity import THRESHOLD, fit, held_out, with_score
 from herdlens.llm.url_filters import judged
+from herdlens.llm.whitening import whiten
 from herdlens.session import materialize
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -146,6 +147,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, _crc32, "ids_crc32 bigint")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened by the covariance of their distinct grid vectors."""
+    done = whiten(table(spark, sf_dir, "embeddings"), "embedding", keep=["vec_id"])
+    parts = F.posexplode(F.arrays_zip("whitened", "explained"))
+    each = done.select("row.vec_id", "n", "deviation", "identity_error", parts.alias("at", "part"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"),
+        "identity_error",
+    )
+
+
 def llm_queries() -> dict:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -158,6 +175,7 @@ def llm_queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
+        "op13_whitening": op13_whitening,
     }
 
 
