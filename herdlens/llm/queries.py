@@ -15,6 +15,7 @@ from herdlens.llm.decontaminate import contamination
 from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
 from herdlens.llm.line_dedup import line_report
 from herdlens.llm.near_dedup import class_of_each
+from herdlens.llm.neighbours import nearest
 from herdlens.llm.pieces import decode_ids, encode_texts
 from herdlens.llm.substring_dedup import repeated_runs
 from herdlens.llm.token_files import read_token_files, write_token_files
@@ -147,6 +148,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, _crc32, "ids_crc32 bigint")
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of largest cosine for each row whose id is divisible by 50."""
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings whitened by the covariance of their distinct grid vectors."""
     done = whiten(table(spark, sf_dir, "embeddings"), "embedding", keep=["vec_id"])
@@ -175,6 +182,7 @@ def llm_queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
+        "op12_neighbours": op12_neighbours,
         "op13_whitening": op13_whitening,
     }
 
