@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from herdlens.llm import oracles
+from herdlens.llm.alignment import aligned
 from herdlens.llm.chat import chat_paths, linear_replies, masked_text, read_turns
 from herdlens.llm.common import table
 from herdlens.llm.decontaminate import contamination
@@ -25,6 +26,7 @@ from herdlens.llm.whitening import whiten
 from herdlens.session import materialize
 
 WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
 URL_RULES = [
     ("org", "/", "allow"),
@@ -148,6 +150,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, _crc32, "ids_crc32 bigint")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their tokens in two vocabularies aligned, and counts of the linked pairs."""
+    files = [public_tokenizers.path(name) for name in (BYTE_TOKENIZER, PIECE_TOKENIZER)]
+    return aligned(table(spark, sf_dir, "documents"), *files)
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows of largest cosine for each row whose id is divisible by 50."""
     found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -182,6 +190,7 @@ def llm_queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_files": op10_token_files,
+        "op11_alignment": op11_alignment,
         "op12_neighbours": op12_neighbours,
         "op13_whitening": op13_whitening,
     }
