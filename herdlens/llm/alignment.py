@@ -12,8 +12,8 @@ dense vectors by that index, which are summed in a tree; an index counts for a p
 only if the pair stored there is the same. The second pass looks the counts of each
 block's pairs up by index, aligns the documents of the block once more and sums.
 
-Both libraries work on chunks (see ``chunks``): a chunk is aligned once for each
-block, or once for a worker if it is short. Nothing depends on what is remembered.
+Both libraries work on chunks (see ``chunks``): a distinct chunk is aligned once for
+each block and pass, all of them together as columns of numbers.
 
 Defined results: texts that are null or empty, and texts whose tokens of A or B do
 not have the bytes of a space and the text, have no tokens: zeros and an empty
@@ -28,15 +28,18 @@ import hashlib
 import math
 import os
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdlens.llm.chunks import Chunked, Memory, chunked, slices
+from herdlens.llm.chunks import Chunked, chunked, slices
 from herdlens.llm.common import bounded_batches, text_of
 from herdlens.llm.perfect_hash import PerfectHash
 from herdlens.session import materialize
@@ -44,6 +47,7 @@ from herdlens.session import materialize
 BLOCK = 8 << 20  # characters of a block of documents
 SHARD = 1 << 15  # pairs of a shard on average
 PART = 1 << 18  # rows of a group of blocks and a shard on average
+RUN = 1 << 14  # characters of chunks that are encoded as one text
 FAN = 16  # vectors that a step of the tree adds up
 HIGH = 32  # bits that the second id of a pair takes
 
@@ -56,6 +60,57 @@ def _byte_letters() -> dict:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Aligned(NamedTuple):
+    """Tokens and links of chunks, one chunk after another in the order ``chunks``."""
+
+    chunks: np.ndarray  # numbers of the chunks
+    whole: np.ndarray  # whether the tokens have the bytes of the chunk, by number
+    first: np.ndarray  # ids of A
+    first_at: np.ndarray  # place of their chunk in ``chunks``
+    first_group: np.ndarray
+    second: np.ndarray
+    second_at: np.ndarray
+    second_group: np.ndarray
+    links: np.ndarray
+    link_at: np.ndarray
+
+    def per_chunk(self, at: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        """Sums by chunk number of whole numbers given for tokens or links; how many if none are given."""
+        ends = np.searchsorted(at, np.arange(len(self.chunks) + 1))
+        running = np.arange(len(at) + 1) if values is None else np.concatenate([[0], np.cumsum(values)])
+        out = np.zeros(len(self.whole), "int64")
+        out[self.chunks] = running[ends[1:]] - running[ends[:-1]]
+        return out
+
+    def groups(self) -> np.ndarray:
+        ends = np.flatnonzero(np.diff(self.first_group, append=-1))
+        return self.per_chunk(self.first_at[ends])
+
+    def texts(self) -> pa.Array:
+        """``a1,a2|b1;a3|b2,b3`` of each chunk, by number."""
+        ids = np.concatenate([self.first, self.second])
+        at = np.concatenate([self.first_at, self.second_at])
+        group = np.concatenate([self.first_group, self.second_group])
+        side = np.repeat([0, 1], [len(self.first), len(self.second)])
+        order = np.lexsort((side, group))  # stable: tokens of a side stay in order
+        ids, at, group, side = ids[order], at[order], group[order], side[order]
+        same_group, same_side = group[:-1] == group[1:], side[:-1] == side[1:]
+        after = np.where(same_group, np.where(same_side, 0, 1), np.where(at[:-1] == at[1:], 2, 3))
+        after = np.concatenate([after, [3]])[: len(ids)]
+        parts = _numbers(int(ids.max(initial=0)) + 1).take(pa.array(ids * 4 + after))
+        ends = np.searchsorted(at, np.arange(len(self.chunks) + 1)).astype("int32")
+        made = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), parts), "")
+        place = np.full(len(self.whole), -1)
+        place[self.chunks] = np.arange(len(self.chunks))
+        return made.take(pa.array(place, mask=place < 0))
+
+
+@lru_cache(maxsize=2)
+def _numbers(n: int) -> pa.Array:
+    """Every number below ``n`` with each of the four things that may follow it."""
+    return pa.array([f"{i}{sign}" for i in range(n) for sign in (",", "|", ";", "")], pa.string())
+
+
 class Aligner:
     def __init__(self, first: str, second: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -65,10 +120,11 @@ class Aligner:
         self.first = Tokenizer.from_file(first)
         self.first.encode_special_tokens = True
         letters = _byte_letters()
-        self.first_bytes = {
-            i: bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-            for token, i in self.first.get_vocab(with_added_tokens=True).items()
-        }
+        tokens = {i: t for t, i in self.first.get_vocab(with_added_tokens=True).items()}
+        self.first_bytes = [
+            bytes(letters[c] for c in t) if (t := tokens.get(i, "")) and all(c in letters for c in t) else t.encode()
+            for i in range(max(tokens) + 1)
+        ]
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         lib, size = self.second, self.second.get_piece_size()
         pieces = [lib.id_to_piece(i) for i in range(size)]
@@ -78,58 +134,63 @@ class Aligner:
             bytes([int(p[1:-1], 16)]) if lib.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.space = lib.piece_to_id("▁")
-        self.remembered = Memory()
-
-    def _second_ids(self, chunks: list) -> list:
-        """Ids of chunks: the library puts a space in front, which a chunk has or must lose again."""
-        found = self.second.encode([c if c[0] == "\n" else c[1:] for c in chunks], num_threads=1)
-        out = []
-        for chunk, ids in zip(chunks, found, strict=True):
-            if chunk[0] == "\n":
-                out.append(ids[1:] if ids and ids[0] == self.space else None)
-            else:
-                out.append(ids if len(chunk) > 1 else [self.space])
-        return out
-
-    def _align(self, chunk: str, a: list, b: list | None) -> tuple | None:
-        """``(n_a, n_b, n_groups, links, groups as text)``; None where the bytes are not the chunk's."""
-        raw = chunk.encode()
-        sizes_a = [len(self.first_bytes[i]) for i in a]
-        if b is None or b"".join([self.first_bytes[i] for i in a]) != raw:
-            return None
-        if b"".join([self.second_bytes[i] for i in b]) != raw:
-            return None
-        links, groups = [], []
-        i = j = first_i = first_j = 0
-        end_a, end_b = sizes_a[0], len(self.second_bytes[b[0]])
-        while True:
-            links.append(a[i] << HIGH | b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))}")
-                if i == len(a):
-                    break
-                first_i, first_j = i, j
-                end_a, end_b = end_a + sizes_a[i], end_b + len(self.second_bytes[b[j]])
-            elif end_a < end_b:
-                i += 1
-                end_a += sizes_a[i]
-            else:
-                j += 1
-                end_b += len(self.second_bytes[b[j]])
-        return len(a), len(b), len(groups), np.array(links, "int64"), ";".join(groups)
-
-    def _new(self, chunks: list):
-        if not chunks:
-            return []
-        firsts = self.first.encode_batch_fast(chunks, add_special_tokens=False)
-        aligned = [
-            self._align(c, a.ids, b) for c, a, b in zip(chunks, firsts, self._second_ids(chunks), strict=True)
+        self.first_sizes, self.second_sizes = (
+            np.array([len(b) for b in x], "int64") for x in (self.first_bytes, self.second_bytes)
+        )
+
+    def _second_ids(self, texts: list) -> list:
+        """Ids of texts that begin with a space, which the library adds, or with a line
+        end, before which it adds one too many."""
+        found = self.second.encode([t if t[0] == "\n" else t[1:] for t in texts], num_threads=1)
+        return [
+            [self.space] if t == " " else ids[1:] if t[0] == "\n" and ids[:1] == [self.space] else ids
+            for t, ids in zip(texts, found, strict=True)
         ]
-        return [(x, 400 + 8 * len(x[3]) + len(x[4]) if x else 0) for x in aligned]
 
-    def __call__(self, chunks: list) -> list:
-        return self.remembered(chunks, self._new)
+    def _tokens(self, runs: list, chunks: list) -> tuple:
+        """Ids of runs of chunks, and which runs have tokens with the bytes of their text."""
+        texts = ["".join([chunks[i] for i in run]) for run in runs]
+        firsts = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+        seconds = self._second_ids(texts)
+        good = []
+        for text, a, b in zip(texts, firsts, seconds, strict=True):
+            raw = text.encode()
+            good.append(
+                b"".join([self.first_bytes[i] for i in a]) == raw and b"".join([self.second_bytes[i] for i in b]) == raw
+            )
+        return firsts, seconds, good
+
+    def __call__(self, chunks: list) -> Aligned:
+        """Align each chunk. Chunks that end in no white space are chunks of a text made of
+        them as well, and so are encoded many at once; those of a text whose tokens have
+        other bytes are tried one by one."""
+        joined = [i for i, c in enumerate(chunks) if not c[-1].isspace()]
+        runs = [joined[a:b] for a, b in slices([len(chunks[i]) for i in joined], RUN)]
+        firsts, seconds, good = self._tokens(runs, chunks)
+        kept = [k for k, g in enumerate(good) if g]
+        rest = [[i] for k, g in enumerate(good) if not g for i in runs[k]]
+        rest += [[i] for i, c in enumerate(chunks) if c[-1].isspace()]
+        alone_a, alone_b, alone_good = self._tokens(rest, chunks)
+        more = [k for k, g in enumerate(alone_good) if g]
+        order = [i for k in kept for i in runs[k]] + [rest[k][0] for k in more]
+        a, b = (
+            np.fromiter(chain.from_iterable([*[x[k] for k in kept], *[y[k] for k in more]]), "int64")
+            for x, y in ((firsts, alone_a), (seconds, alone_b))
+        )
+        # Everything that was kept is one long text now, cut by chunk and by token ends.
+        ends = np.cumsum(np.array([len(chunks[i].encode()) for i in order], "int64"))
+        ends_a, ends_b = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last = np.union1d(ends_a, ends_b)  # where a link ends, one of its tokens does
+        links = a[np.searchsorted(ends_a, last)] << HIGH | b[np.searchsorted(ends_b, last)]
+        whole = np.zeros(len(chunks), bool)
+        whole[order] = True
+        return Aligned(
+            np.array(order, "int64"), whole,
+            a, np.searchsorted(ends, ends_a), np.searchsorted(common, ends_a),
+            b, np.searchsorted(ends, ends_b), np.searchsorted(common, ends_b),
+            links, np.searchsorted(ends, last),
+        )
 
 
 @lru_cache(maxsize=2)
@@ -137,39 +198,27 @@ def aligner(first: str, second: str) -> Aligner:
     return Aligner(first, second)
 
 
-NOTHING = (0, 0, 0, np.empty(0, "int64"), "")
+def _whole_texts(cut: Chunked, done: Aligned) -> np.ndarray:
+    return cut.sums((~done.whole).astype("int64")) == 0
 
 
-class _Aligned:
-    """Chunks of some texts with the alignment of each distinct one."""
+def _pair_counts(cut: Chunked, done: Aligned) -> tuple:
+    """Distinct pairs of the texts that have tokens, and their links."""
+    used = np.repeat(_whole_texts(cut, done), np.diff(cut.ends))
+    times = np.bincount(cut.index[used], minlength=len(done.whole))
+    pairs, at = np.unique(done.links, return_inverse=True)
+    counts = np.bincount(at, times[done.chunks[done.link_at]], minlength=len(pairs)).astype("int64")
+    return pairs[counts > 0], counts[counts > 0]
 
-    def __init__(self, cut: Chunked, align: Aligner):
-        self.cut = cut
-        found = align(cut.chunks)
-        self.whole = cut.sums(np.array([x is None for x in found], "int64")) == 0
-        self.each = [x or NOTHING for x in found]
-        self.sizes = np.array([len(x[3]) for x in self.each], "int64")
-        self.links = np.concatenate([NOTHING[3], *[x[3] for x in self.each]])
 
-    def pair_counts(self) -> tuple:
-        """Distinct pairs of the texts that have tokens, and their links."""
-        used = np.repeat(self.whole, np.diff(self.cut.ends))
-        times = np.bincount(self.cut.index[used], minlength=len(self.each))
-        pairs, at = np.unique(self.links, return_inverse=True)
-        counts = np.bincount(at, np.repeat(times, self.sizes), minlength=len(pairs)).astype("int64")
-        return pairs[counts > 0], counts[counts > 0]
-
-    def per_chunk(self, each_link: np.ndarray) -> np.ndarray:
-        running = np.concatenate([[0], np.cumsum(each_link)])
-        ends = np.cumsum(self.sizes)
-        return running[ends] - running[ends - self.sizes]
+NOTHING = np.empty(0, "int64")
 
 
 def _pairs_of(texts: pa.Array, align: Aligner) -> tuple:
     """Distinct pairs of some texts, and their links."""
-    parts = [_Aligned(cut, align).pair_counts() for cut in chunked(texts)]
-    pairs, at = np.unique(np.concatenate([NOTHING[3], *[p for p, _ in parts]]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([NOTHING[3], *[n for _, n in parts]]), minlength=len(pairs))
+    parts = [_pair_counts(cut, align(cut.chunks)) for cut in chunked(texts)]
+    pairs, at = np.unique(np.concatenate([NOTHING, *[p for p, _ in parts]]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([NOTHING, *[n for _, n in parts]]), minlength=len(pairs))
     return pairs, counts.astype("int64")
 
 
@@ -185,8 +234,8 @@ def _first_pass(docs: DataFrame, first: str, second: str) -> DataFrame:
             told = pa.array(np.full(len(whole), (part << 32) + number, "int64"))
             none = pa.nulls(len(whole), pa.int64())
             yield pa.RecordBatch.from_arrays([told, whole_ids, whole, none, none], names=names)
-            filled = whole.filter(pa.compute.greater(pa.compute.binary_length(whole), 0))
-            pairs, counts = _pairs_of(filled, align) if len(filled) else (NOTHING[3], NOTHING[3])
+            filled = whole.filter(pc.greater(pc.binary_length(whole), 0))
+            pairs, counts = _pairs_of(filled, align) if len(filled) else (NOTHING, NOTHING)
             n = len(pairs)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -197,7 +246,7 @@ def _first_pass(docs: DataFrame, first: str, second: str) -> DataFrame:
             )
 
         for batch in batches:
-            lengths = pa.compute.binary_length(batch.column("text")).to_pylist()
+            lengths = pc.binary_length(batch.column("text")).to_pylist()
             for start, end in slices(lengths, BLOCK):
                 ids.append(batch.column("doc_id").slice(start, end - start))
                 texts.append(batch.column("text").slice(start, end - start))
@@ -250,9 +299,8 @@ def pair_counts(parts: DataFrame, shards: int, groups: int) -> DataFrame:
         index = _placed(hashed, rows.column("pair").to_numpy())
         vector = np.zeros(len(hashed.column("keys")[0].as_py()) // 8, "int64")
         np.add.at(vector, index, rows.column("n").to_numpy())
-        return pa.table({
-            "shard": hashed.column("shard")[:1], "part": rows.column("part")[:1], "counts": pa.array([vector.tobytes()], pa.binary()),
-        })
+        told = pa.table({"shard": rows.column("shard")[:1], "part": rows.column("part")[:1]})  # none for a part without pairs
+        return told.append_column("counts", pa.array([vector.tobytes()][: told.num_rows], pa.binary()))
 
     def added(table: pa.Table) -> pa.Table:
         vector = sum(np.frombuffer(b, "<i8") for b in table.column("counts").to_pylist())
@@ -332,22 +380,22 @@ def aligned(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", te
         text, n = rows.column("text").combine_chunks(), rows.num_rows
         out = np.zeros((6, n), "int64")
         digests = [""] * n
-        filled = np.flatnonzero(pa.compute.binary_length(text).to_numpy(zero_copy_only=False))
+        filled = np.flatnonzero(pc.binary_length(text).to_numpy(zero_copy_only=False))
         for cut in chunked(text.take(pa.array(filled))) if len(filled) else ():
-            done = _Aligned(cut, align)
+            done = align(cut.chunks)
+            whole = _whole_texts(cut, done)
             where = np.searchsorted(pairs, done.links)
             where[where == len(pairs)] = 0
             sure = pairs[where] == done.links if len(pairs) else np.zeros(len(done.links), bool)
             number = np.where(sure, counted[where], 0) if len(pairs) else np.zeros(len(done.links), "int64")
             is_best = sure & top[where] if len(pairs) else sure
-            each = [np.array([x[i] for x in done.each], "int64") for i in range(3)]
-            each += [done.sizes, done.per_chunk(is_best), done.per_chunk(number)]
+            each = [done.per_chunk(done.first_at), done.per_chunk(done.second_at), done.groups(), done.per_chunk(done.link_at)]
+            each += [done.per_chunk(done.link_at, x) for x in (is_best, number)]
             places = filled[cut.rows]
             for line, values in enumerate(each):
-                out[line, places] = np.where(done.whole, cut.sums(values), 0)
-            told = pa.array([x[4] for x in done.each], pa.string())
-            for place, whole, line in zip(places, done.whole, cut.joined(told, ";"), strict=True):
-                if whole:
+                out[line, places] = np.where(whole, cut.sums(values), 0)
+            for place, sound, line in zip(places, whole, cut.joined(done.texts(), ";"), strict=True):
+                if sound:
                     digests[place] = hashlib.sha256(line.encode()).hexdigest()
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
         return pa.table({"doc_id": rows.column("doc_id"), **dict(zip(names, map(pa.array, out), strict=True)), "groups_sha256": pa.array(digests, pa.string())})
