@@ -8,6 +8,8 @@ exact parts as the engine does.
 
 from __future__ import annotations
 
+from catalog import mixture_sql
+
 # Vocabulary, weights and wordings that results are compared in.
 SPECIES = ("cattle", "buffalo", "goat", "sheep", "poultry")
 SYMPTOM_WEIGHTS = {
@@ -316,9 +318,11 @@ labels AS (
 clustered AS (SELECT located.*, coalesce(st_cluster, -1) AS st_cluster FROM located
   JOIN cells USING (latitude, longitude, day_offset) LEFT JOIN labels ON labels.id = cells.id)"""
 
-SUMMARY = f"""
+GRADED = """
 graded AS (SELECT *, CASE risk_level WHEN 'LOW' THEN 'Mild' WHEN 'MEDIUM' THEN 'Moderate' ELSE 'Severe' END AS grade,
-  round_even((1e0 - mortality_rate / 2e0) * 1000e0, 0) / 1000e0 AS sure FROM clustered WHERE st_cluster >= 0),
+  round_even((1e0 - mortality_rate / 2e0) * 1000e0, 0) / 1000e0 AS sure FROM clustered WHERE st_cluster >= 0)"""
+
+SUMMARY = f"""
 grades AS (SELECT st_cluster, grade, count(*) AS n FROM graded GROUP BY ALL),
 villages AS (SELECT st_cluster, village, count(*) AS n FROM graded GROUP BY ALL),
 listed AS (SELECT st_cluster, string_agg(village, ', ' ORDER BY village) AS names FROM
@@ -342,8 +346,8 @@ known AS (SELECT village FROM reports GROUP BY 1 HAVING sum(number_deaths) >= 24
 flagged AS (SELECT DISTINCT dominant_village AS village FROM summary WHERE flagged_as_outbreak)"""
 
 
-def clu(body: str) -> str:
-    return q(body, REGIONS, CELLS, CLUSTERS, SUMMARY)
+def clu(body: str, *graded: str) -> str:
+    return q(body, REGIONS, CELLS, CLUSTERS, *(graded or (GRADED,)), SUMMARY)
 
 
 VALIDATE = clu(f"""SELECT n_known, n_flagged, true_positives, false_positives, false_negatives,
@@ -555,7 +559,12 @@ def all_oracles() -> dict:
         "ml_evaluate_saved": q("SELECT risk_level AS actual, count(*) FILTER (WHERE NOT is_train) AS n FROM split GROUP BY 1", SPLIT),
         "ml_importance": IMPORTANCE,
         "topk_importance": "SELECT CAST(10 AS BIGINT) AS n, TRUE AS above_the_rest",
-        "clu_detect": clu("SELECT * EXCLUDE (dominant_severity_group, avg_severity_confidence) FROM summary"),
+        "clu_detect": clu("SELECT * FROM summary", *mixture_sql.SEVERITY, mixture_sql.GRADED),
+        "clu_t_mixture": q(mixture_sql.FITTED_QUERY, *mixture_sql.MIXTURE),
+        "clu_severity_assign": q(mixture_sql.ASSIGN_QUERY, *mixture_sql.SEVERITY),
+        "clu_severity_summary": q(mixture_sql.GROUPS_QUERY, *mixture_sql.SEVERITY),
+        "win_severity_rank": q(mixture_sql.RANK_QUERY, *mixture_sql.SEVERITY),
+        "sort_severity_groups": q(mixture_sql.GROUPS_QUERY, *mixture_sql.SEVERITY),
         "clu_validate": VALIDATE,
         "clu_report": FLAGGED,
     }

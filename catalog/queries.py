@@ -557,7 +557,7 @@ def topk_importance(spark, sf):
 
 
 def sort_severity_groups(spark, sf):
-    return detected(spark, sf).severity_groups.orderBy("rank")
+    return clu_severity_summary(spark, sf).orderBy("rank")
 
 
 # --- sets -------------------------------------------------------------------
@@ -666,17 +666,26 @@ def clu_st_dbscan(spark, sf):
 
 
 def clu_t_mixture(spark, sf):
+    """Components after the last step, to six places, and how the fit went."""
     rows = features.with_symptoms(reports(spark, sf))
     names = ["mortality_rate", "symptom_severity", "number_affected"]
     z = outbreak.standardized(rows, names)
     model = fit_t_mixture(z, [f"z_{n}" for n in names])
-    return spark.createDataFrame(
+    table = spark.createDataFrame(
         [
             (k, float(model.fitted.weights[k]), *[float(v) for v in model.fitted.means[k]], model.log_likelihood, model.n_iter)
             for k in range(model.fitted.k)
         ],
         "component int, weight double, " + ", ".join(f"mean_{n} double" for n in names) + ", log_likelihood double, n_iter int",
     )
+    return _to_places(table, 6, ["weight", *[f"mean_{n}" for n in names]]).withColumns(
+        {"log_likelihood": F.floor(F.col("log_likelihood") * 1e3 + 0.5) / 1e3}
+    )
+
+
+def _to_places(df: DataFrame, places: int, columns: list) -> DataFrame:
+    scale = float(10**places)
+    return df.withColumns({c: F.floor(F.col(c) * scale + 0.5) / scale for c in columns})
 
 
 def clu_severity_assign(spark, sf):
@@ -686,12 +695,13 @@ def clu_severity_assign(spark, sf):
 
 
 def clu_severity_summary(spark, sf):
-    return detected(spark, sf).severity_groups
+    groups = detected(spark, sf).severity_groups
+    return _to_places(groups, 6, ["mortality_rate", "symptom_severity", "number_affected", "mixture_weight"])
 
 
 def clu_detect(spark, sf):
-    """Clusters of the whole detection; the columns that depend on the mixture are left to the tests."""
-    return detected(spark, sf).cluster_summary.drop("dominant_severity_group", "avg_severity_confidence")
+    """Clusters of the whole detection, with the severity of their reports."""
+    return detected(spark, sf).cluster_summary
 
 
 def clu_validate(spark, sf):

@@ -10,15 +10,12 @@ iteration runs the same query and the same generated code.
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,30 +139,86 @@ class TMixtureModel:
         return scored.select(*df.columns, pick.alias(label), share.alias(confidence))
 
 
-def _start(points: DataFrame, columns: list, k: int, seed: int, reg: float, total: float, cfg: Config) -> Parameters:
-    """K-means centres with each group's sample covariance and share."""
-    d = len(columns)
-    if k == 1:
-        grouped = points.withColumn("_group", F.lit(0))
-    else:
-        vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(points)
+def _numbers(values) -> str:
+    """A literal array of doubles, or of arrays of them."""
+    inner = ", ".join(f"{float(v)!r}D" if np.isscalar(v) else _numbers(v) for v in values)
+    return f"array({inner})"
+
+
+def _squared(names: list, centre: str) -> str:
+    """Squared distance from an array ``centre``, in billionths, so that ties do not
+    depend on the order in which sums were added."""
+    terms = " + ".join(f"({x} - {centre}[{i}]) * ({x} - {centre}[{i}])" for i, x in enumerate(names))
+    return f"floor(({terms}) * 1e9D + 0.5D)"
+
+
+def spread_points(points: DataFrame, names: list, most: int, total: float) -> list:
+    """Points of which each lies farthest from those before it; the first is the one nearest to the mean.
+
+    Ties go to the least values. Where there are fewer distinct points, the least one repeats.
+    """
+    sums = points.agg(*[F.sum(F.col("_n") * F.col(x)).alias(x) for x in names]).first()
+    value = ", ".join(names)
+    near = F.expr(f"min(struct({_squared(names, _numbers([s / total for s in sums]))} AS d, {value}))")
+    chosen = [list(points.agg(near.alias("p")).first()["p"])[1:]]
+    while len(chosen) < most:
+        gap = f"array_min(transform({_numbers(chosen)}, c -> {_squared(names, 'c')}))"
+        far = F.expr(f"min(struct(-{gap} AS d, {value}))")
+        chosen.append(list(points.agg(far.alias("p")).first()["p"])[1:])
+    return chosen
+
 
-        def fitted(i: int):
-            settings = {"k": k, "seed": seed + i, "weightCol": "_n", "maxIter": cfg.kmeans_iterations}
-            return KMeans(featuresCol="_v", predictionCol="_group", **settings).fit(vectors)
+def _nearest(names: list, k: int, centres: str) -> str:
+    """Number of the nearest centre, the lowest of equals."""
+    gaps = f"transform({centres}, c -> {_squared(names, 'c')})"
+    return f"CAST(array_position({gaps}, array_min({gaps})) AS INT) - 1"
 
-        # Restarts are jobs of their own and run side by side.
-        with ThreadPoolExecutor(cfg.kmeans_restarts) as pool:
-            models = list(pool.map(fitted, range(cfg.kmeans_restarts)))
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        grouped = best.transform(vectors).drop("_v")
+
+def lloyd(points: DataFrame, names: list, starts: list, rounds: int) -> tuple[np.ndarray, float]:
+    """Centres of the least sum of squares that k-means reaches from any of ``starts``.
+
+    All restarts that still move take one step in one aggregation. A centre that
+    loses all its points keeps its place.
+    """
+    k, d = len(starts[0]), len(names)
+    centres = np.array(starts, float)
+    costs, moving = np.full(len(starts), math.inf), list(range(len(starts)))
+    for _ in range(max(1, rounds)):
+        states = ", ".join(f"struct({r} AS r, {_numbers(centres[r])} AS m)" for r in moving)
+        each = points.select(*names, "_n", F.expr(f"explode(array({states}))").alias("_s"))
+        labelled = each.withColumn("_c", F.expr(_nearest(names, k, "_s.m")))
+        gap = " + ".join(f"({x} - _s.m[_c][{i}]) * ({x} - _s.m[_c][{i}])" for i, x in enumerate(names))
+        sums = labelled.groupBy("_s.r", "_c").agg(
+            F.sum("_n").alias("n"), F.expr(f"sum(_n * ({gap}))").alias("cost"),
+            *[F.expr(f"sum(_n * {x})").alias(f"s{i}") for i, x in enumerate(names)],
+        )
+        moved = centres.copy()
+        costs[moving] = 0.0
+        for row in sums.collect():  # k rows for each restart
+            moved[row["r"], row["_c"]] = [row[f"s{i}"] / row["n"] for i in range(d)]
+            costs[row["r"]] += row["cost"]
+        shift = np.abs(moved - centres).max(axis=(1, 2))
+        centres, moving = moved, [r for r in moving if shift[r] > 1e-9]
+        if not moving:
+            break
+    best = int(np.argmin(np.floor(costs * 1e6 + 0.5)))
+    return centres[best], float(costs[best])
+
+
+def _start(points: DataFrame, columns: list, k: int, reg: float, total: float, cfg: Config) -> Parameters:
+    """K-means centres with each group's sample covariance and share; they depend on the points only."""
+    d = len(columns)
+    chosen = spread_points(points, columns, k + (cfg.kmeans_restarts - 1 if k > 1 else 0), total)
+    restarts = [chosen[r : r + k] for r in range(len(chosen) - k + 1)]
+    centres, _ = lloyd(points, columns, restarts, cfg.kmeans_iterations)
+    grouped = points.withColumn("_group", F.expr(_nearest(columns, k, _numbers(centres))))
 
     n = F.col("_n")
     sums = [F.sum(n).alias("n")]
     sums += [F.sum(n * F.col(c)).alias(f"s{i}") for i, c in enumerate(columns)]
     centred = grouped.groupBy("_group").agg(*sums)
     groups = {row["_group"]: row for row in centred.collect()}  # k rows
-    means = np.zeros((k, d))
+    means = centres.copy()
     members = np.zeros(k)
     for c, row in groups.items():
         members[c] = row["n"]
@@ -202,16 +255,19 @@ def fit_t_mixture(
     n_iter: int | None = None,
     tol: float | None = None,
     reg_covar: float | None = None,
-    seed: int | None = None,
+    start: Parameters | None = None,
     cfg: Config = DEFAULT,
 ) -> TMixtureModel:
-    """EM on ``columns`` of ``df``; ``weight`` counts how often a row occurs."""
+    """EM on ``columns`` of ``df``; ``weight`` counts how often a row occurs.
+
+    Without ``start`` it begins with k-means groups, which depend on the points
+    only, not on how they are partitioned.
+    """
     k = cfg.severity_groups if n_components is None else n_components
     dof = cfg.dof if dof is None else dof
     n_iter = cfg.em_iterations if n_iter is None else n_iter
     tol = cfg.em_tolerance if tol is None else tol
     reg = cfg.em_regularisation if reg_covar is None else reg_covar
-    seed = cfg.seed if seed is None else seed
     d = len(columns)
     names = [f"x{i}" for i in range(d)]
 
@@ -225,7 +281,7 @@ def fit_t_mixture(
         total = points.agg(F.sum("_n")).first()[0]
         if not total:
             raise ValueError("a mixture needs at least one row")
-        now = _start(points, names, k, seed, reg, total, cfg)
+        now = _start(points, names, k, reg, total, cfg) if start is None else start
         query = _moments(names, k, dof)
         previous = -math.inf
         used = 0
