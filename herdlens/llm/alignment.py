@@ -28,7 +28,6 @@ import hashlib
 import math
 import os
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -44,12 +43,13 @@ from herdlens.llm.common import bounded_batches, text_of
 from herdlens.llm.perfect_hash import PerfectHash
 from herdlens.session import materialize
 
-BLOCK = 8 << 20  # characters of a block of documents
+BLOCK = 4 << 20  # characters of a block of documents
 SHARD = 1 << 15  # pairs of a shard on average
 PART = 1 << 18  # rows of a group of blocks and a shard on average
 RUN = 1 << 14  # characters of chunks that are encoded as one text
 FAN = 16  # vectors that a step of the tree adds up
 HIGH = 32  # bits that the second id of a pair takes
+NOTHING = np.empty(0, "int64")
 
 
 def _byte_letters() -> dict:
@@ -148,16 +148,21 @@ class Aligner:
         ]
 
     def _tokens(self, runs: list, chunks: list) -> tuple:
-        """Ids of runs of chunks, and which runs have tokens with the bytes of their text."""
-        texts = ["".join([chunks[i] for i in run]) for run in runs]
-        firsts = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
-        seconds = self._second_ids(texts)
-        good = []
-        for text, a, b in zip(texts, firsts, seconds, strict=True):
-            raw = text.encode()
-            good.append(
-                b"".join([self.first_bytes[i] for i in a]) == raw and b"".join([self.second_bytes[i] for i in b]) == raw
-            )
+        """Ids of runs of chunks, and which runs have tokens with the bytes of their text.
+
+        A few runs at a time, as what the libraries return is many times larger than the ids.
+        """
+        firsts, seconds, good = [], [], []
+        for some in range(0, len(runs), 8):
+            texts = ["".join([chunks[i] for i in run]) for run in runs[some : some + 8]]
+            found = zip(self.first.encode_batch_fast(texts, add_special_tokens=False), self._second_ids(texts), texts, strict=True)
+            for encoded, b, text in found:
+                a, raw = encoded.ids, text.encode()
+                good.append(
+                    b"".join([self.first_bytes[i] for i in a]) == raw and b"".join([self.second_bytes[i] for i in b]) == raw
+                )
+                firsts.append(np.array(a, "int32"))
+                seconds.append(np.array(b, "int32"))
         return firsts, seconds, good
 
     def __call__(self, chunks: list) -> Aligned:
@@ -174,7 +179,7 @@ class Aligner:
         more = [k for k, g in enumerate(alone_good) if g]
         order = [i for k in kept for i in runs[k]] + [rest[k][0] for k in more]
         a, b = (
-            np.fromiter(chain.from_iterable([*[x[k] for k in kept], *[y[k] for k in more]]), "int64")
+            np.concatenate([NOTHING, *[x[k] for k in kept], *[y[k] for k in more]])
             for x, y in ((firsts, alone_a), (seconds, alone_b))
         )
         # Everything that was kept is one long text now, cut by chunk and by token ends.
@@ -211,9 +216,6 @@ def _pair_counts(cut: Chunked, done: Aligned) -> tuple:
     return pairs[counts > 0], counts[counts > 0]
 
 
-NOTHING = np.empty(0, "int64")
-
-
 def _pairs_of(texts: pa.Array, align: Aligner) -> tuple:
     """Distinct pairs of some texts, and their links."""
     parts = [_pair_counts(cut, align(cut.chunks)) for cut in chunked(texts)]

@@ -37,7 +37,7 @@ class Chunked(NamedTuple):
         running = np.concatenate([[0], np.cumsum(each[self.index])])
         return running[self.ends[1:]] - running[self.ends[:-1]]
 
-    def joined(self, texts: pa.Array, separator: str, most: int = 1 << 19) -> Iterator[str]:
+    def joined(self, texts: pa.Array, separator: str, most: int = 1 << 17) -> Iterator[str]:
         """Text of each row: the texts of its chunks with the separator between them.
 
         ``texts`` has one for each distinct chunk; rows of ``most`` chunks are put together at once.
