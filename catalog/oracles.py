@@ -286,6 +286,32 @@ accepted AS (
   SELECT (SELECT max(report_id) FROM reports WHERE date < {CUT}) + row_number() OVER (ORDER BY date, report_id) AS new_id,
     *, {rounded('v', 3)} AS spread_velocity, {rounded('mortality_rate', 4)} AS rate4 FROM looked WHERE is_new)"""
 
+# Reports that arrive in any order: each sees the history and the new ones before it.
+LATE = f"""
+placed AS (
+  SELECT *, date >= {CUT} AS is_new, CASE WHEN date >= {CUT} THEN (report_id * 1103515245 + 12345) % 2147483648 ELSE -1 END AS arrival FROM reports),
+gaps AS (
+  SELECT t.report_id, h.report_id AS other, date_diff('day', h.date, t.date) AS a
+  FROM placed t JOIN placed h ON h.village = t.village AND h.arrival < t.arrival WHERE t.is_new),
+seen AS (
+  SELECT placed.*, coalesce(c.recent, 0) AS recent_reports, coalesce(c.prev, 0) AS recent_reports_prev, coalesce(c.rapid, 0) >= 3 AS rapid_spread
+  FROM placed LEFT JOIN (
+    SELECT report_id, count(*) FILTER (WHERE a BETWEEN 0 AND 6) AS recent, count(*) FILTER (WHERE a BETWEEN 7 AND 13) AS prev,
+      count(*) FILTER (WHERE a BETWEEN 0 AND 2) AS rapid FROM gaps GROUP BY 1) c USING (report_id)),
+arriving AS (
+  SELECT *, CASE WHEN number_deaths >= 3 AND number_affected >= 5 THEN 'multiple_deaths'
+    WHEN mortality_rate >= 0.3e0 THEN 'high_mortality_rate' WHEN {CRITICAL} THEN 'critical_symptoms'
+    WHEN symptom_respiratory_distress AND number_affected >= 3 THEN 'respiratory_cluster'
+    WHEN rapid_spread THEN 'rapid_spread' END AS rule_name FROM seen),
+stored AS (SELECT * REPLACE (CASE WHEN is_new AND rule_name IS NOT NULL THEN 'HIGH' ELSE risk_level END AS risk_level) FROM arriving),
+past AS (SELECT g.report_id, count(*) AS n FROM gaps g JOIN stored s ON s.report_id = g.other WHERE g.a > 0 AND s.risk_level = 'HIGH' GROUP BY 1),
+looked AS (
+  SELECT stored.*, coalesce(past.n, 0) AS historical_incidence,
+    {rate('recent_reports', 'recent_reports_prev', 'CAST(recent_reports AS DOUBLE)')} AS v FROM stored LEFT JOIN past USING (report_id)),
+accepted AS (
+  SELECT (SELECT max(report_id) FROM reports WHERE date < {CUT}) + row_number() OVER (ORDER BY arrival) AS new_id,
+    *, {rounded('v', 3)} AS spread_velocity, {rounded('mortality_rate', 4)} AS rate4 FROM looked WHERE is_new)"""
+
 # Batch triage: new reports do not see each other.
 BATCH = f"""
 history AS (SELECT * FROM reports WHERE date < {CUT}),
@@ -545,6 +571,8 @@ def all_oracles() -> dict:
         "set_distinct_options": q("SELECT DISTINCT village FROM reports"),
         "stream_triage": q(f"""SELECT new_id AS report_id, village, date, rate4 AS mortality_rate, risk_level, rule_name,
             {CONTEXT_LIST} FROM accepted""", ARRIVING),
+        "stream_triage_late": q(f"""SELECT new_id AS report_id, village, date, rate4 AS mortality_rate, risk_level, rule_name,
+            {CONTEXT_LIST} FROM accepted""", LATE),
         "stream_daily_trend": q("SELECT date, count(*) AS reports, count(*) FILTER (WHERE risk_level = 'HIGH') AS high_concern FROM reports GROUP BY 1"),
         "stream_rapid_spread": q("""SELECT village, date, n FROM (SELECT village, date, count(*) AS n FROM
             (SELECT village, CAST(date + CAST(i AS INTEGER) AS DATE) AS date FROM reports, range(3) t(i)) GROUP BY ALL) WHERE n >= 4"""),

@@ -589,18 +589,28 @@ def _report_stream(spark, sf):
     return driver_tables.reports(spark, sf, events=driver_tables.event_stream(spark, sf))
 
 
-def stream_triage(spark, sf):
+def _triaged(spark, sf, arrival):
     cut = F.lit(_cut(spark, sf))
     stream = TriageStream(spark, new_path(spark, "triage"), label_scorer)
     stream.start_from(reports(spark, sf).where(F.col("date") < cut))
-    arriving = _incoming(_report_stream(spark, sf).where(F.col("date") >= cut)).withColumnRenamed("report_id", "arrival")
-    stream.run(arriving).awaitTermination()
+    arriving = _report_stream(spark, sf).where(F.col("date") >= cut).withColumn("arrival", arrival)
+    stream.run(_incoming(arriving).drop("report_id")).awaitTermination()
     return stream.accepted().select(
         "report_id", "village", "date", "mortality_rate", "risk_level", "rule_name",
         *[F.col(f"context.{c}").alias(c) for c in context.CONTEXT_COLUMNS],
     )
 
 
+def stream_triage(spark, sf):
+    """Reports that arrive in the order of their dates."""
+    return _triaged(spark, sf, F.struct("date", "report_id"))
+
+
+def stream_triage_late(spark, sf):
+    """Reports that arrive in an order that has nothing to do with their dates."""
+    return _triaged(spark, sf, (F.col("report_id") * 1103515245 + 12345) % 2147483648)
+
+
 def stream_daily_trend(spark, sf):
     updates = trends.daily_trend_stream(_report_stream(spark, sf))
     folder = new_path(spark, "trend")
@@ -741,7 +751,7 @@ _NAMES = (
     "sort_risk", "topk_regions", "topk_recent_reports", "topk_recent_total", "sort_clusters",
     "filt_flagged_clusters", "sort_reports_renumber", "topk_importance", "sort_severity_groups",
     "set_union_reports", "set_intersect_villages", "set_except_villages", "set_distinct_options",
-    "stream_triage", "stream_daily_trend", "stream_rapid_spread",
+    "stream_triage", "stream_triage_late", "stream_daily_trend", "stream_rapid_spread",
     "ml_preprocess", "ml_train", "ml_predict", "ml_importance", "ml_evaluate_saved",
     "clu_st_dbscan", "clu_t_mixture", "clu_severity_assign", "clu_severity_summary", "clu_detect",
     "clu_validate", "clu_report",

@@ -69,3 +69,23 @@ def earlier_rows(df: DataFrame, keys: list, order: str, measures: dict, block: i
         *df.columns,
         *[(F.col(f"_in_{n}") + F.coalesce(f"_before_{n}", zero)).alias(n) for n in measures],
     )
+
+
+def least_before(df: DataFrame, keys: list, order: str, value: str, name: str, block: int = 65536) -> DataFrame:
+    """The least ``value`` among the rows of a key that come before a row's ``order``, null for the first.
+
+    A key is cut into blocks of ``order`` as in :func:`earlier_rows`.
+    """
+    cut = df.withColumn("_block", F.floor(F.col(order) / block))
+    within = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(*keys, "_block").agg(F.min(value).alias("_low"))
+    before = blocks.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_block").alias("_key_block"),
+        F.min("_low").over(earlier).alias("_low_before"),
+    )
+    same = F.col("_block") == F.col("_key_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    joined = cut.withColumn("_low_in", F.min(value).over(within)).join(before, same, "left")
+    return joined.select(*df.columns, F.least("_low_in", "_low_before").alias(name))

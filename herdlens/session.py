@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,8 +36,33 @@ def work_dir(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/herdlens/{name}-{uuid.uuid4().hex}"
+    folder = _scope.get() or f"{work_dir(spark).rstrip('/')}/herdlens"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the intermediate tables written inside; it is gone afterwards.
+
+    For work that ends with its results written elsewhere: nothing that is still
+    to be computed may read these tables.
+    """
+    folder = new_path(spark, "scratch")
+    token = _scope.set(folder)
+    try:
+        yield folder
+    finally:
+        _scope.reset(token)
+        _remove(spark, folder)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

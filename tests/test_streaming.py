@@ -1,3 +1,5 @@
+import os
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -5,8 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog.queries import label_scorer
 from herdlens import schema
+from herdlens.operators.arrival import chain_steps, past_counts, span_counts
 from herdlens.plans.triage import prepare
-from herdlens.session import new_path
+from herdlens.session import new_path, work_dir
 from herdlens.streaming import trends, triage
 from herdlens.streaming.triage import TriageStream
 from tests.test_context import naive
@@ -141,3 +144,80 @@ def test_nothing_but_rejected_reports(spark, make_reports, history):
     stream = _run(spark, history, arrivals, [[0]])
     assert stream.accepted().count() == 0 and "final_risk" in stream.accepted().columns
     assert stream.rejected().count() == 2
+
+
+def _longest_chains(rows):
+    """Step of each (village, day, arrived): reports of the longest chain before it."""
+    out = {}
+    for village, day, arrived in sorted(rows, key=lambda r: r[2]):
+        before = [s for (v, d, _), s in out.items() if v == village and d < day]
+        out[village, day, arrived] = max(before, default=-1) + 1
+    return {arrived: s for (_, _, arrived), s in out.items()}
+
+
+@pytest.mark.parametrize("block", [4, 65536])
+def test_steps_are_the_longest_chains(spark, block):
+    rng = random.Random(block)
+    rows = [("A" if i % 3 else "B", rng.randrange(9), i) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "village string, day int, arrived long").selectExpr(
+        "village", "date_from_unix_date(day) AS date", "arrived"
+    ).repartition(3)
+    steps, n = chain_steps(df, block)
+    expected = _longest_chains(rows)
+    assert {r.arrived: r.step for r in steps.collect()} == expected and n == max(expected.values()) + 1
+    none, n = chain_steps(df.limit(0))
+    assert none.count() == 0 and n == 0
+
+
+@pytest.mark.parametrize("block", [4, 65536])
+def test_counts_of_earlier_arrivals(spark, block):
+    rng = random.Random(7)
+    rows = [(rng.choice("AB"), rng.randrange(25), i, rng.random() < 0.4) for i in range(80)]
+    df = spark.createDataFrame(rows, "village string, day int, arrived long, high boolean").selectExpr(
+        "village", "date_from_unix_date(day) AS date", "arrived", "high"
+    )
+    spans = {r.arrived: (r.in_recent, r.in_previous, r.in_rapid) for r in span_counts(df.drop("high"), block=block).collect()}
+    past = {r.arrived: r.in_past for r in past_counts(df.drop("high"), df.where("high"), block).collect()}
+    for v, d, a, _ in rows:
+        ages = [(d - d2, h) for v2, d2, a2, h in rows if v2 == v and a2 < a]
+        assert spans[a] == tuple(sum(lo <= x <= hi for x, _ in ages) for lo, hi in ((0, 6), (7, 13), (0, 2)))
+        assert past.get(a, 0) == sum(x > 0 and h for x, h in ages)
+
+
+def _past_scorer(df):
+    """A class that depends on the past, so that the order of judging matters."""
+    return df.withColumns({
+        "ml_prediction": F.when(F.col("historical_incidence") % 2 == 0, "HIGH").otherwise("LOW"), "ml_confidence": F.lit(1.0),
+        "ml_probabilities": F.create_map(F.lit("HIGH"), F.lit(1.0)),
+    })
+
+
+@pytest.mark.parametrize("cuts", [[60], [25, 60]])
+def test_any_arrival_order_equals_one_report_at_a_time(spark, make_reports, history, cuts):
+    rng = random.Random(5)
+    rows = [
+        {"village": rng.choice("AAB"), "date": START + timedelta(days=rng.randrange(-3, 9)), "number_affected": 20, "number_deaths": 0}
+        for _ in range(cuts[-1])
+    ]
+    arrivals = make_reports(rows).drop("mortality_rate", "risk_level").withColumnRenamed("report_id", "arrival").repartition(3)
+    stream = TriageStream(spark, new_path(spark, "triage"), _past_scorer)
+    stream.start_from(history)
+    for i, (first, last) in enumerate(zip([0, *cuts], cuts)):
+        stream.process(arrivals.where((F.col("arrival") > first) & (F.col("arrival") <= last)), i)
+    got = _rows(stream)
+    known = [{"report_id": r.report_id, "village": r.village, "date": r.date, "risk_level": r.risk_level} for r in history.collect()]
+    assert len(got) == len(rows)
+    for mine, row in zip(got, rows):
+        values = naive(known, row["village"], row["date"])
+        risk = "HIGH" if values[4] or values[2] % 2 == 0 else "LOW"
+        assert (mine[1], mine[2], mine[3]) == (row["village"], row["date"], risk) and mine[5:] == values
+        known.append({"report_id": mine[0], "village": row["village"], "date": row["date"], "risk_level": risk})
+    assert {"HIGH", "LOW"} == {m[3] for m in got}
+
+
+def test_intermediate_tables_of_a_batch_are_removed(spark, make_reports, history):
+    folder = f"{work_dir(spark)}/herdlens".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    stream = _run(spark, history, _arrivals(make_reports), [[0], [1, 2]], folder=f"{new_path(spark, 'triage')}")
+    left = {name for name in set(os.listdir(folder)) - before if not name.startswith("triage-")}
+    assert not left and stream.accepted().count() == 23
