@@ -8,33 +8,37 @@ piece become their UTF-8 bytes.
 
 Two facts keep this fast without changing any id. A merge can only cross two
 characters that stand side by side in some piece of the vocabulary, so a text
-can be cut everywhere else (before every space run above all). And equal cuts
-have equal ids, so each worker remembers a bounded number of them. Every cut
-that is not remembered is also encoded by the library, in one call for each
-Arrow batch, and a difference ends the task with an error. Decoding is the
-library's.
+can be cut everywhere else (before every space run and line end above all, which
+Arrow does for a batch at once). And equal cuts have equal ids, so each distinct one
+of a batch is encoded once, and short ones are remembered by a worker up to a number
+of bytes. Every cut that is not remembered is also encoded by the library, many in
+one call, and a difference ends the task with an error. Decoding is the library's.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to
 the empty text; texts of any length are cut and never shortened; repeated rows
 repeat; an empty table gives an empty table; columns other than the text pass
-through as named by ``keep``.
+through as named by ``keep``, and one named like a result is replaced by it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import itertools
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from herdlens.llm.chunks import Chunked, Memory, chunked, slices
 from herdlens.llm.common import bounded_batches, text_of
 
-KEPT = 250_000  # cuts whose ids a worker remembers
+RUN = 1 << 14  # characters of cuts that the library encodes as one text
+SLICE = 6 << 20  # bytes of text that are cut at once, one longer text aside
 SPACE = "▁"
 
 
@@ -50,10 +54,9 @@ class PieceModel:
         self.costs = {p: -lib.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(lib.id_to_piece(i)[1:-1], 16): i for i in range(size) if lib.is_byte(i)}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        if not self.bytes or any(p in self.pairs for p in (f"a{SPACE}", f".{SPACE}")):
+        if not self.bytes or any(SPACE in p[1:] and p[0] != SPACE or "\n" in p for p in self.pairs):
             raise ValueError("a merge-type vocabulary with byte fallback and word-initial spaces is needed")
-        self.chunks: dict = {}
-        self.parts: dict = {}
+        self.chunks, self.parts = Memory(), Memory()
 
     def merge(self, text: str) -> bytes:
         """Ids of a text whose spaces are ``▁`` already: the agenda itself."""
@@ -103,97 +106,167 @@ class PieceModel:
         cuts.append(text[first:])
         return cuts
 
-    def _new_chunks(self, chunks: list) -> dict:
-        """Ids of chunks that are not remembered; a chunk stands after one space."""
-        parts, found = self.parts, {}
-        for chunk in chunks:
-            coded = []
-            for part in self._cut(chunk):
-                ids = parts.get(part)
-                if ids is None:
-                    ids = self.merge(part)
-                    if len(parts) < KEPT:
-                        parts[part] = ids
-                coded.append(ids)
-            found[chunk] = coded[0] if len(coded) == 1 else b"".join(coded)
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk, which begins with a space or a line end."""
+        if chunk[0] == "\n":  # as after a space, which is a part of its own there
+            parts = self._cut(chunk)[1:]
+        else:
+            parts = self._cut(chunk[1:])
+        coded = self.parts(parts, lambda new: [(x, len(x)) for x in map(self.merge, new)])
+        return coded[0] if len(coded) == 1 else b"".join(coded)
+
+    def _new(self, chunks: list) -> list:
+        found = [self._ids(c) for c in chunks]
         if self.verify:
-            asked = [c for c in chunks if c]
-            for chunk, ids in zip(asked, self.library.encode(asked, num_threads=1), strict=True):
-                if np.array(ids, "<i4").tobytes() != found[chunk]:
-                    raise ValueError(f"ids of {chunk!r} differ from the library's: {ids}")
-        return found
-
-    @staticmethod
-    def _chunks(text: str) -> list:
-        if not text:
-            return []
-        text = text.replace(SPACE, " ")
-        if "  " in text or text[0] == " ":
-            return [c[1:] for c in re.findall(" +[^ ]*", f" {text}")]
-        return text.split(" ")
+            self._compare(chunks, found)
+        return [(x, len(x)) for x in found]
+
+    def _compare(self, chunks: list, found: list) -> None:
+        """The library's ids of the same chunks, most of them put together to longer texts."""
+        inner = [i for i, c in enumerate(chunks) if c[-1] != " "]
+        runs = [inner[a:b] for a, b in slices([len(chunks[i]) for i in inner], RUN)]
+        runs += [[i] for i, c in enumerate(chunks) if c[-1] == " "]  # may merge with a space that follows
+        for run in runs:
+            text = "".join([chunks[i] for i in run])
+            ids = self.library.encode(text if text[0] == "\n" else text[1:], num_threads=1)
+            if text[0] == "\n":  # the library's own space, which is a piece of its own there
+                ids = ids[1:]
+            elif text == " ":
+                ids = [self.ids[SPACE]]
+            if np.array(ids, "<i4").tobytes() != b"".join([found[i] for i in run]):
+                raise ValueError(f"ids differ from the library's within {text[:2000]!r}")
+
+    def encode_array(self, texts: pa.Array) -> Iterator[tuple]:
+        """``(cut, coded)`` for texts that are not null and not empty: their chunks, and the
+        ids of each distinct one as little-endian 32-bit integers in bytes."""
+        texts = texts.cast(pa.large_string())
+        if pc.any(pc.match_substring(texts, SPACE)).as_py():
+            texts = pc.replace_substring(texts, SPACE, " ")  # as the library reads it
+        for cut in chunked(texts):
+            yield cut, self.chunks(cut.chunks, self._new)
 
     def encode(self, texts: list) -> list:
         """Ids of each text, as little-endian 32-bit integers in bytes."""
-        split = [self._chunks(t) for t in texts]
-        known = self.chunks
-        here = self._new_chunks([c for c in set().union(*split) if c not in known])
-        known.update(itertools.islice(here.items(), max(0, KEPT - len(known))))
-        return [b"".join([known[c] if c in known else here[c] for c in s]) for s in split]
+        out = [b""] * len(texts)
+        filled = [i for i, t in enumerate(texts) if t]
+        for cut, coded in self.encode_array(pa.array([texts[i] for i in filled], pa.large_string())) if filled else ():
+            for k, row in enumerate(cut.rows.tolist()):
+                out[filled[row]] = b"".join([coded[i] for i in cut.index[cut.ends[k] : cut.ends[k + 1]].tolist()])
+        return out
 
     def decode(self, ids: list) -> list:
         return self.library.decode(ids)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def piece_model(path: str, verify: bool = True) -> PieceModel:
     return PieceModel(path, verify)
 
 
-def _slices(sizes, most: int):
-    """Ranges of rows whose sizes add up to about ``most``."""
-    first, total = 0, 0
-    for i, size in enumerate(sizes):
-        total += size
-        if total >= most:
-            yield first, i + 1
-            first, total = i + 1, 0
-    if first < len(sizes):
-        yield first, len(sizes)
+def _ids_of(cut: Chunked, coded: list) -> pa.ListArray:
+    """The ids of each text of ``cut``."""
+    sizes = np.array([len(c) // 4 for c in coded], "int64")
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+    lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(coded), "<i4")))
+    totals = np.concatenate([[0], np.cumsum(cut.sums(sizes))]).astype("int32")
+    return pa.ListArray.from_arrays(pa.array(totals), lists.take(pa.array(cut.index)).flatten())
 
 
-def encode_texts(df: DataFrame, model: str, keep: list, text_col: str = "text", verify: bool = True) -> DataFrame:
-    """Columns ``keep`` of ``df`` and ``ids`` of its text, without begin or end ids."""
+def _coded(df: DataFrame, model: str, keep: list, text_col: str, verify: bool, more: list, work) -> DataFrame:
+    """Columns ``keep`` and those that ``work(codec, cut, coded)`` gives for each part of a batch.
+
+    ``work`` gets ``None, None`` for texts that are empty; then it gives the values of one.
+    """
     bounded_batches(df.sparkSession)
+    keep = [c for c in keep if c not in {f.name for f in more}]
 
     def encode(batches):
         codec = piece_model(model, verify)
+        names = [*keep, *[f.name for f in more]]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for first, last in _slices(list(map(len, texts)), 4 << 20):
-                coded = codec.encode(texts[first:last])
-                ends = np.cumsum([0, *[len(c) // 4 for c in coded]]).astype("int32")
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                kept = [c.slice(first, last - first) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*kept, ids], names=[*keep, "ids"])
+            lengths = pc.binary_length(batch.column(batch.num_columns - 1)).to_pylist()
+            for first, last in slices(lengths, SLICE):
+                part = batch.slice(first, last - first)
+                texts, size = part.column(part.num_columns - 1), np.array(lengths[first:last])
+                empty, filled = np.flatnonzero(size == 0), np.flatnonzero(size)
+                if len(empty):
+                    values = [pa.array([v] * len(empty), k) for v, k in zip(work(codec, None, None), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*[c.take(pa.array(empty)) for c in part.columns[:-1]], *values], names=names)
+                for cut, coded in codec.encode_array(texts.take(pa.array(filled))) if len(filled) else ():
+                    kept = [c.take(pa.array(filled[cut.rows])) for c in part.columns[:-1]]
+                    values = [v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(work(codec, cut, coded), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*kept, *values], names=names)
 
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [to_arrow_type(f.dataType) for f in more]
+    schema = T.StructType([*[df.schema[c] for c in keep], *more])
     return df.select(*keep, text_of(text_col).alias("_text")).mapInArrow(encode, schema)
 
 
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+DECODED = T.StructField("decoded", T.StringType())
+
+
+def encode_texts(df: DataFrame, model: str, keep: list, text_col: str = "text", verify: bool = True) -> DataFrame:
+    """Columns ``keep`` of ``df`` and ``ids`` of its text, without begin or end ids."""
+    return _coded(df, model, keep, text_col, verify, [IDS], lambda codec, cut, coded: [_ids_of(cut, coded) if cut else []])
+
+
+def _decoded(codec: PieceModel, ids: pa.ListArray) -> list:
+    """Texts of ids, a bounded number of ids at a time."""
+    out = []
+    for first, last in slices(ids.value_lengths().to_pylist(), 1 << 18):
+        out += codec.decode(ids.slice(first, last - first).to_pylist())
+    return out
+
+
+def code_and_decode(df: DataFrame, model: str, keep: list, text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``df``, ``ids`` of its text and what the library decodes from them, in one pass."""
+
+    def work(codec, cut, coded):
+        if cut is None:
+            return [[], ""]
+        ids = _ids_of(cut, coded)
+        return [ids, _decoded(codec, ids)]
+
+    return _coded(df, model, keep, text_col, True, [IDS, DECODED], work)
+
+
+def code_digests(df: DataFrame, model: str, keep: list, text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` of ``df``, ``n_tokens``, and digests of the ids and of the decoded text, in one pass."""
+
+    def digest(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def work(codec, cut, coded):
+        if cut is None:
+            return [0, digest(""), digest("")]
+        ids = _ids_of(cut, coded)
+        listed = pa.array([",".join(map(str, np.frombuffer(c, "<i4").tolist())) for c in coded], pa.string())
+        return [
+            ids.value_lengths().cast(pa.int64()), list(map(digest, cut.joined(listed, ","))), list(map(digest, _decoded(codec, ids)))
+        ]
+
+    told = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    return _coded(df, model, keep, text_col, True, [T.StructField(*f) for f in told], work)
+
+
 def decode_ids(df: DataFrame, model: str, keep: list, ids_col: str = "ids") -> DataFrame:
     """Columns ``keep`` of ``df`` and ``decoded``, the text of its ids (null ids: empty)."""
     bounded_batches(df.sparkSession)
+    keep = [c for c in keep if c != DECODED.name]
 
     def decode(batches):
         codec = piece_model(model)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             sizes = lists.value_lengths().fill_null(0).to_pylist()
-            for first, last in _slices(sizes, 1 << 20):
+            for first, last in slices(sizes, 1 << 18):
                 ids = [x or [] for x in lists.slice(first, last - first).to_pylist()]
                 kept = [c.slice(first, last - first) for c in batch.columns[:-1]]
                 decoded = pa.array(codec.decode(ids), pa.string())
-                yield pa.RecordBatch.from_arrays([*kept, decoded], names=[*keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([*kept, decoded], names=[*keep, DECODED.name])
 
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("decoded", T.StringType())])
-    return df.select(*keep, ids_col).mapInArrow(decode, schema)
+    schema = T.StructType([*[df.schema[c] for c in keep], DECODED])
+    return df.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(decode, schema)

@@ -17,7 +17,7 @@ from herdlens.llm.fingerprints import as_text, edited_likeness, likeness
 from herdlens.llm.line_dedup import line_report
 from herdlens.llm.near_dedup import class_of_each
 from herdlens.llm.neighbours import nearest
-from herdlens.llm.pieces import decode_ids, encode_texts
+from herdlens.llm.pieces import code_digests
 from herdlens.llm.substring_dedup import repeated_runs
 from herdlens.llm.token_files import read_token_files, write_token_files
 from herdlens.llm.toxicity import THRESHOLD, fit, held_out, with_score
@@ -44,17 +44,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as piece ids and decoded again: digests of both."""
-    model = public_tokenizers.path(PIECE_TOKENIZER)
-    ids = encode_texts(table(spark, sf_dir, "documents"), model, ["doc_id"]).select(
-        "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-        "ids",
-    )
-    decoded = decode_ids(ids, model, ["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
-    )
+    return code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER), ["doc_id"])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
