@@ -19,7 +19,7 @@ from herdlens.llm.common import table
 from herdlens.llm.decontaminate import without_leaks
 from herdlens.llm.line_dedup import without_repeated_lines
 from herdlens.llm.near_dedup import one_of_each
-from herdlens.llm.pieces import decode_ids, encode_texts
+from herdlens.llm.pieces import code_and_decode
 from herdlens.llm.toxicity import held_out, without_toxic
 from herdlens.session import materialize
 
@@ -50,10 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, decoded)`` of every document."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    ids = encode_texts(docs, model, ["doc_id"])
-    ids = ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
-    return decode_ids(ids, model, ["doc_id", "n_tokens", "ids"])
+    coded = code_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
