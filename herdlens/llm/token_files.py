@@ -23,7 +23,6 @@ readers see whole files only.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import uuid
@@ -31,14 +30,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from herdlens.llm.chunks import Memory, slices
 from herdlens.llm.common import bounded_batches, text_of
 from herdlens.session import new_path
 
-KEPT = 400_000  # words whose ids a worker remembers; others are encoded anew
+SLICE = 6 << 20  # bytes of text that are encoded at once, one longer text aside
 # Chunks of these characters are in composed form and have one lower-case form,
 # so they can be cut into the tokenizer's words before it sees them.
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -58,41 +59,46 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.chunks: dict = {}
-        self.words: dict = {}
+        self.chunks, self.words = Memory(), Memory()
         letters = "a-z\xdf-\xf6\xf8-\xff"
         # The word pattern of the vocabulary, for lower-case text.
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
 
     def _library(self, texts: list) -> list:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        coded = [np.array(e.ids, self.dtype).tobytes() for e in found]
+        return [(c, len(c)) for c in coded]
 
-    def _new_chunks(self, chunks: list) -> dict:
-        """Ids of chunks that are not remembered, each distinct word encoded once."""
+    def _new_chunks(self, chunks: list) -> list:
+        """Ids of chunks that are not remembered, each distinct word of them encoded once."""
         cut, whole = {}, []
         for chunk in chunks:
             if PLAIN.fullmatch(chunk) and "<|" not in chunk:
                 cut[chunk] = self.pattern.findall(chunk.lower())
             else:
                 whole.append(chunk)
-        known = self.words
-        fresh = [w for w in set().union(*cut.values()) if w not in known]
-        here = dict(zip(fresh, self._library(fresh), strict=True))
-        known.update(itertools.islice(here.items(), max(0, KEPT - len(known))))
-        found = dict(zip(whole, self._library(whole), strict=True))
-        for chunk, words in cut.items():
-            found[chunk] = b"".join([known[w] if w in known else here[w] for w in words])
-        return found
-
-    def encode(self, texts: list) -> list:
-        """The ids of each text as bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.chunks
-        fresh = [c for c in set().union(*split) if c not in known]
-        here = self._new_chunks(fresh)
-        known.update(itertools.islice(here.items(), max(0, KEPT - len(known))))
-        return [b"".join([known[c] if c in known else here[c] for c in s]) for s in split]
+        words = list(set().union(*cut.values()))
+        known = dict(zip(words, self.words(words, self._library), strict=True))
+        found = dict(zip(whole, [c for c, _ in self._library(whole)], strict=True))
+        for chunk, parts in cut.items():
+            found[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
+        return [(found[c], len(found[c])) for c in chunks]
+
+    def encode(self, texts: pa.Array, end: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each followed by the ids ``end``, and how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        coded = self.chunks(words.dictionary.to_pylist(), self._new_chunks)
+        coded.append(np.array(end, self.dtype).tobytes())
+        # The end ids are one more chunk after those of each text.
+        index, sizes = words.indices.to_numpy(), lists.value_lengths().to_numpy()
+        index = np.insert(index, np.cumsum(sizes), len(coded) - 1)
+        ends = np.cumsum([0, *[len(c) // self.dtype.itemsize for c in coded]])
+        flat = np.frombuffer(b"".join(coded), self.dtype)
+        each = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat))
+        ids = each.take(pa.array(index)).flatten().to_numpy()
+        running = np.concatenate([[0], np.cumsum(np.diff(ends)[index])])
+        return ids, np.diff(running[np.concatenate([[0], np.cumsum(sizes + 1)])])
 
 
 @lru_cache(maxsize=2)
@@ -140,19 +146,6 @@ def _read(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def _batches(batch: pa.RecordBatch, most: int = 4 << 20):
-    """Rows of a batch in groups of bounded text size."""
-    texts, size, first = [], 0, 0
-    for i, t in enumerate(batch.column("text").to_pylist()):
-        texts.append(t)
-        size += len(t)
-        if size >= most:
-            yield first, texts
-            texts, size, first = [], 0, i + 1
-    if texts:
-        yield first, texts
-
-
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int | None = 1, id_col: str = "doc_id",
     text_col: str = "text",
@@ -166,19 +159,18 @@ def write_token_files(
     def encode(batches):
         encoder = word_encoder(tokenizer)
         part, place, counts = TaskContext.get().partitionId(), 0, []
-        end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
+        end = [] if end_id is None else [end_id]
         system, root = _files(folder)
         system.create_dir(root, recursive=True)
         own = f"{root}/.tokens-{part}-{uuid.uuid4().hex}"
         with system.open_output_stream(own) as out:
             for batch in batches:
-                ids = batch.column("doc_id")
-                for first, texts in _batches(batch):
-                    coded = [c + end for c in encoder.encode(texts)]
-                    out.write(b"".join(coded))
-                    n = np.array([len(c) // encoder.dtype.itemsize for c in coded], "int64")
+                ids, texts = batch.column("doc_id"), batch.column("text")
+                for first, last in slices(pc.binary_length(texts).to_pylist(), SLICE):
+                    coded, n = encoder.encode(texts.slice(first, last - first), end)
+                    out.write(coded.tobytes())
                     counts.append(n)
-                    k = len(texts)
+                    k = last - first
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(k, part, "int32")), pa.array(np.arange(place, place + k, dtype="int64")),
