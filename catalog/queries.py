@@ -26,6 +26,7 @@ from herdlens.plans import training
 from herdlens.plans.triage import forest_scorer, triage
 from herdlens.session import materialize, new_path
 from herdlens.sources import driver_tables, models, tables
+from herdlens.sources.report_log import ReportLog
 from herdlens.streaming import trends
 from herdlens.streaming.triage import TriageStream
 
@@ -163,7 +164,11 @@ def _feature_rows(spark, sf):
 def snk_append(spark, sf):
     history, new = _history_and_new(spark, sf)
     scored, _ = triage(new.withColumnRenamed("report_id", "arrival"), history, label_scorer)
-    return tables.appended(history, scored, ["date", "arrival"]).select(
+    log = ReportLog(spark, new_path(spark, "report-log"))
+    log.load(history)
+    for _ in range(2):  # a repeated append adds nothing
+        log.append(scored, "last-days", ["date", "arrival"])
+    return log.read().select(
         "report_id", "date", "village", "number_affected", "mortality_rate", "risk_level"
     )
 
