@@ -38,6 +38,7 @@ from herdlens.llm.chunks import Chunked, Memory, chunked, slices
 from herdlens.llm.common import bounded_batches, text_of
 
 RUN = 1 << 14  # characters of cuts that the library encodes as one text
+LONG = 64  # characters of a cut from which it has an agenda of its own
 SLICE = 6 << 20  # bytes of text that are cut at once, one longer text aside
 SPACE = "▁"
 
@@ -56,6 +57,7 @@ class PieceModel:
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         if not self.bytes or any(SPACE in p[1:] and p[0] != SPACE or "\n" in p for p in self.pairs):
             raise ValueError("a merge-type vocabulary with byte fallback and word-initial spaces is needed")
+        self._tables(self.ids)
         self.chunks, self.parts = Memory(), Memory()
 
     def merge(self, text: str) -> bytes:
@@ -106,17 +108,78 @@ class PieceModel:
         cuts.append(text[first:])
         return cuts
 
-    def _ids(self, chunk: str) -> bytes:
-        """Ids of a chunk, which begins with a space or a line end."""
-        if chunk[0] == "\n":  # as after a space, which is a part of its own there
-            parts = self._cut(chunk)[1:]
-        else:
-            parts = self._cut(chunk[1:])
-        coded = self.parts(parts, lambda new: [(x, len(x)) for x in map(self.merge, new)])
-        return coded[0] if len(coded) == 1 else b"".join(coded)
+    def _tables(self, pieces: dict) -> None:
+        """Numbers for all symbols, and which two of them merge into which, by what costs.
+
+        A symbol is a piece or a single character of one; the number of a piece is its id.
+        """
+        number = dict(pieces)
+        for c in set().union(*pieces):
+            number.setdefault(c, max(len(number), max(pieces.values()) + 1) + len(number))
+        merges = {}
+        for piece, i in pieces.items():
+            for k in range(1, len(piece)):
+                left, right = number.get(piece[:k]), number.get(piece[k:])
+                if left is not None and right is not None:
+                    merges[left << 32 | right] = (i, self.costs[piece])
+        self.merge_keys = np.array(sorted(merges), "int64")
+        self.merge_ids = np.array([merges[k][0] for k in self.merge_keys.tolist()], "int64")
+        self.merge_costs = np.array([merges[k][1] for k in self.merge_keys.tolist()], "f8")
+        self.of_character = np.full(0x110000, -1, "int64")
+        for symbol, i in number.items():
+            if len(symbol) == 1:
+                self.of_character[ord(symbol)] = i
+        self.most_id = max(pieces.values())
+        self.numbers = pa.array(list(map(str, range(self.library.get_piece_size()))), pa.string())
+
+    def merge_many(self, texts: list) -> list:
+        """:meth:`merge` for many texts at once: each round every text takes the first pair
+        of its own agenda, the cheapest one and of equals the leftmost."""
+        lengths = np.array([len(t) for t in texts], "int64")
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        symbols, word = self.of_character[points], np.repeat(np.arange(len(texts)), lengths)
+        alone = lengths > LONG  # many rounds for few texts; these keep an agenda of their own
+        alone[word[symbols < 0]] = True
+        active = ~alone[word]
+        symbols, word = symbols[active], word[active]
+        done = []
+        while len(symbols):
+            key = symbols[:-1] << 32 | symbols[1:]
+            at = np.minimum(np.searchsorted(self.merge_keys, key), len(self.merge_keys) - 1)
+            pair = np.flatnonzero((self.merge_keys[at] == key) & (word[:-1] == word[1:]))
+            at = at[pair]
+            order = np.lexsort((pair, self.merge_costs[at], word[pair]))
+            owner = word[pair[order]]
+            first = order[np.concatenate([[True], owner[1:] != owner[:-1]])[: len(order)]]
+            symbols[pair[first]] = self.merge_ids[at[first]]
+            moving = np.zeros(len(texts), bool)
+            moving[owner] = True
+            rest = ~moving[word]
+            done.append((word[rest], symbols[rest]))
+            kept = moving[word]
+            kept[pair[first] + 1] = False
+            symbols, word = symbols[kept], word[kept]
+        if done:
+            word, symbols = np.concatenate([w for w, _ in done]), np.concatenate([x for _, x in done])
+            alone[word[symbols > self.most_id]] = True  # a character that is no piece becomes bytes
+            order = np.argsort(word, kind="stable")
+            raw = symbols[order].astype("<i4").tobytes()
+            ends = 4 * np.searchsorted(word[order], np.arange(len(texts) + 1))
+        return [
+            self.merge(t) if own else raw[start:end]
+            for t, own, start, end in zip(
+                texts, alone.tolist(), *((ends[:-1].tolist(), ends[1:].tolist()) if done else ([0] * len(texts), [0] * len(texts))),
+                strict=True,
+            )
+        ]
 
     def _new(self, chunks: list) -> list:
-        found = [self._ids(c) for c in chunks]
+        """Ids of chunks, each of which begins with a space or a line end."""
+        # As after a space, which is a part of its own before a line end.
+        cuts = [self._cut(c)[1:] if c[0] == "\n" else self._cut(c[1:]) for c in chunks]
+        parts = list(set().union(*cuts)) if cuts else []
+        known = dict(zip(parts, self.parts(parts, lambda new: [(x, len(x)) for x in self.merge_many(new)]), strict=True))
+        found = [known[c[0]] if len(c) == 1 else b"".join([known[x] for x in c]) for c in cuts]
         if self.verify:
             self._compare(chunks, found)
         return [(x, len(x)) for x in found]
@@ -155,7 +218,7 @@ class PieceModel:
         return out
 
     def decode(self, ids: list) -> list:
-        return self.library.decode(ids)
+        return self.library.decode(ids, num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -215,9 +278,11 @@ def encode_texts(df: DataFrame, model: str, keep: list, text_col: str = "text",
 
 def _decoded(codec: PieceModel, ids: pa.ListArray) -> list:
     """Texts of ids, a bounded number of ids at a time."""
-    out = []
-    for first, last in slices(ids.value_lengths().to_pylist(), 1 << 18):
-        out += codec.decode(ids.slice(first, last - first).to_pylist())
+    out, ends, flat = [], ids.offsets.to_pylist(), ids.values.to_numpy()
+    for first, last in slices(np.diff(ends).tolist(), 1 << 18):
+        base = ends[first]
+        some = flat[base : ends[last]].tolist()
+        out += codec.decode([some[ends[i] - base : ends[i + 1] - base] for i in range(first, last)])
     return out
 
 
@@ -243,7 +308,9 @@ def code_digests(df: DataFrame, model: str, keep: list, text_col: str = "text")
         if cut is None:
             return [0, digest(""), digest("")]
         ids = _ids_of(cut, coded)
-        listed = pa.array([",".join(map(str, np.frombuffer(c, "<i4").tolist())) for c in coded], pa.string())
+        ends = pa.array(np.cumsum([0, *[len(c) // 4 for c in coded]]).astype("int32"))
+        numbers = codec.numbers.take(pa.array(np.frombuffer(b"".join(coded), "<i4")))
+        listed = pc.binary_join(pa.ListArray.from_arrays(ends, numbers), ",")
         return [
             ids.value_lengths().cast(pa.int64()), list(map(digest, cut.joined(listed, ","))), list(map(digest, _decoded(codec, ids)))
         ]
