@@ -39,7 +39,9 @@ from herdlens.llm.chunks import Memory, slices
 from herdlens.llm.common import bounded_batches, text_of
 from herdlens.session import new_path
 
-SLICE = 6 << 20  # bytes of text that are encoded at once, one longer text aside
+REMEMBERED = 72 << 20  # bytes of words and of chunks that a worker remembers
+RUN = 1 << 12  # characters of words that are encoded as one text
+SLICE = 12 << 20  # bytes of text that are encoded at once, one longer text aside
 # Chunks of these characters are in composed form and have one lower-case form,
 # so they can be cut into the tokenizer's words before it sees them.
 PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -59,7 +61,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.chunks, self.words = Memory(), Memory()
+        self.chunks, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         letters = "a-z\xdf-\xf6\xf8-\xff"
         # The word pattern of the vocabulary, for lower-case text.
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
@@ -78,11 +83,25 @@ class WordEncoder:
             else:
                 whole.append(chunk)
         words = list(set().union(*cut.values()))
-        known = dict(zip(words, self.words(words, self._library), strict=True))
+        known = dict(zip(words, self.words(words, self._new_words), strict=True))
         found = dict(zip(whole, [c for c, _ in self._library(whole)], strict=True))
-        for chunk, parts in cut.items():
-            found[chunk] = known[parts[0]] if len(parts) == 1 else b"".join([known[w] for w in parts])
-        return [(found[c], len(found[c])) for c in chunks]
+        return [
+            (c := (known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])) if (p := cut.get(chunk)) else found[chunk], len(c))
+            for chunk in chunks
+        ]
+
+    def _new_words(self, words: list) -> list:
+        """Ids of words, many of them encoded as one text: the last token of a word says so."""
+        out, size = [], self.dtype.itemsize
+        for first, last in slices([len(w) + 1 for w in words], RUN):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[first:last])], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == last - first:
+                raw, at = ids.tobytes(), [0, *(ends * size).tolist()]
+                out += [(raw[a:b], b - a) for a, b in zip(at, at[1:])]
+            else:
+                out += self._library(words[first:last])
+        return out
 
     def encode(self, texts: pa.Array, end: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by the ids ``end``, and how many each has."""
