@@ -39,7 +39,8 @@ from herdlens.llm.common import bounded_batches, text_of
 
 RUN = 1 << 14  # characters of cuts that the library encodes as one text
 LONG = 64  # characters of a cut from which it has an agenda of its own
-SLICE = 6 << 20  # bytes of text that are cut at once, one longer text aside
+REMEMBERED = 72 << 20  # bytes of cuts that a worker remembers
+SLICE = 12 << 20  # bytes of text that are cut at once, one longer text aside
 SPACE = "▁"
 
 
@@ -58,7 +59,7 @@ class PieceModel:
         if not self.bytes or any(SPACE in p[1:] and p[0] != SPACE or "\n" in p for p in self.pairs):
             raise ValueError("a merge-type vocabulary with byte fallback and word-initial spaces is needed")
         self._tables(self.ids)
-        self.chunks, self.parts = Memory(), Memory()
+        self.chunks, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def merge(self, text: str) -> bytes:
         """Ids of a text whose spaces are ``▁`` already: the agenda itself."""
