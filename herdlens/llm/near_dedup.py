@@ -14,13 +14,13 @@ words. A class is all documents connected by such links.
 How it stays bounded:
 
 * Copies (equal texts) are one text, represented by a digest.
-* Within a mark each text is compared with one leader, the text of the least
-  number, so a mark with n texts costs n - 1 comparisons and not n^2 / 2.
-* Texts of a mark that are not like its leader are compared with the others of the
-  mark, so that no link is lost to the choice of a leader. In marks of more than
-  ``SMALL`` texts only pairs are compared that have one of the rarest fifth of
-  their words in common, as all that are alike must (the prefix filter of Chaudhuri
-  et al., 2006): texts that merely share a passage differ in those.
+* Within a mark each text is compared with one leader, the text that shares most marks
+  with others, so a mark with n texts costs n - 1 comparisons and not n^2 / 2.
+* The links found so far make parts. Texts of a mark that are of different parts are
+  compared as well, so that no link is lost to the choice of a leader, but only pairs
+  that have one of the rarest fifth of their words in common, as all that are alike
+  must (the prefix filter of Chaudhuri et al., 2006): texts that merely share a passage
+  differ in those.
 * Alignments keep to a band around the diagonal, wider only while needed, one bit
   for each cell; a pair that can no longer reach the similarity is left early.
 
@@ -34,7 +34,8 @@ empty table gives no rows; other columns are ignored, or kept by
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ SIMILARITY = 0.8
 SKETCHES = 64
 PICKED = 2
 SHORT = (12, 40)  # up to so many words texts have marks of one word, of two words
-SMALL = 64  # texts of a mark that are compared across parts whatever words they share
 SLOTS = 1 << 18  # counts of words, by hash, that say which words are rare
+SIGNATURE = 8  # words of 64 bits that say which words a text may have
 MASK = (1 << 64) - 1
 KEPT = 300_000  # words whose hash a worker remembers
 
@@ -151,6 +152,14 @@ def rare_words(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.n
     return labelled[order[: int((1 - similarity) * len(words) + 1e-9) + 1]].view(np.int64)
 
 
+def signature(words: np.ndarray) -> np.ndarray:
+    """A bit for each labelled word, by hash, in ``SIGNATURE`` words of 64 bits."""
+    bits = np.zeros(64 * SIGNATURE, np.uint8)
+    if len(words):
+        bits[labelled_kmers(words, 1) % np.uint64(len(bits))] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def split_words(text: str) -> list:
     return text.lower().split()
 
@@ -300,24 +309,32 @@ def near_classes(
         "near-texts",
     )
     marks = texts.select(F.explode(F.array_distinct("sketch")).alias("mark"), "rid")
-    leaders = materialize(
-        marks.groupBy("mark").agg(F.min("rid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "near-leaders",
-    )
-    grouped = materialize(marks.join(leaders, "mark"), "near-groups")
+    sizes = materialize(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    shared = materialize(marks.join(sizes, "mark"), "near-marks")
+    # The leader of a mark is the text that meets most others in all its marks: of the
+    # copies of one text that is the text itself, which all of them are alike to.
+    met = materialize(shared.groupBy("rid").agg(F.sum("n").alias("met")), "near-met")
+    ranked = shared.join(met, "rid").groupBy("mark").agg(F.max_by("rid", F.struct("met", -F.col("rid"))).alias("leader"))
+    grouped = materialize(shared.select("mark", "rid").join(materialize(ranked, "near-leaders"), "mark"), "near-groups")
     pairs = materialize(grouped.where("rid != leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct(), "near-pairs")
     store = _text_store(docs, text_col, texts, pairs)  # the texts of all that share a mark
     links = materialize(verified(pairs, store, similarity), "near-links")
-    # Within a mark the texts that are like their leader are one part, others one each.
-    alike = links.select(F.col("u").alias("rid"), F.col("v").alias("leader"), F.lit(True).alias("alike"))
-    part = F.when((F.col("rid") == F.col("leader")) | F.col("alike"), F.col("leader")).otherwise(F.col("rid"))
-    parted = grouped.join(alike, ["rid", "leader"], "left").select("mark", "rid", part.alias("part"))
+    # What is linked so far, through whatever mark, is one part; only pairs across parts are of interest.
+    parts = materialize(connected_components(links).toDF("rid", "part"), "near-parts")
+    own = F.coalesce("part", "rid")
+    parted = grouped.select("mark", "rid").join(parts, "rid", "left").select("mark", "rid", own.alias("part"))
     more = _pairs_left(parted, store, similarity).join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"
     )
-    links = links.unionByName(materialize(verified(more, store, similarity), "near-links"))
-    parts = connected_components(links).toDF("rid", "part")
-    classed = texts.drop("sketch").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
+    found = materialize(verified(more, store, similarity), "near-links")
+    # Parts that the second links connect become one.
+    ends = [parts.select(F.col("rid").alias(x), F.col("part").alias(f"{x}_part")) for x in ("u", "v")]
+    across = found.join(ends[0], "u", "left").join(ends[1], "v", "left").select(
+        F.coalesce("u_part", "u").alias("u"), F.coalesce("v_part", "v").alias("v")
+    )
+    joined = connected_components(across).toDF("_own", "_root")
+    classed = texts.drop("sketch").join(parts, "rid", "left").withColumn("_own", own).join(joined, "_own", "left")
+    classed = classed.select("key", "first_id", "rid", F.coalesce("_root", "_own").alias("part"))
     classed = materialize(classed, "near-classed")
     ids = classed.groupBy("part").agg(
         F.min("first_id").alias("class"), F.min_by("rid", F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("top")
@@ -327,30 +344,33 @@ def near_classes(
 
 
 def _pairs_left(parted: DataFrame, store: DataFrame, similarity: float) -> DataFrame:
-    """Distinct ``(u, v)``, u > v: pairs within a mark that the leaders have not connected.
+    """Distinct ``(u, v)``, u > v: pairs of different parts that may be alike, among the texts
+    of marks that the links of the leaders have not connected.
 
-    A mark whose texts are all like its leader is settled. Of the others, those of
-    at most ``SMALL`` texts give all pairs across their parts; larger ones give
-    those that have one of their rare words in common, as all that are alike do.
+    A pair must have one of the rarest words of both in common, as all that are alike
+    do; its lengths must fit, and so must its signatures: a bit that only one of two
+    texts has stands for a word that only that one has, and each of those is an edit.
+    All this is asked within the join, so that its rows are pairs worth an alignment.
     """
     parted = materialize(parted, "near-open")
-    open_marks = materialize(_open(parted, "mark"), "near-sizes")
-    small = parted.join(open_marks.where(F.col("n") <= SMALL), "mark")
-    found = _across(materialize(small.select("mark", "rid", "part"), "near-small"), "mark")
-    large = open_marks.where(F.col("n") > SMALL).select("mark")
-    if large.isEmpty():
-        return materialize(found.distinct(), "near-pairs")
-    rows = materialize(parted.join(large, "mark"), "near-large")
-    rare = _rare(store.join(rows.select("rid").distinct().hint("merge"), "rid"), similarity)
-    keyed = rows.join(materialize(rare, "near-rare"), "rid").select(
-        "mark", "rid", "part", "n_words", F.explode("rare").alias("word")
-    )
-    keyed = materialize(keyed.select(F.xxhash64("mark", "word").alias("word"), "rid", "part", "n_words"), "near-words")
+    unsettled = materialize(_open(parted, "mark").select("mark"), "near-sizes")
+    rows = materialize(parted.join(unsettled, "mark").select("rid", "part").distinct(), "near-rows")
+    rare = materialize(_rare(store.join(rows.hint("merge"), "rid"), similarity), "near-rare")
+    keyed = materialize(rare.select(F.explode("rare").alias("word"), *[c for c in rare.columns if c != "rare"]), "near-words")
     shared = materialize(_open(keyed, "word").select("word"), "near-shared")
-    keyed = materialize(keyed.join(shared, "word"), "near-words")
-    longer, shorter = F.greatest("u_words", "v_words"), F.least("u_words", "v_words")
-    fitting = longer - shorter <= F.floor((1 - similarity) * longer + 1e-9)
-    return materialize(found.unionByName(_across(keyed, "word", fitting)).distinct(), "near-pairs")
+    keyed = keyed.join(shared, "word")
+    a, b = (keyed.select("word", *[F.col(c).alias(f"{x}_{c}") for c in keyed.columns if c != "word"]) for x in ("u", "v"))
+    longer, shorter = F.greatest("u_n_words", "v_n_words"), F.least("u_n_words", "v_n_words")
+    most = F.floor((1 - similarity) * longer + 1e-9)
+
+    def only(x: str, y: str) -> Column:
+        parts = [F.bit_count(F.col(f"{x}_s{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}_s{i}")))) for i in range(SIGNATURE)]
+        return reduce(add, parts)
+
+    fitting = (F.col("u_rid") > F.col("v_rid")) & (F.col("u_part") != F.col("v_part")) & (longer - shorter <= most)
+    alike = fitting & (only("u", "v") <= most) & (only("v", "u") <= most)
+    pairs = a.join(b, (a["word"] == b["word"]) & alike)
+    return materialize(pairs.select(F.col("u_rid").alias("u"), F.col("v_rid").alias("v")).distinct(), "near-pairs")
 
 
 def _open(rows: DataFrame, key: str) -> DataFrame:
@@ -359,16 +379,9 @@ def _open(rows: DataFrame, key: str) -> DataFrame:
     return sizes.where("low < high").select(key, "n")
 
 
-def _across(rows: DataFrame, key: str, fitting: Column | None = None) -> DataFrame:
-    """``(u, v)``, u > v: the pairs of a key across its parts, those that are ``fitting``."""
-    names = {"rid": "", "part": "_part", "n_words": "_words"}
-    a, b = (rows.select(key, *[F.col(c).alias(x + names[c]) for c in rows.columns if c != key]) for x in ("u", "v"))
-    pairs = a.join(b, key).where("u > v AND u_part != v_part")
-    return (pairs if fitting is None else pairs.where(fitting)).select("u", "v").distinct()
-
-
 def _rare(texts: DataFrame, similarity: float) -> DataFrame:
-    """``(rid, n_words, rare)`` of ``(rid, text)``, rare by how often words occur in these texts."""
+    """``(rid, part, n_words, s0, s1, ..., rare)`` of ``(rid, part, text)``: a signature of all
+    labelled words, and the rare ones by how often words occur in these texts."""
 
     def count(batches):
         known, counts = _Hashes(), np.zeros(SLOTS, np.int64)
@@ -380,7 +393,7 @@ def _rare(texts: DataFrame, similarity: float) -> DataFrame:
         slots = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
 
-    texts = materialize(texts.select("rid", "text"), "near-large-texts")
+    texts = materialize(texts.select("rid", "part", "text"), "near-open-texts")
     found = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)  # bounded, whatever the input
     counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
@@ -392,9 +405,15 @@ def _rare(texts: DataFrame, similarity: float) -> DataFrame:
             words = [known.of(text) for text in batch.column("text").to_pylist()]
             rare = _lists([rare_words(w, shared.value, similarity) for w in words])
             sizes = pa.array([len(w) for w in words], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), sizes, rare], names=["rid", "n_words", "rare"])
+            bits = np.array([signature(w) for w in words], np.int64).reshape(-1, SIGNATURE)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rid"), batch.column("part"), sizes, *map(pa.array, np.ascontiguousarray(bits.T)), rare],
+                names=["rid", "part", "n_words", *names, "rare"],
+            )
 
-    return texts.mapInArrow(rarest, "rid bigint, n_words int, rare array<bigint>")
+    names = [f"s{i}" for i in range(SIGNATURE)]
+    more = "".join(f"{c} bigint, " for c in names)
+    return texts.mapInArrow(rarest, f"rid bigint, part bigint, n_words int, {more}rare array<bigint>")
 
 
 def _text_store(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:

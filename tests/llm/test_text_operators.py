@@ -249,11 +249,35 @@ def test_classes_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in expected})
 
 
-def test_large_marks_are_split(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "SMALL", 4)
-    docs = near_cases()
-    got = near_dedup.class_of_each(table(spark, docs))
-    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == brute_classes(docs)
+def test_copies_of_one_text_that_are_not_alike_each_other(spark, monkeypatch):
+    """A thousand near copies, 0.85 to the original and about 0.75 to each other: one class, few pairs beyond the leaders'."""
+    rng, original = random.Random(8), prose(5, 100)
+    docs = [(500, " ".join(original))]
+    for i in range(1000):
+        words = list(original)
+        for at in rng.sample(range(100), 15):
+            words[at] = f"w{i}x{at}"
+        docs.append((i if i < 500 else i + 1, " ".join(words)))
+    left, pairs_left = [], near_dedup._pairs_left
+
+    def counted(*arguments):
+        left.append(pairs_left(*arguments))
+        return left[-1]
+
+    monkeypatch.setattr(near_dedup, "_pairs_left", counted)
+    got = near_dedup.class_of_each(table(spark, docs).repartition(4)).collect()
+    assert len(got) == 1001 and {r.class_id for r in got} == {0}
+    assert left[0].count() < 1000
+
+
+def test_signatures_never_hide_an_alike_pair():
+    rng = random.Random(2)
+    for n in (1, 5, 30, 200, 3000):
+        a = prose(n, n)
+        b = [w if rng.random() > 0.15 else f"new{rng.random()}" for w in a][: max(1, n - n // 20)]
+        sa, sb = (near_dedup.signature(near_dedup._Hashes().of(" ".join(x))) for x in (a, b))
+        only = max(sum(int(x & ~y).bit_count() if x & ~y >= 0 else (int(x & ~y) & near_dedup.MASK).bit_count() for x, y in zip(p.tolist(), q.tolist())) for p, q in ((sa, sb), (sb, sa)))
+        assert only <= near_dedup.edits_within(a, b, n)
 
 
 def test_template_of_a_thousand_texts(spark):
