@@ -78,16 +78,16 @@ class Memory:
         self.most, self.longest = most, longest
 
     def __call__(self, chunks: list, make) -> list:
-        """The value of each chunk; ``make`` gives those of a list of new ones, with their bytes."""
-        kept = self.kept
-        new = [c for c in chunks if c not in kept]
-        here = {}
-        for chunk, (value, size) in zip(new, make(new), strict=True):
-            here[chunk] = value
-            if len(chunk) <= self.longest and self.most > 0:
-                kept[chunk] = value
+        """The value of each of some distinct chunks; ``make`` gives those of a list of new ones, with their bytes."""
+        out = list(map(self.kept.get, chunks))
+        new = [i for i, value in enumerate(out) if value is None]
+        for i, (value, size) in zip(new, make([chunks[i] for i in new]), strict=True):
+            chunk = chunks[i]
+            out[i] = value
+            if self.most > 0 and len(chunk) <= self.longest:
+                self.kept[chunk] = value
                 self.most -= size + 2 * len(chunk) + 200
-        return [kept[c] if c in kept else here[c] for c in chunks]
+        return out
 
 
 def slices(sizes, most: int):

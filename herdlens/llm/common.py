@@ -7,8 +7,6 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from herdlens.session import work_dir
-
 BATCH_BYTES = 16 << 20  # text that a Python worker holds at once, one longer row aside
 
 
@@ -32,19 +30,6 @@ def bounded_batches(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder.
-
-    A session that names no ``spark.checkpoint.dir`` gets one below the folder
-    for intermediate tables.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"{work_dir(spark).rstrip('/')}/checkpoints")
-    return df.checkpoint(eager)
-
-
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """All columns of ``df`` in one struct ``row`` beside the named columns.
 

@@ -78,7 +78,9 @@ class WordEncoder:
         """Ids of chunks that are not remembered, each distinct word of them encoded once."""
         cut, whole = {}, []
         for chunk in chunks:
-            if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+            if chunk.isascii() and chunk.isalpha():
+                cut[chunk] = [chunk.lower()]
+            elif PLAIN.fullmatch(chunk) and "<|" not in chunk:
                 cut[chunk] = self.pattern.findall(chunk.lower())
             else:
                 whole.append(chunk)
