@@ -265,7 +265,8 @@ def _coded(df: DataFrame, model: str, keep: list, text_col: str, verify: bool, m
 
     kinds = [to_arrow_type(f.dataType) for f in more]
     schema = T.StructType([*[df.schema[c] for c in keep], *more])
-    return df.select(*keep, text_of(text_col).alias("_text")).mapInArrow(encode, schema)
+    named = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]  # so that no name clashes with the text's
+    return df.select(*named, text_of(text_col).alias("text")).mapInArrow(encode, schema)
 
 
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
@@ -337,4 +338,5 @@ def decode_ids(df: DataFrame, model: str, keep: list, ids_col: str = "ids") -> D
                 yield pa.RecordBatch.from_arrays([*kept, decoded], names=[*keep, DECODED.name])
 
     schema = T.StructType([*[df.schema[c] for c in keep], DECODED])
-    return df.select(*keep, F.col(ids_col).alias("_ids")).mapInArrow(decode, schema)
+    named = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
+    return df.select(*named, F.col(ids_col).alias("ids")).mapInArrow(decode, schema)

@@ -57,6 +57,17 @@ def test_agenda_equals_the_library(text):
     assert np.frombuffer(model.encode([text])[0], "<i4").tolist() == model.library.encode(text)
 
 
+def test_pieces_with_clashing_columns_and_long_texts(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = ["w1" * 500_000, "a b\n" * 50_000 + " ", None]  # a megabyte without a space
+    df = spark.createDataFrame([(i, t, 7, "x", "y") for i, t in enumerate(texts)], f"{DOCS}, ids int, decoded string, _text string")
+    rows = pieces.code_and_decode(df, PIECES, df.columns).collect()
+    assert len(rows) == 3 and rows[0]._text == "y"
+    for r in rows:
+        expected = library.encode(texts[r.doc_id] or "")
+        assert r.ids == expected and r.decoded == library.decode(expected)
+
+
 def test_pieces_of_an_empty_table(spark):
     ids = pieces.encode_texts(table(spark, []), PIECES, ["doc_id"])
     assert pieces.decode_ids(ids, PIECES, ["doc_id"]).collect() == []
