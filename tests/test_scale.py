@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from herdlens.operators import order_stats
+from herdlens.plans import training
 
 
 def _worked_out(spark, n):
@@ -41,5 +42,14 @@ def test_middle_values_far_apart_end_the_search(spark, monkeypatch):
         return counted(*args)
 
     monkeypatch.setattr(order_stats, "_counted", few)
-    df = spark.createDataFrame([(v,) for v in (0.0, 0.0001, 100.0, 100.0001)], "a double")
-    assert order_stats.exact_medians(df, ["a"]) == {"a": (0.0001 + 100.0) / 2.0}
+    low = [i * 1e-9 for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in [*low, *[100.0 + i for i in range(500)]]], "a double")
+    assert order_stats.exact_medians(df, ["a"]) == {"a": (low[-1] + 100.0) / 2.0}
+
+
+def test_training_rows_are_dealt_evenly(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("bigint").alias("report_id"), (F.col("id") * 7 % 4001).alias("x"))
+    spread = training._spread(rows.coalesce(1))
+    sizes = [r.n for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 4000
+    assert max(sizes) < 2 * min(sizes)
