@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from herdlens.config import DEFAULT, Config
-from herdlens.operators.skew import earlier_rows, least_before, lookup_join
+from herdlens.operators.skew import earlier_rows, least_before, lookup_join, tasks_for
 from herdlens.session import materialize
 
 BLOCK = 65536  # arrivals of a village that one window holds
@@ -45,8 +45,8 @@ def chain_steps(rows: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int]:
         left, step = marked.where("NOT ready").select("village", "arrived", "day"), step + 1
 
 
-def _before(events: DataFrame, probes: DataFrame, block: int) -> DataFrame:
-    """``probes`` with ``before``: the events of their village and date that arrived earlier."""
+def _before(events: DataFrame, probes: DataFrame, block: int, rows: int) -> DataFrame:
+    """``probes`` with ``before``: the events of their village and date that arrived earlier; ``rows`` is how many there are."""
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     told = [c for c in probes.columns if c not in ("village", "date", "arrived")]
     # A report asks just before it counts itself.
@@ -56,7 +56,7 @@ def _before(events: DataFrame, probes: DataFrame, block: int) -> DataFrame:
     )
     for c in told:
         both = both.withColumn(c, F.lit(None).cast(probes.schema[c].dataType))
-    counted = earlier_rows(both.unionByName(asked), ["village", "date"], "_at", {"before": "_n"}, block)
+    counted = earlier_rows(both.unionByName(asked), ["village", "date"], "_at", {"before": "_n"}, block, tasks_for(probes, rows))
     return counted.where("_asks").select(*probes.columns, "before")
 
 
@@ -66,7 +66,7 @@ def span_counts(rows: DataFrame, cfg: Config = DEFAULT, block: int = BLOCK) -> D
     back = F.explode(F.sequence(F.lit(0), F.lit(2 * short - 1)))
     asked = rows.select("village", "arrived", "date", back.alias("back"))
     probes = asked.select("village", F.expr("date_sub(date, back)").alias("date"), "arrived", "back")
-    counted = _before(rows, probes, block)
+    counted = _before(rows, probes, block, rows.count() * 2 * short)
 
     def total(span: Column) -> Column:
         return F.sum(F.when(span, F.col("before")).otherwise(F.lit(0).cast("bigint")))
@@ -83,4 +83,5 @@ def past_counts(rows: DataFrame, events: DataFrame, block: int = BLOCK) -> DataF
     days = events.groupBy("village").agg(F.array_sort(F.collect_set("date")).alias("days"))  # days of one micro-batch
     asked = lookup_join(rows.select("village", "arrived", F.col("date").alias("own")), days, ["village"], "inner")
     probes = asked.select("village", F.explode("days").alias("date"), "arrived", "own").where("date < own").drop("own")
-    return _before(events, probes, block).groupBy("arrived").agg(F.sum("before").alias("in_past"))
+    most = rows.count() * events.agg(F.count_distinct("date")).first()[0]
+    return _before(events, probes, block, most).groupBy("arrived").agg(F.sum("before").alias("in_past"))

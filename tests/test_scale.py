@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdlens.operators import order_stats
+from herdlens.operators import arrival, order_stats, skew
 from herdlens.plans import training
 
 
@@ -53,3 +53,17 @@ def test_training_rows_are_dealt_evenly(spark):
     sizes = [r.n for r in spread.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 4000
     assert max(sizes) < 2 * min(sizes)
+
+
+def test_running_counts_deal_their_rows_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(skew, "TASK_ROWS", 100)
+    rows = spark.range(300).select(
+        F.concat(F.lit("V"), F.col("id") % 7).alias("village"), F.col("id").alias("arrived"),
+        F.expr("date_add(DATE'2024-01-01', int(id % 3))").alias("date"),
+    )
+    probes, one = rows.withColumn("back", F.lit(0)), 300
+    dealt = arrival._before(rows, probes, arrival.BLOCK, 50 * one)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert skew.tasks_for(rows, 50 * one) == 150
+    found = {r.arrived: r.before for r in dealt.collect()}
+    assert found == {i: len(range(i % 21, i, 21)) for i in range(300)}
