@@ -28,7 +28,7 @@ def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
 
 def _relinked(edges: DataFrame, nearest: DataFrame) -> DataFrame:
     """Point the far end of each edge to the least node near its ``u``."""
-    return lookup_join(edges, nearest, ["u"], "inner")
+    return lookup_join(edges, nearest, ["u"], "inner", broadcasts=False)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

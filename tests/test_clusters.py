@@ -5,6 +5,7 @@ import pytest
 
 from herdlens.operators import outbreak, skew, stdbscan
 from herdlens.operators.components import connected_components
+from herdlens.session import materialize
 from tests.brute import sequential_labels
 
 
@@ -183,3 +184,34 @@ def test_no_cluster_gives_an_empty_typed_summary(spark, make_reports):
     clustered = outbreak.clustered_reports(make_reports([{"village": "Lake"}]), _regions(spark))
     summary = outbreak.cluster_summary(clustered)
     assert summary.count() == 0 and summary.columns == list(outbreak.SUMMARY_SCHEMA)
+
+
+def _villages(spark):
+    rows = [(i, 20.0 + 0.0095 * (i % 4), 78.0, i // 4) for i in range(80)]
+    return spark.createDataFrame(rows, "report_id long, latitude double, longitude double, day_offset int")
+
+
+def test_pairs_are_worked_out_once_where_no_box_is_crowded(spark, monkeypatch):
+    written = []
+
+    def noted(df, name):
+        written.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(stdbscan, "materialize", noted)
+    found = stdbscan.st_dbscan(_villages(spark), 2.0, 2, 6).groupBy("st_cluster").count().collect()
+    assert [tuple(r) for r in found] == [(0, 80)]
+    assert {"cells", "crowded"} <= set(written) and not {"count", "link", "border"} & set(written)
+
+
+def test_tables_that_grow_with_the_reports_are_not_sent_through_the_driver(spark):
+    hood = stdbscan.Neighbourhood.of(2.0, 2)
+    cells = materialize(stdbscan.cells_of(_villages(spark), "latitude", "longitude", "day_offset", "report_id", hood.grid), "cells")
+    near = materialize(stdbscan.adjacent_boxes(cells, hood.grid), "near")
+    nodes = materialize(stdbscan.nodes_of(cells), "nodes")
+    pairs = stdbscan._point_pairs(cells, nodes, near, hood)
+    for df in (stdbscan.adjacent_boxes(cells, hood.grid), pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "BroadcastHashJoin" not in plan
+    # Every place meets its own days and those around, whichever span they are in.
+    assert pairs.where("a_box = b_box AND a_day = 15").select("b_day").distinct().count() == 5
