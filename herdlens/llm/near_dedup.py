@@ -16,11 +16,13 @@ How it stays bounded:
 * Copies (equal texts) are one text, represented by a digest.
 * Within a mark each text is compared with one leader, the text of the least
   number, so a mark with n texts costs n - 1 comparisons and not n^2 / 2.
-* Texts of a mark that are not like its leader are compared with the others of the
-  mark, so that no link is lost to the choice of a leader. In marks of more than
-  ``SMALL`` texts only pairs are compared that have one of the rarest fifth of
-  their words in common, as all that are alike must (the prefix filter of Chaudhuri
-  et al., 2006): texts that merely share a passage differ in those.
+* What the leaders have linked is contracted to parts. Texts of different parts that
+  still share a mark are compared by bit signatures of their labelled words, which
+  bound their edits from below (an exact filter): only pairs that may be alike become
+  rows, each once, and are aligned. The texts of a leader's marks are dealt in
+  blocks, and tasks compare one pair of blocks; a block is a bounded share of all
+  rows, so what is sent grows with the input. The number of bit comparisons still
+  grows with the square of a group in which no text is like the leader.
 * Alignments keep to a band around the diagonal, wider only while needed, one bit
   for each cell; a pair that can no longer reach the similarity is left early.
 
@@ -35,15 +37,17 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from herdlens.llm.common import bounded_batches, packed, text_of
 from herdlens.operators.components import connected_components
+from herdlens.operators.skew import lookup_join
 from herdlens.session import materialize
 
 K = 3
@@ -51,8 +55,11 @@ SIMILARITY = 0.8
 SKETCHES = 64
 PICKED = 2
 SHORT = (12, 40)  # up to so many words texts have marks of one word, of two words
-SMALL = 64  # texts of a mark that are compared across parts whatever words they share
-SLOTS = 1 << 18  # counts of words, by hash, that say which words are rare
+SMALL = 512  # rows of a block at least; of large inputs a block has one row in SHARE
+SHARE = 512
+BITS = 4  # of a signature for each word, at least, up to SIGNED bits
+SIGNED = 1 << 17
+TOGETHER = 64  # texts compared at once with the others of a pair of blocks
 MASK = (1 << 64) - 1
 KEPT = 300_000  # words whose hash a worker remembers
 
@@ -137,18 +144,65 @@ def sketch_of(words: np.ndarray, k: int, sketches: int, picked: int, similarity:
     return np.concatenate(marks)
 
 
-def rare_words(words: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
-    """The rarest of a text's labelled words: two texts that are alike have one in common.
+def signature_of(words: np.ndarray) -> bytes:
+    """For each hash slot whether it holds an odd number of a text's labelled words.
 
-    An alignment with ``e`` edits matches all but ``e`` words of the longer text.
-    With all words in one order, by their counts, two such texts agree in one of
-    the first ``e + 1`` of each, where ``e`` goes by the text's own length.
+    Two texts differ in no more slots than in labelled words. The slots are a power
+    of two, so a signature can be folded to the size of a shorter one.
     """
+    slots = 64
+    while slots < min(BITS * len(words), SIGNED):
+        slots *= 2
     if not len(words):
-        return np.empty(0, np.int64)
-    labelled = labelled_kmers(words, 1)
-    order = np.lexsort((labelled, counts[labelled % np.uint64(SLOTS)]))
-    return labelled[order[: int((1 - similarity) * len(words) + 1e-9) + 1]].view(np.int64)
+        return bytes(slots // 8)
+    held = np.bincount((labelled_kmers(words, 1) % np.uint64(slots)).astype(np.int64), minlength=slots)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(signatures: np.ndarray, size: int) -> np.ndarray:
+    while signatures.shape[1] > size:
+        half = signatures.shape[1] // 2
+        signatures = signatures[:, :half] ^ signatures[:, half:]
+    return signatures
+
+
+def _matrix(signatures: list) -> np.ndarray:
+    """Signatures in order of size as rows of 64-bit numbers, folded to the size of the first."""
+    size = len(signatures[0]) // 8
+    blocks = [np.frombuffer(b"".join(s), "<u8").reshape(-1, n // 8) for n, s in groupby(signatures, len)]
+    return np.concatenate([_folded(b, size) for b in blocks])
+
+
+def close_pairs(sizes: np.ndarray, parts: np.ndarray, blocks: np.ndarray, signatures: list, similarity: float):
+    """Places of texts, in arrays of pairs, that are of different parts and may be alike.
+
+    Rows are in order of ``sizes``, their numbers of words; if they are of two
+    ``blocks``, pairs are of both. An alignment with ``e`` edits leaves unmatched at most
+    ``e`` words of the longer text, and of the shorter one as many fewer as it is shorter.
+    """
+    edits = np.floor((1 - similarity) * sizes + 1e-9).astype(np.int64)
+    least, place, crossed = sizes - edits, np.arange(len(sizes)), blocks.min() < blocks.max()
+    for first in range(0, len(sizes), TOGETHER):
+        last = min(first + TOGETHER, len(sizes))
+        end = int(np.searchsorted(least, sizes[last - 1], "right"))
+        mine, others = slice(first, last), slice(first, end)
+        open_ = (parts[mine, None] != parts[others]) & (place[mine, None] < place[others]) & (sizes[mine, None] >= least[others])
+        if crossed:
+            open_ &= blocks[mine, None] != blocks[others]
+        if not open_.any():
+            continue
+        most = sizes[mine, None] - sizes[others] + 2 * edits[others]
+        full = _matrix(signatures[first:end])
+        short = _folded(full, max(1, full.shape[1] // 8))  # settles most pairs
+        apart = np.zeros(open_.shape, np.int64)
+        for word in short.T:
+            apart += np.bitwise_count(word[: last - first, None] ^ word)
+        u, v = np.nonzero(open_ & (apart <= most))
+        step = max(1, (1 << 20) // full.shape[1])
+        for at in range(0, len(u), step):
+            a, b = u[at : at + step], v[at : at + step]
+            near = np.bitwise_count(full[a] ^ full[b]).sum(axis=1, dtype=np.int64) <= most[a, b]
+            yield a[near] + first, b[near] + first
 
 
 def split_words(text: str) -> list:
@@ -308,14 +362,14 @@ def near_classes(
     pairs = materialize(grouped.where("rid != leader").select(F.col("rid").alias("u"), F.col("leader").alias("v")).distinct(), "near-pairs")
     store = _text_store(docs, text_col, texts, pairs)  # the texts of all that share a mark
     links = materialize(verified(pairs, store, similarity), "near-links")
-    # Within a mark the texts that are like their leader are one part, others one each.
-    alike = links.select(F.col("u").alias("rid"), F.col("v").alias("leader"), F.lit(True).alias("alike"))
-    part = F.when((F.col("rid") == F.col("leader")) | F.col("alike"), F.col("leader")).otherwise(F.col("rid"))
-    parted = grouped.join(alike, ["rid", "leader"], "left").select("mark", "rid", part.alias("part"))
+    # What is linked is one part, other texts one each.
+    parts = materialize(connected_components(links).toDF("rid", "part"), "near-parts")
+    parted = grouped.join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
     more = _pairs_left(parted, store, similarity).join(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"
     )
-    links = links.unionByName(materialize(verified(more, store, similarity), "near-links"))
+    more = materialize(verified(more, store, similarity), "near-links")
+    links = parts.select(F.col("rid").alias("u"), F.col("part").alias("v")).unionByName(more)
     parts = connected_components(links).toDF("rid", "part")
     classed = texts.drop("sketch").join(parts, "rid", "left").withColumn("part", F.coalesce("part", "rid"))
     classed = materialize(classed, "near-classed")
@@ -327,74 +381,77 @@ def near_classes(
 
 
 def _pairs_left(parted: DataFrame, store: DataFrame, similarity: float) -> DataFrame:
-    """Distinct ``(u, v)``, u > v: pairs within a mark that the leaders have not connected.
+    """``(u, v)``, u > v, each once: pairs of different parts that share a mark and may be alike.
 
-    A mark whose texts are all like its leader is settled. Of the others, those of
-    at most ``SMALL`` texts give all pairs across their parts; larger ones give
-    those that have one of their rare words in common, as all that are alike do.
+    Pairs are looked for among the texts of a leader, block by block, and taken where
+    their least common mark is one of that leader's.
     """
-    parted = materialize(parted, "near-open")
-    open_marks = materialize(_open(parted, "mark"), "near-sizes")
-    small = parted.join(open_marks.where(F.col("n") <= SMALL), "mark")
-    found = _across(materialize(small.select("mark", "rid", "part"), "near-small"), "mark")
-    large = open_marks.where(F.col("n") > SMALL).select("mark")
-    if large.isEmpty():
-        return materialize(found.distinct(), "near-pairs")
-    rows = materialize(parted.join(large, "mark"), "near-large")
-    rare = _rare(store.join(rows.select("rid").distinct().hint("merge"), "rid"), similarity)
-    keyed = rows.join(materialize(rare, "near-rare"), "rid").select(
-        "mark", "rid", "part", "n_words", F.explode("rare").alias("word")
-    )
-    keyed = materialize(keyed.select(F.xxhash64("mark", "word").alias("word"), "rid", "part", "n_words"), "near-words")
-    shared = materialize(_open(keyed, "word").select("word"), "near-shared")
-    keyed = materialize(keyed.join(shared, "word"), "near-words")
-    longer, shorter = F.greatest("u_words", "v_words"), F.least("u_words", "v_words")
-    fitting = longer - shorter <= F.floor((1 - similarity) * longer + 1e-9)
-    return materialize(found.unionByName(_across(keyed, "word", fitting)).distinct(), "near-pairs")
-
-
-def _open(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, n)`` of the keys whose rows are of several parts."""
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return sizes.where("low < high").select(key, "n")
-
-
-def _across(rows: DataFrame, key: str, fitting: Column | None = None) -> DataFrame:
-    """``(u, v)``, u > v: the pairs of a key across its parts, those that are ``fitting``."""
-    names = {"rid": "", "part": "_part", "n_words": "_words"}
-    a, b = (rows.select(key, *[F.col(c).alias(x + names[c]) for c in rows.columns if c != key]) for x in ("u", "v"))
-    pairs = a.join(b, key).where("u > v AND u_part != v_part")
-    return (pairs if fitting is None else pairs.where(fitting)).select("u", "v").distinct()
-
-
-def _rare(texts: DataFrame, similarity: float) -> DataFrame:
-    """``(rid, n_words, rare)`` of ``(rid, text)``, rare by how often words occur in these texts."""
-
-    def count(batches):
-        known, counts = _Hashes(), np.zeros(SLOTS, np.int64)
+    parted = materialize(parted, "near-parted")
+    sizes = parted.groupBy("mark").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    open_marks = materialize(sizes.where("low < high").select("mark"), "near-open")
+    rows = materialize(parted.join(open_marks, "mark"), "near-rows")
+    signed = _signed(store.join(rows.select("rid").distinct().hint("merge"), "rid"))
+    marks = rows.groupBy("rid").agg(F.collect_set("mark").alias("marks"))
+    stars = rows.groupBy("leader", "rid").agg(F.first("part").alias("part"), F.collect_set("mark").alias("here"))
+    stars = materialize(stars, "near-stars")
+    block_rows = max(SMALL, stars.count() // SHARE)
+    counted = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    dealt = lookup_join(stars, counted, ["leader"], "inner", broadcasts=False)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    dealt = lookup_join(dealt, signed.join(marks.hint("merge"), "rid"), ["rid"], "inner", broadcasts=False)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = dealt.select("leader", "block", other, "rid", "part", "n_words", "signature", "marks", "here")
+    tiles = tiles.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    tiles = tiles.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "n_words")
+
+    def compare(batches):
+        rest = None
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = known.of(text)
-                if len(words):
-                    np.add.at(counts, labelled_kmers(words, 1) % np.uint64(SLOTS), 1)
-        slots = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(counts[slots])], names=["slot", "n"])
-
-    texts = materialize(texts.select("rid", "text"), "near-large-texts")
-    found = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)  # bounded, whatever the input
-    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-
-    def rarest(batches):
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("leader", "i", "j")])
+            ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            last = int(ends[-1]) if len(ends) else 0  # the last pair of blocks may go on in the next batch
+            if last:
+                yield _compared(rows.slice(0, last), ends, similarity)
+            rest = rows.slice(last)
+        if rest is not None and rest.num_rows:
+            yield _compared(rest, np.array([rest.num_rows]), similarity)
+
+    return materialize(tiles.mapInArrow(compare, "u bigint, v bigint"), "near-pairs")
+
+
+def _compared(rows: pa.Table, ends: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """The pairs left of ``rows``, in which pairs of blocks end at ``ends``."""
+    rows = rows.combine_chunks()
+    rid, part, block, sizes = (rows.column(c).to_numpy() for c in ("rid", "part", "block", "n_words"))
+    sizes, signatures = sizes.astype(np.int64), rows.column("signature").to_pylist()
+    marks, here = rows.column("marks"), rows.column("here")
+    us, vs, first = [], [], 0
+    for end in ends.tolist():
+        tile = slice(first, end)
+        if part[tile].min() < part[tile].max():
+            for pair in close_pairs(sizes[tile], part[tile], block[tile], signatures[tile], similarity):
+                for a, b in zip(*(x.tolist() for x in pair), strict=True):
+                    shared = set(marks[first + a].as_py()).intersection(marks[first + b].as_py())
+                    if shared and min(shared) in here[first + a].as_py():
+                        us.append(max(rid[first + a], rid[first + b]))
+                        vs.append(min(rid[first + a], rid[first + b]))
+        first = end
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+
+def _signed(texts: DataFrame) -> DataFrame:
+    """``(rid, n_words, signature)`` of ``(rid, text)``."""
+
+    def sign(batches):
         known = _Hashes()
         for batch in batches:
             words = [known.of(text) for text in batch.column("text").to_pylist()]
-            rare = _lists([rare_words(w, shared.value, similarity) for w in words])
-            sizes = pa.array([len(w) for w in words], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), sizes, rare], names=["rid", "n_words", "rare"])
+            sizes, signatures = pa.array([len(w) for w in words], pa.int32()), pa.array(map(signature_of, words), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), sizes, signatures], names=["rid", "n_words", "signature"])
 
-    return texts.mapInArrow(rarest, "rid bigint, n_words int, rare array<bigint>")
+    return texts.select("rid", "text").mapInArrow(sign, "rid bigint, n_words int, signature binary")
 
 
 def _text_store(docs: DataFrame, text_col: str, texts: DataFrame, pairs: DataFrame) -> DataFrame:

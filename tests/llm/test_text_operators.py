@@ -281,6 +281,44 @@ def test_template_of_a_thousand_texts(spark):
     assert Counter((r.doc_id, r.class_id) for r in got.collect()) == expected
 
 
+def test_texts_around_a_passage_give_few_pairs(spark, monkeypatch):
+    rng, passage, seen, verified = random.Random(4), prose(1, 105), [], near_dedup.verified
+    docs = [(i, " ".join(passage + [f"own{rng.randrange(2000)}" for _ in range(45)])) for i in range(400)]
+
+    def counted(pairs, texts, similarity):
+        seen.append(pairs.count())
+        return verified(pairs, texts, similarity)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    got = near_dedup.class_of_each(table(spark, docs))
+    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == Counter((i, i) for i in range(400))
+    assert seen[1] < 400  # of 79,800 that share the passage
+
+
+def test_close_pairs_leave_out_none_that_are_alike():
+    rng, texts = random.Random(6), []
+    for i in range(60):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 4, 5, 17, 60, 300]))]
+        for _ in range(4):
+            words = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 4)):
+                at = rng.randrange(len(words) + 1)
+                words[at : at + rng.randint(0, 1)] = [f"w{rng.randrange(60)}"] * rng.randint(0, 2)
+            texts.append((words, rng.randrange(100), rng.randrange(2)))
+    texts.sort(key=lambda t: len(t[0]))
+    hashes = near_dedup._Hashes()
+    signatures = [near_dedup.signature_of(hashes.of(" ".join(t[0]))) for t in texts]
+    sizes, parts, blocks = (np.array(x) for x in ([len(t[0]) for t in texts], [t[1] for t in texts], [t[2] for t in texts]))
+    found = [p for a, b in near_dedup.close_pairs(sizes, parts, blocks, signatures, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    alike = set()
+    for v, (b, of, block) in enumerate(texts):
+        for u, (a, other, its) in enumerate(texts[:v]):
+            if of != other and block != its and near_dedup.edits_within(a, b, int(0.2 * len(b) + 1e-9)) is not None:
+                alike.add((u, v))
+    assert len(found) == len(set(found)) and alike <= set(found) and len(alike) > 100
+    assert len(found) < 0.2 * len(texts) ** 2
+
+
 @pytest.mark.parametrize("n", [5, 6, 12, 20, 30, 41, 60, 100, 250])
 def test_candidates_near_the_threshold(n):
     rng, e, met = np.random.default_rng(n), n // 5, Counter()
