@@ -14,15 +14,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Ready for Python tasks: Arrow batches bounded by bytes, as rows may be very
-    long texts, and the folder of this package on the path of local workers. (On a
-    cluster the package is installed or shipped with ``--py-files``.)
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Ready for Python tasks: Arrow batches bounded by bytes, as rows may be very long
+    texts (a lower bound that is set already stays), and the folder of this package on
+    the path of local workers. (On a cluster the package is installed or shipped with
+    ``--py-files``.)
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = (spark.conf.get(name, None) or "").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(name, str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)

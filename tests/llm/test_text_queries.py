@@ -50,6 +50,19 @@ def test_digests_of_ids(spark, con):
         start += len(ids)
 
 
+def test_stages_of_the_pipeline_take_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(corpus_pipeline, "one_of_each", lambda docs: seen.append(spark.conf.get(name)))
+    try:
+        for given in (16 << 20, 1 << 20):
+            spark.conf.set(name, str(given))
+            corpus_pipeline.near_dedup(spark, None, SMALL)
+    finally:
+        spark.conf.set(name, before)
+    assert [int(s.rstrip("b")) for s in seen] == [4 << 20, 1 << 20]
+
+
 def test_pipeline(spark, con):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {}
