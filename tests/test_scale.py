@@ -1,10 +1,15 @@
 """Steps that have to stay cheap as tables grow: what is read once, sent on or held at a time."""
 
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from catalog import queries as catalog_queries
 from herdlens.operators import arrival, order_stats, skew
 from herdlens.plans import training
+from herdlens.sources import driver_tables
 
 
 def _worked_out(spark, n):
@@ -67,3 +72,29 @@ def test_running_counts_deal_their_rows_to_tasks_of_bounded_size(spark, monkeypa
     assert skew.tasks_for(rows, 50 * one) == 150
     found = {r.arrived: r.before for r in dealt.collect()}
     assert found == {i: len(range(i % 21, i, 21)) for i in range(300)}
+
+
+@pytest.mark.parametrize("same_id", [False, True])
+def test_labels_of_one_row_group_are_worked_out_by_many_tasks(spark, tmp_path, monkeypatch, same_id):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(None if same_id else i, day, i % 50, "view", float(i % 90), f'{{"k": {i % 100}}}') for i in range(2000)]
+    events = spark.createDataFrame(rows, driver_tables.EVENTS).coalesce(1)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, f"N{i}", 0) for i in range(25)], driver_tables.NATION).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], driver_tables.REGION).write.parquet(f"{tmp_path}/region.parquet")
+    sizes, write = [], catalog_queries.materialize
+
+    def written(df, name):
+        sizes.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        return write(df, name)
+
+    monkeypatch.setattr(catalog_queries, "materialize", written)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # which puts small tasks together
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        split = catalog_queries.win_stratified_split(spark, str(tmp_path))
+        assert split.columns == ["report_id", "risk_level", "is_train"] and split.count() == 2000
+    finally:
+        spark.conf.set(name, before)
+    assert len(sizes) > 1 and sum(sizes) == 2000 and max(sizes) < 1000
