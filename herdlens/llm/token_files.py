@@ -24,7 +24,6 @@ readers see whole files only.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 from functools import lru_cache
 
@@ -39,12 +38,12 @@ from herdlens.llm.chunks import Memory, slices
 from herdlens.llm.common import bounded_batches, text_of
 from herdlens.session import new_path
 
-REMEMBERED = 72 << 20  # bytes of words and of chunks that a worker remembers
+REMEMBERED = 120 << 20  # bytes of words that a worker remembers
 RUN = 1 << 12  # characters of words that are encoded as one text
 SLICE = 12 << 20  # bytes of text that are encoded at once, one longer text aside
 # Chunks of these characters are in composed form and have one lower-case form,
-# so they can be cut into the tokenizer's words before it sees them.
-PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# so Arrow can cut them into the tokenizer's words before it sees them.
+PLAIN = "^[\\x21-\\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+$"
 
 
 class WordEncoder:
@@ -61,36 +60,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.chunks, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.chunks, self.words = Memory(), Memory(REMEMBERED)  # chunks that are no plain words
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         letters = "a-z\xdf-\xf6\xf8-\xff"
         # The word pattern of the vocabulary, for lower-case text.
-        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+")
+        self.pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+"
 
     def _library(self, texts: list) -> list:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         coded = [np.array(e.ids, self.dtype).tobytes() for e in found]
         return [(c, len(c)) for c in coded]
 
-    def _new_chunks(self, chunks: list) -> list:
-        """Ids of chunks that are not remembered, each distinct word of them encoded once."""
-        cut, whole = {}, []
-        for chunk in chunks:
-            if chunk.isascii() and chunk.isalpha():
-                cut[chunk] = [chunk.lower()]
-            elif PLAIN.fullmatch(chunk) and "<|" not in chunk:
-                cut[chunk] = self.pattern.findall(chunk.lower())
-            else:
-                whole.append(chunk)
-        words = list(set().union(*cut.values()))
-        known = dict(zip(words, self.words(words, self._new_words), strict=True))
-        found = dict(zip(whole, [c for c, _ in self._library(whole)], strict=True))
-        return [
-            (c := (known[p[0]] if len(p) == 1 else b"".join([known[w] for w in p])) if (p := cut.get(chunk)) else found[chunk], len(c))
-            for chunk in chunks
-        ]
+    def _words_of(self, chunks: pa.Array) -> tuple:
+        """Distinct words of some distinct chunks, the words of each chunk, and where those of each end.
+
+        Words of plain chunks are cut by Arrow; any other chunk counts as a word of its own.
+        """
+        plain = pc.and_not(pc.match_substring_regex(chunks, PLAIN), pc.match_substring(chunks, "<|"))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), self.pattern, r"\0 ")
+        lists = pc.split_pattern(pc.utf8_rtrim(spaced, " "), " ")
+        words, whole = lists.flatten().dictionary_encode(), chunks.filter(pc.invert(plain))
+        mask = plain.to_numpy(zero_copy_only=False)
+        sizes = np.ones(len(chunks), "int64")
+        sizes[mask] = lists.value_lengths().to_numpy()
+        index = np.empty(sizes.sum(), "int64")
+        within = np.repeat(mask, sizes)
+        index[within] = words.indices.to_numpy()
+        index[~within] = len(words.dictionary) + np.arange(len(whole))
+        return words.dictionary.to_pylist(), whole.to_pylist(), index, np.concatenate([[0], np.cumsum(sizes)])
 
     def _new_words(self, words: list) -> list:
         """Ids of words, many of them encoded as one text: the last token of a word says so."""
@@ -108,20 +107,26 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: list) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by the ids ``end``, and how many each has."""
         lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
-        words = lists.flatten().dictionary_encode()
-        coded = self.chunks(words.dictionary.to_pylist(), self._new_chunks)
-        coded.append(np.array(end, self.dtype).tobytes())
+        chunks = lists.flatten().dictionary_encode()
+        words, whole, word_of, last = self._words_of(chunks.dictionary)
+        coded = self.words(words, self._new_words) + self.chunks(whole, self._library)
+        each = _lists([len(c) // self.dtype.itemsize for c in coded], np.frombuffer(b"".join(coded), self.dtype))
+        running = np.concatenate([[0], np.cumsum(np.diff(each.offsets.to_numpy())[word_of])])
         # The end ids are one more chunk after those of each text.
-        index, sizes = words.indices.to_numpy(), lists.value_lengths().to_numpy()
-        index = np.insert(index, np.cumsum(sizes), len(coded) - 1)
-        ends = np.cumsum([0, *[len(c) // self.dtype.itemsize for c in coded]])
-        flat = np.frombuffer(b"".join(coded), self.dtype)
-        each = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat))
-        ids = each.take(pa.array(index)).flatten().to_numpy()
-        running = np.concatenate([[0], np.cumsum(np.diff(ends)[index])])
+        sizes_of = np.append(np.diff(running[last]), len(end))
+        flat = np.concatenate([each.take(pa.array(word_of)).flatten().to_numpy(), np.array(end, self.dtype)])
+        index, sizes = chunks.indices.to_numpy(), lists.value_lengths().to_numpy()
+        index = np.insert(index, np.cumsum(sizes), len(sizes_of) - 1)
+        ids = _lists(sizes_of, flat).take(pa.array(index)).flatten().to_numpy()
+        running = np.concatenate([[0], np.cumsum(sizes_of[index])])
         return ids, np.diff(running[np.concatenate([[0], np.cumsum(sizes + 1)])])
 
 
+def _lists(sizes, flat: np.ndarray) -> pa.ListArray:
+    """Lists of some sizes of the values of ``flat``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32")), pa.array(flat))
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -89,6 +90,28 @@ def test_token_files_round_trip(spark):
     assert ids == sorted(ids, key=lambda x: (x is not None, x))
 
 
+def test_token_files_cut_words_as_the_library_does():
+    texts = [
+        "", " ", "\n", "Don't, we'll; they'd've 'S 't''s rock'n'roll", "a1b22c333 4.5e-6 x²", "ÀÉÎ Ößÿ ×÷ Þorn ñ\n\nñ", "<|endoftext|> a<|x",
+        "  two  spaces ", "日本語 текст ŁÓDŹ İstanbul ﬁ", "e\u0301 \xa0 \xad \x00 \t tab\r\n", "x" * 5000, "(well-known),[sic]!? " * 50,
+    ]
+    letters = "abZ'stÉß×9.<|日\u0301 "
+    texts += ["".join(letters[(i * 31 + k * k * (i + 7)) % len(letters)] for k in range(40)) for i in range(200)]
+    encoder, library = token_files.WordEncoder(WORDS), Tokenizer.from_file(WORDS)
+    for _ in range(2):  # the second time from memory
+        ids, sizes = encoder.encode(pa.array(texts), [1])
+        expected = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert sizes.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_token_files_handle_plain_chunks_as_words():
+    encoder = token_files.WordEncoder(WORDS)
+    encoder.encode(pa.array(["(one), one; 'one' one2 ONE!"]), [1])
+    assert not encoder.chunks.kept  # no step in Python for a chunk, only for a word
+    assert {"one", "2", "),"} <= set(encoder.words.kept)
+
+
 def test_token_files_of_an_empty_table(spark):
     folder = token_files.write_token_files(table(spark, []), WORDS)
     assert token_files.read_token_files(spark, folder).collect() == []
