@@ -13,7 +13,8 @@ only if the pair stored there is the same. The second pass looks the counts of e
 block's pairs up by index, aligns the documents of the block once more and sums.
 
 Both libraries work on chunks (see ``chunks``): a distinct chunk is aligned once for
-each block and pass, all of them together as columns of numbers.
+each block and pass, all of them together as columns of numbers. Workers remember the
+tokens of short chunks, up to a number of bytes, for the blocks that follow.
 
 Defined results: texts that are null or empty, and texts whose tokens of A or B do
 not have the bytes of a space and the text, have no tokens: zeros and an empty
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from herdlens.llm.chunks import Chunked, chunked, slices
+from herdlens.llm.chunks import Chunked, Memory, chunked, slices
 from herdlens.llm.common import bounded_batches, text_of
 from herdlens.llm.perfect_hash import PerfectHash
 from herdlens.session import materialize
@@ -47,6 +48,7 @@ BLOCK = 4 << 20  # characters of a block of documents
 SHARD = 1 << 15  # pairs of a shard on average
 PART = 1 << 18  # rows of a group of blocks and a shard on average
 RUN = 1 << 14  # characters of chunks that are encoded as one text
+REMEMBERED = 112 << 20  # bytes of chunks that a worker remembers with their tokens
 FAN = 16  # vectors that a step of the tree adds up
 HIGH = 32  # bits that the second id of a pair takes
 NOTHING = np.empty(0, "int64")
@@ -137,6 +139,7 @@ class Aligner:
         self.first_sizes, self.second_sizes = (
             np.array([len(b) for b in x], "int64") for x in (self.first_bytes, self.second_bytes)
         )
+        self.known = Memory(REMEMBERED)
 
     def _second_ids(self, texts: list) -> list:
         """Ids of texts that begin with a space, which the library adds, or with a line
@@ -165,26 +168,53 @@ class Aligner:
                 seconds.append(np.array(b, "int32"))
         return firsts, seconds, good
 
-    def __call__(self, chunks: list) -> Aligned:
-        """Align each chunk. Chunks that end in no white space are chunks of a text made of
-        them as well, and so are encoded many at once; those of a text whose tokens have
-        other bytes are tried one by one."""
-        joined = [i for i, c in enumerate(chunks) if not c[-1].isspace()]
+    def _cut(self, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> list | None:
+        """Ids up to each end of a chunk, as bytes; None if a token reaches over one."""
+        at = np.cumsum(sizes[ids])
+        cuts = np.searchsorted(at, ends)
+        if (at[cuts] != ends).any():
+            return None
+        raw, cuts = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()]
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _new(self, chunks: list) -> list:
+        """Ids of A and of B of chunks, nothing for those whose tokens have other bytes.
+
+        Chunks that end in no white space are chunks of a text made of them as well, and so
+        are encoded many at once; those of a text whose tokens have other bytes are tried
+        one by one.
+        """
+        out: list = [((), 0)] * len(chunks)
+        size = pc.binary_length(pa.array(chunks, pa.large_string())).to_numpy()
+        joined, rest = [], []
+        for i, c in enumerate(chunks):
+            (rest if c[-1].isspace() else joined).append(i)
         runs = [joined[a:b] for a, b in slices([len(chunks[i]) for i in joined], RUN)]
-        firsts, seconds, good = self._tokens(runs, chunks)
-        kept = [k for k, g in enumerate(good) if g]
-        rest = [[i] for k, g in enumerate(good) if not g for i in runs[k]]
-        rest += [[i] for i, c in enumerate(chunks) if c[-1].isspace()]
-        alone_a, alone_b, alone_good = self._tokens(rest, chunks)
-        more = [k for k, g in enumerate(alone_good) if g]
-        order = [i for k in kept for i in runs[k]] + [rest[k][0] for k in more]
-        a, b = (
-            np.concatenate([NOTHING, *[x[k] for k in kept], *[y[k] for k in more]])
-            for x, y in ((firsts, alone_a), (seconds, alone_b))
-        )
+        for several in (True, False):
+            alone = []
+            for run, a, b, good in zip(runs, *self._tokens(runs, chunks), strict=True):
+                found = None
+                if good:
+                    ends = np.cumsum(size[run])
+                    found = self._cut(a, self.first_sizes, ends), self._cut(b, self.second_sizes, ends)
+                if found and None not in found:
+                    for i, x, y in zip(run, *found, strict=True):
+                        out[i] = (x, y), len(x) + len(y) + 120
+                elif several:
+                    alone += [[i] for i in run]
+            runs = alone + [[i] for i in rest]
+        return out
+
+    def __call__(self, chunks: list) -> Aligned:
+        """Align each chunk."""
+        found = self.known(chunks, self._new)
+        order = [i for i, ids in enumerate(found) if ids]
+        raw = [[found[i][side] for i in order] for side in (0, 1)]
+        a, b = (np.frombuffer(b"".join(x), "int32").astype("int64") for x in raw)
+        n_a, n_b = (np.array(list(map(len, x)), "int64") // 4 for x in raw)
         # Everything that was kept is one long text now, cut by chunk and by token ends.
-        ends = np.cumsum(np.array([len(chunks[i].encode()) for i in order], "int64"))
         ends_a, ends_b = np.cumsum(self.first_sizes[a]), np.cumsum(self.second_sizes[b])
+        ends = ends_a[np.cumsum(n_a) - 1]
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last = np.union1d(ends_a, ends_b)  # where a link ends, one of its tokens does
         links = a[np.searchsorted(ends_a, last)] << HIGH | b[np.searchsorted(ends_b, last)]
@@ -192,8 +222,8 @@ class Aligner:
         whole[order] = True
         return Aligned(
             np.array(order, "int64"), whole,
-            a, np.searchsorted(ends, ends_a), np.searchsorted(common, ends_a),
-            b, np.searchsorted(ends, ends_b), np.searchsorted(common, ends_b),
+            a, np.repeat(np.arange(len(order)), n_a), np.searchsorted(common, ends_a),
+            b, np.repeat(np.arange(len(order)), n_b), np.searchsorted(common, ends_b),
             links, np.searchsorted(ends, last),
         )
 

@@ -105,6 +105,24 @@ def test_alignment_of_odd_texts_and_other_columns(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == Brute().corpus(texts)
 
 
+def test_alignment_encodes_a_remembered_chunk_once(monkeypatch):
+    align, seen, tokens = alignment.Aligner(BYTES, PIECES), [], alignment.Aligner._tokens
+
+    def noted(self, runs, chunks):
+        seen.extend(chunks[i] for run in runs for i in run)
+        return tokens(self, runs, chunks)
+
+    monkeypatch.setattr(alignment.Aligner, "_tokens", noted)
+    chunks_of = [[" one", " two,", "\nthree", " \u00e9t\u00e9", " \u00a0x ", " " + "y" * 100], [" two,", " four", " one", " " + "y" * 100]]
+    first, second = map(align, chunks_of)
+    assert sorted(set(seen)) == sorted({c for x in chunks_of for c in x})
+    assert seen.count(" one") == seen.count(" two,") == 1 and seen.count(" " + "y" * 100) == 2  # long ones are not kept
+    fresh = alignment.Aligner(BYTES, PIECES)(chunks_of[1])
+    for got, expected in zip(second, fresh, strict=True):
+        assert got.tolist() == expected.tolist()
+    assert second.texts() == fresh.texts()
+
+
 def test_alignment_of_no_and_of_null_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.aligned(empty, BYTES, PIECES).count() == 0
